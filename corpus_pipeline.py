@@ -1,11 +1,64 @@
-"""Stages that turn raw documents into encoded training text."""
+"""Raw documents to encoded training text: language, near copies, benchmark items, secrets, pieces."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from filigree.llm import chosenpath, credentials, langkernel, piecefst, simwindows
+from filigree.llm.scratch import Scratch
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in a known language: the kernel classifier, learned from the labelled ones, finds none (`und`) for the others."""
+    model = langkernel.fit(docs)
+    own = docs.columns
+    return docs.withColumn("_said", model.predict(spark, F.col("text"))).where("_said.lang <> 'und'").select(*own)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of the smallest id of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    return chosenpath.deduplicate(docs)
+
+
+def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that hold no benchmark item."""
+    own = docs.columns
+    return simwindows.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(F.size("items") == 0).select(*own)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace credentials in texts by a mark; n_chars follows."""
+    own = docs.columns
+    clean = credentials.scan(docs).withColumn("text", credentials.redact(F.col("text"), F.col("spans")))
+    return clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint")).select(*own)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, their number, and the text that decoding gives back."""
+    import public_tokenizers
+
+    model = str(public_tokenizers.path("piece_bpe_32k.model"))
+    ids = docs.select("doc_id", "lang", "source", piecefst.encoder(spark, model)(F.col("text")).alias("ids"))
+    return ids.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_pieces"), "ids", piecefst.decoder(spark, model)(F.col("ids")).alias("text"))
+
+
+STAGES = [
+    ("language", language),
+    ("near_copies", near_copies),
+    ("benchmark_items", benchmark_items),
+    ("secrets", secrets),
+    ("pieces", pieces),
+]
+#: Learned models and iterated components have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written before the next reads it."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.keep(docs, name)
     return docs

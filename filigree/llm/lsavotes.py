@@ -13,6 +13,8 @@ from .textkit import _POWERS, _SPACE, _TABLE, _U, _powers, mix, utf8, words
 WORDS, SHAPES, FACTS, RANK = 1 << 13, 1 << 11, 64, 64
 #: Bounds of the fit: labelled texts of each label; neighbours that vote.
 PER_LABEL, VOTERS = 5000, 25
+#: Lengths of the parts of a text's vector: words, shapes, facts.
+SHARE = (0.5, 1.0, 1.0)
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 1
@@ -46,6 +48,9 @@ def _counts(data: np.ndarray, ends: np.ndarray, i: int, j: int) -> np.ndarray:
     facts[r, np.minimum(np.log2(k + 1).astype(int), 20)] = 1
     facts[r, 24 + (10 * distinct / np.maximum(k, 1)).astype(int)] = 1
     size = np.bincount(row, e - s, minlength=n) if len(row) else np.zeros(n)
+    same = np.zeros(len(h), bool)
+    same[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
+    facts[r, 36 + np.minimum(8 * np.bincount(row, same, minlength=n) / np.maximum(k, 1), 3).astype(int)] = 1
     facts[r, 40 + np.minimum(size / np.maximum(k, 1), 20).astype(int)] = 1
     return x
 
@@ -78,10 +83,17 @@ class VoteModel:
         return scored(F.coalesce(text, F.lit("")))
 
 
+def weighted(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Counts by idf, each block of terms to the length SHARE gives it (a block without terms stays empty)."""
+    x = x * idf
+    for (i, j), share in zip(((0, WORDS), (WORDS, WORDS + SHAPES), (WORDS + SHAPES, TERMS)), SHARE):
+        x[:, i:j] *= share / np.maximum(np.linalg.norm(x[:, i:j], axis=1, keepdims=True), 1e-12)
+    return x
+
+
 def project(x: np.ndarray, idf: np.ndarray, axes: np.ndarray) -> np.ndarray:
     """Unit vectors in the latent space (zero stays zero)."""
-    x = x * idf
-    v = x @ axes
+    v = weighted(x, idf) @ axes
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
@@ -144,8 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", text: str
         x = np.zeros((len(part), TERMS), np.float32)
         for k, r in enumerate(part):
             x[k, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["v"], np.float32)
-        x *= idf
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        return weighted(x, idf)
 
     # randomised truncated SVD: the rows are made dense a block at a time
     blocks = [rows[k : k + 512] for k in range(0, len(rows), 512)]

@@ -1,4 +1,4 @@
-"""Shared scratch storage and code shipping for jobs that must outlive an executor.
+"""Shared scratch storage for jobs that must outlive an executor.
 
 Intermediate tables go to the folder that the cluster names in ``spark.checkpoint.dir``;
 only where that setting is missing (tests on one machine) is a local folder chosen.
@@ -6,14 +6,14 @@ only where that setting is missing (tests on one machine) is a local folder chos
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from filigree.runtime import ship  # noqa: F401  the operators take it from here
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder, from the session; a fresh temporary one only where it is unset."""
@@ -24,18 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so workers can import it."""
-    sc = spark.sparkContext
-    if getattr(sc, "_filigree_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="filigree-code-"), "filigree_code.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, Path("filigree") / p.relative_to(root))
-    sc.addPyFile(target)
-    sc._filigree_shipped = True
+#: Rows of narrow tables that one file takes.
+ROWS_PER_FILE = 50_000
 
 
 class Scratch:
@@ -50,9 +40,11 @@ class Scratch:
         self._n += 1
         return f"{self.base}/{self._n:03d}-{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it back; the returned frame depends on the files alone."""
+    def keep(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Write df and read it back; the returned frame depends on the files alone. `rows`, a bound of its rows where it is known, spares a small table from many small files."""
         p = self.path(name)
+        if rows is not None and (files := -(-rows // ROWS_PER_FILE)) < int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(max(1, files))
         df.write.mode("overwrite").parquet(p)
         back = self.spark.read.schema(df.schema).parquet(p)
         back._filigree_path = p

@@ -39,9 +39,11 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
     if column.null_count:
         column = column.fill_null("")
-    column = column.cast(pa.large_string())
     _, offsets, data = column.buffers()
-    ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    if offsets is None or not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    ends = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), ends
 
 

@@ -78,7 +78,7 @@ def ruled(rows: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     hosts = rows.select("host", "path").distinct()  # a common host is looked up once per path
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
-    hit = hosts.withColumn("suffix", F.explode(suffixes)).join(by, "suffix").select("host", "path", F.filter("own", lambda r: F.col("path").startswith(r["start"]))[0].alias("r")).where("r is not null")
+    hit = hosts.withColumn("suffix", F.explode(suffixes)).join(by, "suffix").select("host", "path", F.get(F.filter("own", lambda r: F.col("path").startswith(r["start"])), F.lit(0)).alias("r")).where("r is not null")
     best = hit.groupBy("host", "path").agg(F.max("r").alias("r")).select("host", "path", F.col("r.rule").alias("rule"), F.col("r.said").alias("said"))
     return rows.join(best, ["host", "path"], "left")
 
