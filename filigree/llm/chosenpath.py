@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,13 +12,15 @@ from .components import connected_components
 from .scratch import Scratch, ship
 from .textkit import _U, chunks, mix, shingles, utf8, words
 
-#: Root branches (independent trees), deepest level of a tree, most documents of a leaf.
-TREES, LEVELS, LEAF = 12, 4, 64
-#: Minwise values compared per pair of a leaf, and how many must agree for a candidate.
-#: At similarity 0.85 the count is binomial(48, 0.85); fewer than 27 agree with chance 1e-6.
-SKETCH, AGREE = 48, 27
+#: Independent trees, tokens that choose a root branch, tokens chosen on the deepest path, most documents of a leaf.
+TREES, ROOT, DEPTH, LEAF = 16, 2, 4, 64
+#: Minwise values of a set, and how many of them two sets of a leaf must share to be candidates.
+#: At similarity 0.85 the count is binomial(64, 0.85); fewer than 37 agree with chance 1e-7.
+SKETCH, AGREE = TREES * DEPTH, 37
 #: Most documents whose full sets one task compares as a whole, and documents shared by all blocks of a larger group.
 BLOCK, HUBS = 256, 8
+#: Most bits, as a power of two, of the filters that spare rows without a partner the shuffle.
+FILTER = 26
 
 _SEEDS = np.random.default_rng(85).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * _U(2) + _U(1)
 
@@ -60,7 +64,7 @@ def sketches(docs: DataFrame, text: str, id_col: str, width: int) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def _rooted(reps: DataFrame, trees: int, levels: int) -> DataFrame:
+def _rooted(reps: DataFrame, trees: int) -> DataFrame:
     """A row for each tree of each set: node key of the root branch, tokens chosen deeper, and the sketch of 8-bit minwise values."""
 
     def run(batches):
@@ -72,9 +76,11 @@ def _rooted(reps: DataFrame, trees: int, levels: int) -> DataFrame:
             low = mix(sig.astype(np.uint64)).astype(np.uint8)
             sk = pa.array([x.tobytes() for x in low], pa.binary())
             for t in range(trees):
-                chosen = sig[:, [(t + trees * k) % SKETCH for k in range(levels)]].astype(np.uint64)
-                key = mix(chosen[:, 0] + (_U(t + 1) << _U(33)))
-                path = pa.array([x.tobytes() for x in chosen[:, 1:].astype(np.uint32)], pa.binary())
+                chosen = sig[:, DEPTH * t : DEPTH * (t + 1)].astype(np.uint64)
+                key = np.full(n, t + 1, np.uint64)
+                for d in range(ROOT):
+                    key = mix(key * _U(0x9E3779B97F4A7C15) + chosen[:, d])
+                path = pa.array([x.tobytes() for x in chosen[:, ROOT:].astype(np.uint32)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0), path, sk], names=["key", "fp", "path", "sk"])
 
     return reps.select("fp", "sig").mapInArrow(run, "key bigint, fp binary, path binary, sk binary")
@@ -187,13 +193,14 @@ def _exact(hundredths: int):
                             left = left[~np.isin(left, linked)]
                     mark[ids[ptr[p] : ptr[p + 1]]] = False
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["a", "b"])
+                n = len(out)
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary()), pa.array([t.column("task")[0].as_py()] * n, pa.int64()), pa.array([t.column("big")[0].as_py()] * n)], names=["a", "b", "task", "big"])
 
     return run
 
 
 def _with_sets(docs: DataFrame, members: DataFrame, text: str, id_col: str, width: int) -> DataFrame:
-    """members (rep, fp, task) with the full set of each representative text."""
+    """members (rep, fp, task, component, blocks, block) with the full set of each representative text."""
 
     def run(batches):
         for b in batches:
@@ -203,14 +210,38 @@ def _with_sets(docs: DataFrame, members: DataFrame, text: str, id_col: str, widt
                 if len(u) and _print(u) == fp[r]:  # another row may bear the same id
                     keep.append(r)
                     sets.append(u.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(2).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64())), pa.array(sets, pa.binary())], names=["task", "fp", "set"])
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(at) for k in range(1, 6)], pa.array(sets, pa.binary())], names=["fp", "task", "component", "blocks", "block", "set"])
+
+    there = docs.select(F.col(id_col).alias("rep"), F.col(text).alias("text")).where(_maybe(members, "rep"))
+    return there.join(members.hint("shuffle_hash"), "rep").select("text", "fp", "task", "component", "blocks", "block").mapInArrow(run, "fp binary, task bigint, component binary, blocks bigint, block bigint, set binary")
+
+
+def _maybe(members: DataFrame, key: str, tested: str | None = None):
+    """A test on a key column (`tested`, or of the same name) that is true for every key of members and false for most others: a Bloom filter of two hashes with at most FILTER bits.
+
+    Its size is bounded, so with very many members it only lets more rows through.
+    """
+    bits = 1 << min(FILTER, max(16, (16 * members.count()).bit_length()))
+    at = F.explode(F.array(*[F.pmod(F.xxhash64(key, F.lit(s)), F.lit(bits)) for s in (11, 12)]))
+    words = members.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("b")).toArrow()
+    table = np.zeros(bits // 64, np.uint64)
+    table[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+    sent = members.sparkSession.sparkContext.broadcast(table)
 
-    there = docs.select(F.col(id_col).alias("rep"), F.col(text).alias("text"))
-    return there.join(members.hint("shuffle_hash"), "rep").select("text", "fp", "task").mapInArrow(run, "task bigint, fp binary, set binary")
+    @F.arrow_udf("boolean")
+    def maybe(a: pa.Array, b: pa.Array) -> pa.Array:
+        ok = np.ones(len(a), bool)
+        for x in (a, b):
+            v = x.to_numpy(zero_copy_only=False)
+            ok &= (sent.value[v >> 6] >> (v & 63).astype(np.uint64) & _U(1)).astype(bool)
+        return pa.array(ok)
+
+    return maybe(*[F.pmod(F.xxhash64(tested or key, F.lit(s)), F.lit(bits)) for s in (11, 12)])
 
 
 def _compared(rows: DataFrame, hundredths: int, parts: int) -> DataFrame:
-    return rows.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_exact(hundredths), "a binary, b binary")
+    return rows.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_exact(hundredths), "a binary, b binary, task bigint, big boolean")
 
 
 def similarity_components(
@@ -234,12 +265,12 @@ def similarity_components(
     such a row is kept only where its component has null ids alone.
 
     Method: equal sets are one node from the start, whatever their number. `trees`
-    independent trees branch the nodes by the token that a minwise hash chooses; a node of
-    more than LEAF sets is branched by the next token, LEVELS deep. Leaves compare sketches
-    of minwise values exhaustively, which yields groups that hold every pair seen as near;
-    full sets then decide inside the groups. A pair at the threshold is in one leaf of a
-    tree with chance 0.85 (one level) to 0.52 (four), so twelve trees miss it with chance
-    1e-10 to 2e-4. A node still too large at the deepest level is a group as it is. A group
+    independent trees branch the sets by ROOT tokens that minwise hashes choose; a node of
+    more than LEAF sets is branched by the next token, DEPTH tokens deep. Leaves compare
+    sketches of minwise values exhaustively, which yields groups that hold every pair seen
+    as near; full sets then decide inside the groups. A pair at similarity 0.85 is in one
+    leaf of a tree with chance 0.72 (two tokens) to 0.52 (four), so sixteen trees miss it
+    with chance 1e-9 to 8e-6; at 0.80 with 8e-8 to 2e-4. A node still too large at the deepest level is a group as it is. A group
     of more than BLOCK sets is dealt into blocks that share HUBS sets; sets that no block
     joins to the largest part meet every block in a second step, so no link is lost.
     """
@@ -250,22 +281,23 @@ def similarity_components(
     all_rows = scratch.keep(sketches(docs, text, id_col, width), "sketches")
     reps = scratch.keep(all_rows.where("fp is not null").groupBy("fp").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "sets")
 
-    rows, groups = _rooted(reps, trees, LEVELS), []
-    for level in range(1, LEVELS + 1):
-        sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        rows = scratch.keep(rows.join(sizes, "key"), f"level{level}")
-        groups.append(rows.where(F.col("size") <= LEAF).select("key", "fp", "sk").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_leaf, "a binary, b binary"))
+    rows, leaves, near = _rooted(reps, trees), [], None
+    levels = DEPTH - ROOT + 1
+    for level in range(1, levels + 1):
+        # written, so that the join has exchanges of its own, whose large partitions can be split
+        sizes = scratch.keep(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), f"sizes{level}")
+        rows = scratch.keep(rows.where(_maybe(sizes, "key")).join(sizes.hint("merge"), "key"), f"level{level}")
+        leaves.append(rows.where(F.col("size") <= LEAF).select("key", "fp", "sk"))
         rows = rows.where(F.col("size") > LEAF).drop("size")
-        if level < LEVELS:
+        if level < levels:
             if rows.isEmpty():
                 break
             rows = _deeper(rows, level)
         else:
             low = rows.groupBy("key").agg(F.min("fp").alias("b"))
-            groups.append(rows.join(low, "key").where("fp <> b").select(F.col("fp").alias("a"), "b"))
-    near = groups[0]
-    for g in groups[1:]:
-        near = near.union(g)
+            near = rows.join(low, "key").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    every = reduce(DataFrame.union, leaves).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_leaf, "a binary, b binary")
+    near = every if near is None else every.union(near)
     cand = scratch.keep(connected_components(near, scratch), "candidates")
     size = cand.groupBy("component").agg(F.count("*").alias("size"))
     members = scratch.keep(
@@ -277,30 +309,43 @@ def similarity_components(
         "members",
     )
     sets = scratch.keep(_with_sets(docs, members, text, id_col, width), "fullsets")
-    large = members.where("blocks > 1")
-    if large.isEmpty():
-        links = scratch.keep(_compared(sets, hundredths, parts), "links")
-        labels = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        labels = labels.union(labels.select(F.col("component").alias("node"), "component")).distinct()
-    else:
-        # the hubs of a large group: the sets of the smallest hashed names, one of each of HUBS slots
+    large = sets.where("blocks > 1")
+    n_large = members.where("blocks > 1").count()
+    own = sets.select("task", "fp", "set", (F.col("blocks") > 1).alias("big"))
+    split = n_large > 0
+    if split:
+        blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("to")
+        # the hubs of a large group, one of each of HUBS slots, stand in all its blocks
         slot = F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(HUBS))
-        hubs = large.groupBy("component", slot.alias("slot")).agg(F.min("fp").alias("fp"), F.first("blocks").alias("blocks"))
-        spread = hubs.join(sets.select("fp", "set"), "fp").select("fp", "set", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        spread = spread.select(F.xxhash64("component", "block").alias("task"), "fp", "set")
-        first = scratch.keep(_compared(sets.select("task", "fp", "set").union(spread).dropDuplicates(["task", "fp"]), hundredths, parts), "links")
-        labels = scratch.keep(connected_components(first, scratch), "labels")
-        named = large.join(labels.withColumnRenamed("component", "label"), F.col("fp") == F.col("node"), "left").select("fp", "component", "blocks", "block", F.coalesce("label", "fp").alias("label"))
-        main = named.groupBy("component", "label").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("label", "n").alias("main"))
-        rest = named.join(main, "component").where("label <> main").select("fp", "component", "blocks")
-        # every set outside the main part meets every block
-        meet = rest.join(sets.select("fp", "set"), "fp").withColumn("chunk", F.pmod(F.xxhash64("fp", F.lit(2)), F.ceil(F.col("blocks") / 4)))
-        meet = meet.select("fp", "set", "component", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        there = meet.select("component", "block", "chunk").distinct().join(large.select("component", "block", "fp"), ["component", "block"]).join(sets.select("fp", "set"), "fp")
-        task = F.xxhash64("component", "block", "chunk").alias("task")
-        second = meet.select(task, "fp", "set").union(there.select(task, "fp", "set")).dropDuplicates(["task", "fp"])
-        links = first.union(_compared(second, hundredths, parts))
-        labels = connected_components(links, scratch)
+        hubs = scratch.keep(large.groupBy("component", slot.alias("slot")).agg(F.min("fp").alias("fp")).select("fp"), "hubs", rows=n_large)
+        spread = large.join(hubs, "fp").select("fp", "set", "component", "block", blocks)
+        places = spread.select("fp", "component", F.xxhash64("component", F.col("to").alias("block")).alias("task"))
+        own = own.union(spread.where("to <> block").select(F.xxhash64("component", F.col("to").alias("block")).alias("task"), "fp", "set", F.lit(True)))
+    first = scratch.keep(_compared(own, hundredths, parts), "links")
+    links = first.select("a", "b")
+    if split:
+        # of each large group, the hub whose parts of all blocks are the largest together leads the main part
+        stars = first.where("big").select("task", F.col("a").alias("fp"), F.col("b").alias("root"))
+        stars = stars.union(stars.select("task", F.col("root").alias("fp"), "root").distinct())
+        size = stars.groupBy("task", "root").agg(F.count("*").alias("n"))
+        held = places.join(stars, ["task", "fp"]).join(size, ["task", "root"])
+        lead = held.groupBy("component", "fp").agg(F.sum("n").alias("n")).groupBy("component").agg(F.max_by("fp", F.struct("n", "fp")).alias("fp"))
+        main = held.join(lead, ["component", "fp"]).select("task", "root")
+        # every set outside the main part meets every block, in chunks of as many as a block has
+        rest = scratch.keep(large.join(stars.join(main, ["task", "root"], "left_semi").select("task", "fp"), ["task", "fp"], "left_anti"), "rest")
+        sizes = rest.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
+        rest = rest.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("fp", F.lit(2)), F.col("chunks")))
+        task = lambda block: F.xxhash64("component", block, "chunk").alias("task")
+        here = rest.select("fp", "set", "component", "chunk", blocks).select(task("to"), "fp", "set")
+        each = large.join(sizes, "component").select("fp", "set", "component", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"))
+        # a block's own sets, without those that come with the chunk
+        there = each.join(rest.select("fp", "chunk"), ["fp", "chunk"], "left_anti").select(task("block"), "fp", "set")
+        second = _compared(here.union(there).withColumn("big", F.lit(True)), hundredths, parts)
+        across = connected_components(first.where("big").select("a", "b").union(second.select("a", "b")), scratch)
+        links = first.where("not big").select("a", "b")
+    labels = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    labels = labels.union(labels.select(F.col("component").alias("node"), "component")).distinct()
+    labels = labels.union(across) if split else labels
     labels = scratch.keep(labels, "labels")
 
     least = reps.select("fp", "rep").join(labels, F.col("fp") == F.col("node"))
@@ -309,3 +354,23 @@ def similarity_components(
     done = all_rows.select("id", "n_shingles", "fp").join(by_set, "fp", "left")
     root = F.coalesce("component_id", "id")
     return done.select("id", "n_shingles", root.alias("component_id"), F.col("id").eqNullSafe(root).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 5, hundredths: int = 80) -> DataFrame:
+    """docs with one row of each group of near copies: the one of the smallest id.
+
+    Rows that repeat an id count as one document, of which one row stays. Texts without
+    words are copies of nothing. Rows without an id cannot be named and stay. Rows that a
+    filter of bounded size rules out as dropped pass without a shuffle.
+    """
+    scratch = Scratch(docs.sparkSession, "dedup")
+    found = similarity_components(docs, id_col=id_col, text=text, width=width, hundredths=hundredths, scratch=scratch).where("id is not null")
+    by_id = found.groupBy("id").agg(F.count("*").alias("n"), F.bool_and("kept").alias("kept"))
+    marked = scratch.keep(by_id.where("n > 1 or not kept").withColumnsRenamed({"id": "_id", "kept": "_kept"}).drop("n"), "marked")
+    own = docs.columns
+    # a row whose id is null is never marked
+    maybe = F.col(id_col).isNotNull() & _maybe(marked, "_id", id_col)
+    rest = docs.where(maybe).join(marked.hint("shuffle_hash"), F.col(id_col) == F.col("_id"), "left")
+    alone = rest.where("_id is null").select(*own)
+    first = rest.where("_kept").select(*own).dropDuplicates([id_col])
+    return docs.where(~maybe).unionByName(alone).unionByName(first)
