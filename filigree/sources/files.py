@@ -18,7 +18,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def whole_texts(spark: SparkSession, folder: str, names: DataFrame) -> DataFrame:
     """(file, seq, text) of the listed files; bytes that are no UTF-8 become replacement characters."""
-    raw = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    raw = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     return names.join(raw, "file")
 
 
