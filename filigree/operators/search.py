@@ -56,10 +56,10 @@ def fusion_order(*by: str) -> Window:
 
 
 def rrf(rankings: DataFrame, k: int = 60) -> DataFrame:
-    """Fusion of any number of rankings given as rows (list, id, rank): (id, score, place), ties in first-seen order."""
-    s = rankings.groupBy("id").agg(F.sum(F.lit(1.0).cast("double") / (F.col("rank") + k)).alias("score"), F.min(F.struct("list", "rank")).alias("seen"))
-    w = Window.orderBy(F.desc(F.round("score", 12)), "seen")
-    return s.select("id", "score", F.row_number().over(w).cast("bigint").alias("place"))
+    """Fusion of any number of rankings given as rows (qid, list, id, rank): (qid, id, score, place), ties in first-seen order."""
+    s = rankings.groupBy("qid", "id").agg(F.sum(F.lit(1.0).cast("double") / (F.col("rank") + k)).alias("score"), F.min(F.struct("list", "rank")).alias("seen"))
+    w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), "seen")
+    return s.select("qid", "id", "score", F.row_number().over(w).cast("bigint").alias("place"))
 
 
 def hybrid(queries: DataFrame, chunks: DataFrame, post: DataFrame, idf: DataFrame, stats: DataFrame, keep: Column | None = None, *, top: int = 20, rrf_k: int = 60) -> DataFrame:

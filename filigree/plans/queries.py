@@ -106,13 +106,15 @@ def hybrid_quota(spark, sf_dir):
     return hits.withColumn("quota", long(F.row_number().over(w))).where("quota <= 2").select("qid", "ticker", "fiscal_year", "id", "quota")
 
 
-@query("""with lists as (select 1 as list, vec_id as id, row_number() over (order by embedding[1] desc, vec_id) as rank from embeddings union all select 2, vec_id, row_number() over (order by embedding[2] desc, vec_id) from embeddings)
- select id, round(sum(1.0::double / (60 + rank)), 9) as score from lists group by id""")
+@query("""with lists as (select label as qid, 1 as list, vec_id as id, row_number() over (partition by label order by embedding[1] desc, vec_id) as rank from embeddings
+ union all select label, 2, vec_id, row_number() over (partition by label order by embedding[2] desc, vec_id) from embeddings)
+ select qid, id, round(sum(1.0::double / (60 + rank)), 9) as score from lists group by all""")
 def rrf_fusion(spark, sf_dir):
+    """Two rankings of the vectors of each label, fused."""
     (e,) = tables(spark, sf_dir, "embeddings")
-    rank = lambda k: F.row_number().over(Window.orderBy(F.desc(F.col("embedding")[k]), "vec_id"))
-    lists = e.select(F.lit(1).alias("list"), F.col("vec_id").alias("id"), rank(0).alias("rank")).union(e.select(F.lit(2), "vec_id", rank(1)))
-    return search.rrf(lists).select("id", F.round("score", 9).alias("score"))
+    rank = lambda k: F.row_number().over(Window.partitionBy("label").orderBy(F.desc(F.col("embedding")[k]), "vec_id"))
+    lists = e.select(F.col("label").alias("qid"), F.lit(1).alias("list"), F.col("vec_id").alias("id"), rank(0).alias("rank")).union(e.select("label", F.lit(2), "vec_id", rank(1)))
+    return search.rrf(lists).select("qid", "id", F.round("score", 9).alias("score"))
 
 
 # ------------------------------------------------------------------ filings, periods, coverage

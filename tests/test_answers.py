@@ -16,7 +16,7 @@ from filigree.sources import cache, files, store
 
 def test_rrf(spark):
     lists = [["a", "b", "c"], ["c", "a", "d"]]
-    rows = spark.createDataFrame([(n, i, r) for n, x in enumerate(lists) for r, i in enumerate(x, 1)], "list int, id string, rank int")
+    rows = spark.createDataFrame([(1, n, i, r) for n, x in enumerate(lists) for r, i in enumerate(x, 1)], "qid int, list int, id string, rank int")
     got = sorted(search.rrf(rows).collect(), key=lambda r: r.place)
     assert [r.id for r in got] == ["a", "c", "b", "d"]
     assert got[0].score == pytest.approx(1 / 61 + 1 / 62) and got[1].score == pytest.approx(1 / 63 + 1 / 61)
