@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from . import oracles
 from .scratch import Scratch
 
 #: Rules of op1 (fixed values).
@@ -130,4 +131,7 @@ QUERIES = {
     "op10_piece_fst": op10_piece_fst,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_url_alias": oracles.url_alias(URL_RULES),
+    "op4_chosen_path": oracles.shingle_components(3, 85),
+}

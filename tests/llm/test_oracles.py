@@ -1,0 +1,42 @@
+"""Queries with SQL against DuckDB, on the small tables and on pages full of links."""
+
+import pytest
+
+from filigree.llm import queries
+
+duckdb = pytest.importorskip("duckdb")
+
+
+def same(spark, folder, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet{'/*.parquet' if 'testdata' not in str(folder) else ''}')")
+    found = con.execute(queries.ORACLES[name])
+    columns = [d[0] for d in found.description]
+    df = queries.QUERIES[name](spark, str(folder))
+    assert sorted(df.columns) == sorted(columns)
+    assert sorted(map(repr, (tuple(r) for r in df.select(*columns).collect()))) == sorted(map(repr, found.fetchall()))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_small_tables(spark, small, name):
+    same(spark, small, name)
+
+
+def test_linked_pages(spark, tmp_path):
+    c = "<link href='{}' rel=canonical>"
+    pages = [
+        (1, "http://A.org/x?q=1#f", c.format("http://b.net/es/1")),
+        (2, "http://a.org/x?q=1", '<meta content="0; URL=\'/y\'" http-equiv=refresh>'),
+        (3, "http://a.org/y", "<LINK REL='x canonical' HREF=z>"),
+        (4, "http://a.org/z", c.format("//good.com/a?b=1&amp;c=2") + c.format("http://a.org/z")),
+        (5, "http://solo.org", c.format("")),
+        (6, "http://solo.org/p/q", c.format("r/s")),
+        (7, None, c.format("http://b.net/es/1")),
+        (8, "no url", None),
+        (9, "http://w.net/es/9", None),
+        (10, "http://v.org/", "<!--" + c.format("http://b.net/es/1") + "-->" + c.format("http://w.net/es/9")),
+    ]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(1, "a")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    same(spark, tmp_path, "op1_url_alias")

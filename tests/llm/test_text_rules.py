@@ -36,7 +36,7 @@ def test_no_labels_keep_everything(spark):
     assert decisionlist.fit(docs, spark.createDataFrame([], "doc_id bigint, quality int")) == []
 
 
-KEY = "A" * 8 + "b1c2d3e4" * 4
+KEY = "Zx9Q" * 10
 SECRETS = [
     None,
     "",
