@@ -96,11 +96,22 @@ def plan_question(question: str, tickers: set[str], table: str, model: Generator
 HINTS = {"risk": ["risk_factors"], "regulat": ["risk_factors", "business", "legal"], "legal": ["legal"], "litigation": ["legal"], "revenue": ["mdna", "financials"], "growth": ["mdna", "financials"], "outlook": ["mdna", "financials"], "margin": ["mdna", "financials"], "control": ["controls"]}
 
 
+#: Endings of company names that questions leave out (fixed values).
+LEGAL = r"(?i)[\s,]+(?:inc|corp|corporation|company|co|ltd|limited|plc|llc|group|holdings|sa|ag|nv)\.?$"
+
+
+def spoken(name: str) -> str:
+    """A company's name without its legal ending."""
+    while (short := re.sub(LEGAL, "", name.strip())) != name:
+        name = short
+    return name
+
+
 def rule_plan(question: str, companies: list[dict]) -> Plan:
     """The offline planner: companies by ticker, name, alias or industry; years, spans and sections by their words."""
     low = question.lower()
     has = lambda phrase: bool(phrase) and re.search(rf"(?<!\w){re.escape(phrase.lower())}(?!\w)", low) is not None
-    named = [c["ticker"] for c in companies if re.search(rf"(?<!\w){re.escape(c['ticker'])}(?!\w)", question) or has(c["name"]) or any(has(a) for a in c.get("aliases") or [])]
+    named = [c["ticker"] for c in companies if re.search(rf"(?<!\w){re.escape(c['ticker'])}(?!\w)", question) or has(c["name"]) or has(spoken(c["name"])) or any(has(a) for a in c.get("aliases") or [])]
     if not named:
         named = [c["ticker"] for c in companies if has(c.get("industry") or "")]
     years = sorted({int(y) for y in re.findall(r"\b(20\d\d)\b", question)})

@@ -51,7 +51,7 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
 def write_results(rows: DataFrame, path: str) -> None:
     """Evaluation results as CSV, appended to what an interrupted run left."""
     flat = [F.col(c) if not t.startswith("array") else F.array_join(c, " ").alias(c) for c, t in rows.dtypes]
-    rows.select(*flat).write.mode("append").csv(path, header=True)
+    rows.select(*flat).write.mode("append").csv(path, header=True, escape='"')
 
 
 def select_filings(cov: DataFrame, files: list[str] | None = None) -> DataFrame:
