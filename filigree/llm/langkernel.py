@@ -12,8 +12,8 @@ from .textkit import utf8
 
 #: Hash buckets of n-grams; n runs over ORDERS (bytes of UTF-8, letters only).
 BUCKETS, ORDERS = 1 << 14, (1, 2, 3, 4)
-#: Bounds of the fit: languages learned, labelled texts and landmarks of each, and the ridge.
-LANGUAGES, PER_LANGUAGE, LANDMARKS, RIDGE = 256, 1500, 48, 1e-3
+#: Bounds of the fit: languages learned, labelled texts and landmarks of each and in all, and the ridge.
+LANGUAGES, PER_LANGUAGE, TEXTS, LANDMARKS, ALL_LANDMARKS, RIDGE = 256, 1500, 20_000, 48, 1024, 1e-3
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -98,9 +98,9 @@ class LanguageModel:
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_col: str = "doc_id", where: Column | None = None) -> LanguageModel:
     """Learn languages from labelled texts.
 
-    At most LANGUAGES languages (the most frequent) and about PER_LANGUAGE texts of each
-    are used, chosen by a hash of the id; LANDMARKS texts of each language are the
-    Nyström landmarks. Rows with a null text, id or language teach nothing; with no
+    At most LANGUAGES languages (the most frequent) and about PER_LANGUAGE texts of each,
+    TEXTS in all, are used, chosen by a hash of the id; LANDMARKS texts of each language,
+    ALL_LANDMARKS in all, are the Nyström landmarks. Rows with a null text, id or language teach nothing; with no
     labelled row the model is empty and predicts `und`.
     """
     spark = docs.sparkSession
@@ -110,7 +110,8 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_col: str
     top = rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()
     if not top:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
-    share = F.create_map(*[x for r in top for x in (F.lit(r.l), F.lit(min(1 << 30, PER_LANGUAGE * (1 << 30) // r.n)))])
+    each = min(PER_LANGUAGE, TEXTS // len(top))
+    share = F.create_map(*[x for r in top for x in (F.lit(r.l), F.lit(min(1 << 30, each * (1 << 30) // r.n)))])
     h = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(9)), F.lit(1 << 30))
     chosen = rows.where(h < F.coalesce(F.try_element_at(share, F.col(lang)), F.lit(0)))
     small = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(10)), F.lit(1 << 30))
@@ -122,15 +123,15 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_col: str
                 bits = np.packbits(presence(data, ends, i, j), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in bits], pa.binary()), b.column(1).slice(i, j - i), b.column(2).slice(i, j - i)], names=["bits", "l", "h"])
 
-    # a bounded number of rows: LANGUAGES * PER_LANGUAGE * 2 KB at most, far less for few languages
-    found = chosen.select(F.col(text).alias("text"), F.col(lang).alias("l"), small.alias("h")).mapInArrow(packed, f"bits binary, l string, h bigint").toArrow()
+    # about TEXTS rows of 2 KB at most
+    found = chosen.select(F.col(text).alias("text"), F.col(lang).alias("l"), small.alias("h")).mapInArrow(packed, "bits binary, l string, h bigint").toArrow()
     names = found.column("l").to_pylist()
     languages = sorted(set(names))
     order = np.lexsort((np.array(found.column("h").to_pylist()), np.array(names)))
     raw = found.column("bits").to_pylist()
     x = np.unpackbits(np.frombuffer(b"".join(raw[k] for k in order), np.uint8).reshape(len(raw), -1), axis=1)
     y = np.array(names)[order]
-    landmarks = np.concatenate([np.flatnonzero(y == n)[:LANDMARKS] for n in languages])
+    landmarks = np.concatenate([np.flatnonzero(y == n)[: max(1, min(LANDMARKS, ALL_LANDMARKS // len(languages)))] for n in languages])
     size = np.maximum(x.sum(1, dtype=np.int64), 1).astype(np.float32)
     z = (x[landmarks].astype(np.float32) / np.sqrt(size[landmarks])[:, None]).T
     values, vectors = np.linalg.eigh((z.T @ z).astype(np.float64))
