@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from math import log
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -248,21 +249,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     return out.withColumn("items", F.array_sort(F.concat(*parts)) if len(parts) > 1 else parts[0])
 
 
-_BUILT: dict[int, Index] = {}
+_BUILT: dict[str, Index] = {}
 
 
-def _index(sent) -> Index:
-    key = sent._jbroadcast.id() if getattr(sent, "_jbroadcast", None) is not None else id(sent.value)
-    if key not in _BUILT:
+def _index(sent, token: str = "") -> Index:
+    """The index of a broadcast pass, built once by a worker; token names the pass."""
+    if token and token in _BUILT:
+        return _BUILT[token]
+    index = Index(sent.value)
+    if token:
         _BUILT.clear()
-        _BUILT[key] = Index(sent.value)
-    return _BUILT[key]
+        _BUILT[token] = index
+    return index
 
 
 def _search(sent, schema: str):
+    token = uuid4().hex
+
     @F.arrow_udf(schema)
     def search(column: pa.Array) -> pa.Array:
-        index = _index(sent)
+        index = _index(sent, token)
         out: list[list[dict]] = [[] for _ in range(len(column))]
         data, ends = utf8(column)
         for i, j in chunks(ends, 1 << 18):
