@@ -38,8 +38,8 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = str(public_tokenizers.path("piece_bpe_32k.model"))
-    ids = docs.select("doc_id", "lang", "source", piecefst.encoder(spark, model)(F.col("text")).alias("ids"))
-    return ids.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_pieces"), "ids", piecefst.decoder(spark, model)(F.col("ids")).alias("text"))
+    out = docs.select("doc_id", "lang", "source", piecefst.codec(spark, model)(F.col("text")).alias("p"))
+    return out.select("doc_id", "lang", "source", F.size("p.ids").cast("bigint").alias("n_pieces"), F.col("p.ids").alias("ids"), F.col("p.text").alias("text"))
 
 
 STAGES = [

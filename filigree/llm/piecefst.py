@@ -9,14 +9,14 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import Column, functions as F
+from pyspark.sql import functions as F
 
 from .scratch import ship
 from .textkit import chunks, utf8
 
 SPACE = "▁"
-#: Words whose paths a worker remembers; the memory starts anew beyond it.
-REMEMBERED = 600_000
+#: Words, and pairs of pieces, that a worker remembers; the memory starts anew beyond it.
+REMEMBERED = 250_000
 #: Bytes of text whose words are composed together.
 TOGETHER = 4 << 20
 
@@ -165,7 +165,7 @@ class PieceTransducer:
                     key = last[start] << 20 | piece
                     ok = fits.get(key)
                     if ok is None:
-                        if len(fits) > 4 * REMEMBERED:
+                        if len(fits) > REMEMBERED:
                             fits.clear()
                         ok = fits[key] = self._fit(last[start], piece)
                     if ok:
@@ -313,21 +313,31 @@ def _sent(spark, model: str) -> str:
     return model.rsplit("/", 1)[-1]
 
 
+def _encoded(machine: PieceTransducer, column: pa.Array) -> pa.ListArray:
+    ids, offsets = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    texts = column.to_pylist()
+    _, ends = utf8(column)
+    for i, j in chunks(ends, TOGETHER):
+        flat, at = machine.encode_all(texts[i:j])
+        offsets.append(at[1:] + offsets[-1][-1])
+        ids.append(flat)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(offsets).astype(np.int32)), pa.array(np.concatenate(ids)))
+
+
+def _decoded(machine: PieceTransducer, column: pa.ListArray) -> pa.Array:
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    flat = column.values.to_numpy(zero_copy_only=False)
+    some = column.is_valid().to_pylist()
+    return pa.array([machine.decode(flat[a:b].tolist()) if ok else None for a, b, ok in zip(at.tolist(), at.tolist()[1:], some)], pa.string())
+
+
 def encoder(spark, model: str):
     """A function of a text column to its ids (array<int>); null and empty texts have none. model is a path that the driver can read."""
     name = _sent(spark, model)
 
     @F.arrow_udf("array<int>")
     def encode(column: pa.Array) -> pa.Array:
-        machine = _machine(name)
-        ids, offsets = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-        texts = column.to_pylist()
-        _, ends = utf8(column)
-        for i, j in chunks(ends, TOGETHER):
-            flat, at = machine.encode_all(texts[i:j])
-            offsets.append(at[1:] + offsets[-1][-1])
-            ids.append(flat)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(offsets).astype(np.int32)), pa.array(np.concatenate(ids)))
+        return _encoded(_machine(name), column)
 
     return encode
 
@@ -338,12 +348,20 @@ def decoder(spark, model: str):
 
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
-        machine = _machine(name)
-        return pa.array([None if not x.is_valid else machine.decode(x.values.to_numpy()) for x in column], pa.string())
+        return _decoded(_machine(name), column)
 
     return decode
 
 
-def encoded(spark, model: str, text: Column) -> Column:
-    """Ids of the text column's shortest paths."""
-    return encoder(spark, model)(text)
+def codec(spark, model: str):
+    """A function of a text column to struct(ids, text): its ids and what decoding them gives back, in one pass.
+
+    Two functions one on the other would be planned as one node that encodes twice."""
+    name = _sent(spark, model)
+
+    @F.arrow_udf("struct<ids:array<int>,text:string>")
+    def both(column: pa.Array) -> pa.Array:
+        ids = _encoded(_machine(name), column)
+        return pa.StructArray.from_arrays([ids, _decoded(_machine(name), ids)], names=["ids", "text"])
+
+    return both.asNondeterministic()

@@ -110,12 +110,11 @@ def op9_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_piece_fst(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     """Ids of every text, their number, and whether decoding gives the text back."""
-    from .piecefst import decoder, encoder
+    from .piecefst import codec
 
-    model = model or _vocabulary("piece_bpe_32k.model")
-    ids = _table(spark, sf_dir, "documents").select("doc_id", "text", encoder(spark, model)(F.col("text")).alias("ids"))
-    back = decoder(spark, model)(F.col("ids"))
-    return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", (back == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    coded = codec(spark, model or _vocabulary("piece_bpe_32k.model"))
+    out = _table(spark, sf_dir, "documents").select("doc_id", "text", coded(F.col("text")).alias("p"))
+    return out.select("doc_id", F.size("p.ids").cast("bigint").alias("n_pieces"), F.col("p.ids").alias("ids"), (F.col("p.text") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
 QUERIES = {
