@@ -88,7 +88,7 @@ def stitch(found: DataFrame) -> DataFrame:
     sums = facts.groupBy("path", "upper").agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.max("stop").alias("stop"))
     outer = Window.partitionBy("path").orderBy("upper").rowsBetween(Window.unboundedPreceding, -1)
     carry = sums.select("path", "upper", F.coalesce(F.sum("n").over(outer), F.lit(0)).alias("up_n"), F.max("last").over(outer).alias("up_last"))
-    placed = own.join(carry, ["path", "upper"])
+    placed = own.hint("merge").join(carry, ["path", "upper"])
     # the first document of a block began after the last separator of any earlier block
     begin = F.coalesce("from", "up_last", F.lit(-1).cast("bigint")) + 1
     placed = placed.select("path", (F.col("before") + F.col("up_n")).alias("first"), begin.alias("begin"), "at")
@@ -172,4 +172,6 @@ def document_tokens(manifest: DataFrame, separator: int) -> DataFrame:
     """(id, n_tokens) of each text behind a manifest of write_tokens, found by scanning its files."""
     found = scan(manifest.select("path", "bytes"), separator).where("closed")
     names = manifest.select("path", F.posexplode("ids").alias("ordinal", "id"))
-    return found.join(names.withColumn("ordinal", F.col("ordinal").cast("bigint")), ["path", "ordinal"]).select("id", "n_tokens")
+    names = names.withColumn("ordinal", F.col("ordinal").cast("bigint"))
+    # both sides have a row per text, more than their file sizes tell: never broadcast
+    return found.hint("merge").join(names, ["path", "ordinal"]).select("id", "n_tokens")
