@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import connected_components
 from .scratch import Scratch, ship
-from .textkit import _U, chunks, mix, shingles, utf8, words
+from .textkit import _U, chunks, mix, relax, shingles, utf8, words
 
 #: Independent trees, tokens that choose a root branch, tokens chosen on the deepest path, most documents of a leaf.
 TREES, ROOT, DEPTH, LEAF = 16, 2, 4, 64
@@ -20,7 +20,7 @@ SKETCH, AGREE = TREES * DEPTH, 37
 #: Most documents whose full sets one task compares as a whole, and documents shared by all blocks of a larger group.
 BLOCK, HUBS = 256, 8
 #: Most bits, as a power of two, of the filters that spare rows without a partner the shuffle.
-FILTER = 26
+FILTER, SHIFTS = 26, (0, 32)
 
 _SEEDS = np.random.default_rng(85).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * _U(2) + _U(1)
 
@@ -60,12 +60,13 @@ def sketches(docs: DataFrame, text: str, id_col: str, width: int) -> DataFrame:
                 fp.append(_print(u) if len(u) else None)
                 sig.append(_sketch(u).tobytes() if len(u) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())], names=["id", "n_shingles", "fp", "sig"])
+            relax()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def _rooted(reps: DataFrame, trees: int) -> DataFrame:
-    """A row for each tree of each set: node key of the root branch, tokens chosen deeper, and the sketch of 8-bit minwise values."""
+def _rooted(reps: DataFrame, trees: int, shared=None) -> DataFrame:
+    """A row for each tree of each set: node key of the root branch, tokens chosen deeper, and the sketch of 8-bit minwise values. `shared`, a broadcast Filter of keys, leaves out most rows whose node has no other set."""
 
     def run(batches):
         for b in batches:
@@ -81,7 +82,9 @@ def _rooted(reps: DataFrame, trees: int) -> DataFrame:
                 for d in range(ROOT):
                     key = mix(key * _U(0x9E3779B97F4A7C15) + chosen[:, d])
                 path = pa.array([x.tobytes() for x in chosen[:, ROOT:].astype(np.uint32)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0), path, sk], names=["key", "fp", "path", "sk"])
+                out = pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0), path, sk], names=["key", "fp", "path", "sk"])
+                yield out if shared is None else out.filter(pa.array(_holds(shared.value, key)))
+            relax()
 
     return reps.select("fp", "sig").mapInArrow(run, "key bigint, fp binary, path binary, sk binary")
 
@@ -212,32 +215,43 @@ def _with_sets(docs: DataFrame, members: DataFrame, text: str, id_col: str, widt
                     sets.append(u.tobytes())
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([*[b.column(k).take(at) for k in range(1, 6)], pa.array(sets, pa.binary())], names=["fp", "task", "component", "blocks", "block", "set"])
+            relax()
 
     there = docs.select(F.col(id_col).alias("rep"), F.col(text).alias("text")).where(_maybe(members, "rep"))
     return there.join(members.hint("shuffle_hash"), "rep").select("text", "fp", "task", "component", "blocks", "block").mapInArrow(run, "fp binary, task bigint, component binary, blocks bigint, block bigint, set binary")
 
 
-def _maybe(members: DataFrame, key: str, tested: str | None = None):
-    """A test on a key column (`tested`, or of the same name) that is true for every key of members and false for most others: a Bloom filter of two hashes with at most FILTER bits.
+def _filter(members: DataFrame, key) -> np.ndarray:
+    """A Bloom filter of a column of 64-bit hashes: two places each among at most 2^FILTER bits, as 64-bit words.
 
     Its size is bounded, so with very many members it only lets more rows through.
     """
     bits = 1 << min(FILTER, max(16, (16 * members.count()).bit_length()))
-    at = F.explode(F.array(*[F.pmod(F.xxhash64(key, F.lit(s)), F.lit(bits)) for s in (11, 12)]))
+    at = F.explode(F.array(*[F.shiftrightunsigned(key, s).bitwiseAND(F.lit(bits - 1)) for s in SHIFTS]))
     words = members.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("b")).toArrow()
     table = np.zeros(bits // 64, np.uint64)
     table[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
-    sent = members.sparkSession.sparkContext.broadcast(table)
+    return table
+
+
+def _holds(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """True for every key of the filter, and false for most others."""
+    ok, mask = np.ones(len(keys), bool), _U(64 * len(table) - 1)
+    for s in SHIFTS:
+        at = (keys >> _U(s)) & mask
+        ok &= (table[(at >> _U(6)).astype(np.int64)] >> (at & _U(63)) & _U(1)).astype(bool)
+    return ok
+
+
+def _maybe(members: DataFrame, key: str, tested: str | None = None):
+    """A column that is true where column `tested` (or of the same name) has a value of members' key, and false for most other values."""
+    sent = members.sparkSession.sparkContext.broadcast(_filter(members, F.xxhash64(key)))
 
     @F.arrow_udf("boolean")
-    def maybe(a: pa.Array, b: pa.Array) -> pa.Array:
-        ok = np.ones(len(a), bool)
-        for x in (a, b):
-            v = x.to_numpy(zero_copy_only=False)
-            ok &= (sent.value[v >> 6] >> (v & 63).astype(np.uint64) & _U(1)).astype(bool)
-        return pa.array(ok)
+    def maybe(keys: pa.Array) -> pa.Array:
+        return pa.array(_holds(sent.value, keys.to_numpy(zero_copy_only=False).view(np.uint64)))
 
-    return maybe(*[F.pmod(F.xxhash64(tested or key, F.lit(s)), F.lit(bits)) for s in (11, 12)])
+    return maybe(F.xxhash64(tested or key))
 
 
 def _compared(rows: DataFrame, hundredths: int, parts: int) -> DataFrame:
@@ -286,7 +300,9 @@ def similarity_components(
     for level in range(1, levels + 1):
         # written, so that the join has exchanges of its own, whose large partitions can be split
         sizes = scratch.keep(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), f"sizes{level}")
-        rows = scratch.keep(rows.where(_maybe(sizes, "key")).join(sizes.hint("merge"), "key"), f"level{level}")
+        if level == 1:
+            rows = _rooted(reps, trees, spark.sparkContext.broadcast(_filter(sizes, F.col("key"))))
+        rows = scratch.keep(rows.join(sizes.hint("merge"), "key"), f"level{level}")
         leaves.append(rows.where(F.col("size") <= LEAF).select("key", "fp", "sk"))
         rows = rows.where(F.col("size") > LEAF).drop("size")
         if level < levels:

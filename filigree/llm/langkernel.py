@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .scratch import ship
-from .textkit import utf8
+from .textkit import relax, utf8
 
 #: Hash buckets of n-grams; n runs over ORDERS (bytes of UTF-8, letters only).
 BUCKETS, ORDERS = 1 << 14, (1, 2, 3, 4)
@@ -88,6 +88,7 @@ class LanguageModel:
         def scored(column: pa.Array) -> pa.Array:
             languages, weights, bias = sent.value
             s = kernel_scores(column, weights, bias)
+            relax()
             best = s.argmax(1) if len(s) else np.zeros(0, int)
             top = np.clip((1 + s[np.arange(len(s)), best].astype(np.float64)) / 2, 0, 1)
             return pa.StructArray.from_arrays([pa.array(languages).take(pa.array(best)).cast(pa.string()), pa.array(top)], names=["lang", "score"])

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .scratch import ship
-from .textkit import _POWERS, _SPACE, _TABLE, _U, _powers, mix, utf8, words
+from .textkit import _SPACE, _TABLE, _U, _powers, mix, relax, utf8, words
 
 #: Hash buckets of words, of word shapes and of whole-text properties; rank of the latent space.
 WORDS, SHAPES, FACTS, RANK = 1 << 13, 1 << 11, 64, 64
@@ -78,7 +78,9 @@ class VoteModel:
 
         @F.arrow_udf("double")
         def scored(column: pa.Array) -> pa.Array:
-            return pa.array(votes(column, *sent.value))
+            out = votes(column, *sent.value)
+            relax()
+            return pa.array(out)
 
         return scored(F.coalesce(text, F.lit("")))
 

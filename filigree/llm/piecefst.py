@@ -12,7 +12,7 @@ from pyspark import SparkFiles
 from pyspark.sql import functions as F
 
 from .scratch import ship
-from .textkit import chunks, utf8
+from .textkit import chunks, relax, utf8
 
 SPACE = "▁"
 #: Words, and pairs of pieces, that a worker remembers; the memory starts anew beyond it.
@@ -362,6 +362,8 @@ def codec(spark, model: str):
     @F.arrow_udf("struct<ids:array<int>,text:string>")
     def both(column: pa.Array) -> pa.Array:
         ids = _encoded(_machine(name), column)
-        return pa.StructArray.from_arrays([ids, _decoded(_machine(name), ids)], names=["ids", "text"])
+        out = pa.StructArray.from_arrays([ids, _decoded(_machine(name), ids)], names=["ids", "text"])
+        relax()
+        return out
 
     return both.asNondeterministic()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .scratch import ship
-from .textkit import chunks, mix, utf8, words
+from .textkit import chunks, mix, relax, utf8, words
 
 _U = np.uint64
 #: Words of a shingle, least similarity, Hamming radius, blocks of a fingerprint (16 bits each).
@@ -277,6 +277,7 @@ def _search(sent, schema: str):
                 out[i + r].append({"item": index.items[k][0], "similarity": s})
         for x in out:
             x.sort(key=lambda d: d["item"])
+        relax()
         return pa.array(out, pa.list_(pa.struct([("item", pa.from_numpy_dtype(np.int64) if "bigint" in schema else pa.int32() if "item:int" in schema else pa.string()), ("similarity", pa.float64())])))
 
     return search

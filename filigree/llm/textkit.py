@@ -7,11 +7,18 @@ decoding. Every function treats a null text as an empty one.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018  absent from other C libraries
+except (OSError, AttributeError):
+    _LIBC = None
+
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = _U(pow(int(_ODD), -1, 1 << 64))
@@ -24,6 +31,13 @@ _LOWER[65:91] += 32
 CHUNK = 1 << 20
 
 
+def relax() -> None:
+    """Give memory that a batch has freed back to the system: workers live on, beside others."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit moves every output bit."""
     x = x ^ (x >> _U(30))
