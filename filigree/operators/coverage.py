@@ -107,8 +107,9 @@ def fiscal_years(cov: DataFrame, since: int = 2022) -> DataFrame:
     return cov.where(F.col("fiscal_year") >= since).select("fiscal_year").distinct()
 
 
-def grid(cov: DataFrame, years: list[int]) -> DataFrame:
-    """Per ticker and year a string of the quarters Q1 to Q3 that have a quarterly report, a dot for one without."""
+def grid(cov: DataFrame, years: list[int] | None = None) -> DataFrame:
+    """Per ticker and year a string of the quarters Q1 to Q3 that have a quarterly report, a dot for one without; without years, all of fiscal_years."""
+    years = sorted(r.fiscal_year for r in fiscal_years(cov).collect()) if years is None else years
     q = cov.where(F.col("form") == "10-Q").groupBy("ticker").pivot("fiscal_year", years)
     cell = F.concat(*[F.coalesce(F.max(F.when(F.col("fiscal_quarter") == f"Q{k}", str(k))), F.lit(".")) for k in (1, 2, 3)])
     found = q.agg(cell)

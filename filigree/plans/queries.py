@@ -199,6 +199,15 @@ def coverage_grid(spark, sf_dir):
     return grid.select("ticker", *[F.translate(c, ".", "").alias(c) for c in ("fy2022", "fy2023")])
 
 
+@query(WITH + """ select ticker, string_agg(cell, ' ' order by y) as grid from (select ticker, y, string_agg(case when n is null then '.' else substr(q, 2, 1) end, '' order by q) as cell from
+ (select distinct ticker from cov) cross join (select distinct fiscal_year as y from cov where fiscal_year >= 2022) cross join (select unnest(['Q1', 'Q2', 'Q3']) as q)
+ left join (select ticker, fiscal_year as y, fiscal_quarter as q, count(*) as n from cov where form = '10-Q' group by all) using (ticker, y, q) group by ticker, y) group by ticker""")
+def coverage_grid_all(spark, sf_dir):
+    """The grid as the reference prints it: every fiscal year since 2022, a dot for each quarter without a report."""
+    grid = cov_ops.grid(standin.coverage(standin.chunks(spark, sf_dir)))
+    return grid.select("ticker", F.concat_ws(" ", *grid.columns[1:]).alias("grid"))
+
+
 @query(WITH + " select ticker from cov where form = '10-Q' and fiscal_year between 2023 and 2025 and fiscal_quarter in ('Q1', 'Q2', 'Q3') group by ticker having count(distinct (fiscal_year, fiscal_quarter)) = 9")
 def fully_covered(spark, sf_dir):
     return cov_ops.fully_covered(standin.coverage(standin.chunks(spark, sf_dir)))
