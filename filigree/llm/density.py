@@ -35,6 +35,10 @@ IMPLIED = {
 FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline captcha comment comments commentlist consent cookie cookies disqus disclaimer dropdown footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promoted promotion recommended related replies respond search share sharing shoutbox sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription taboola toolbar tooltip widget widgets".split()
 )
+#: Those of them that mark what readers wrote (fixed values).
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+#: First, last and wrapping parts of a name that tells what a node has or is set to, not what it is (fixed values).
+FIRST, LAST, WRAPS = frozenset("has no with without".split()), frozenset("open opened closed enabled disabled".split()), frozenset("wrap wrapper container".split())
 #: Words of a class or id that mark an article (fixed values).
 CONTENT = frozenset("article content entry main post story text".split())
 #: Roles that mark page furniture (fixed values).
@@ -46,24 +50,35 @@ _SPLIT = re.compile(r"[^a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def furniture(name: str) -> set[str]:
+    """The words of one class or id, in lower case, that call its node furniture: has-sidebar, comments-open or content-sidebar-wrap do not."""
+    parts = [x for x in _SPLIT.split(name) if x]
+    said = FURNITURE.intersection(parts)
+    if not said or (len(parts) > 1 and (parts[0] in FIRST or parts[-1] in LAST or (parts[-1] in WRAPS and not CONTENT.isdisjoint(parts)))):
+        return set()
+    return said - {"widget", "widgets"} if parts[0] == "elementor" else said
+
+
 class Tree:
-    """A document as parallel lists: tag, parent, dropped; and text pieces (node, text) in page order, None for a block border."""
+    """A document as parallel lists: tag, parent, dropped, furniture by its words; and text pieces (node, text) in page order, None for a block border."""
 
-    __slots__ = ("tag", "parent", "gone", "article", "pieces")
+    __slots__ = ("tag", "parent", "gone", "said", "home", "article", "pieces")
 
     def __init__(self):
-        self.tag, self.parent, self.gone, self.article, self.pieces = ["#root"], [-1], [False], [False], []
+        self.tag, self.parent, self.gone, self.said, self.home, self.article, self.pieces = ["#root"], [-1], [False], [None], [False], [False], []
 
     def child(self, tag: str, parent: int, attributes: str) -> int:
-        gone = self.gone[parent] or tag in DROPPED
+        gone, marks = self.gone[parent] or tag in DROPPED, None
         article = tag in ("article", "main")
         if len(attributes) > 1:
-            words, role, label = set(), "", ""
+            words, said, role, label = set(), set(), "", ""
             for m in _ATTR.finditer(attributes):
                 name = m[1].lower()
                 value = m[2] or m[3] or m[4] or ""
                 if name in ("class", "id"):
-                    words.update(_SPLIT.split(value.lower()))
+                    for x in value.lower().split():
+                        words.update(_SPLIT.split(x))
+                        said |= furniture(x)
                 elif name == "role":
                     role = value.lower().strip()
                 elif name == "itemprop":
@@ -72,14 +87,17 @@ class Tree:
                     gone = True
             article = article or role in ("article", "main") or label == "articlebody"
             if tag not in ("html", "body", "main"):
-                said = words & FURNITURE
-                if role in ROLES or (said and not (words & CONTENT and said <= {"header", "notice", "related", "share"}) and (tag != "article" or said & {"comment", "comments", "ad", "ads", "advert", "sponsored", "promo"})):
+                if role in ROLES:
                     gone = True
+                elif said and not (words & CONTENT and said <= {"header", "notice", "related", "share"}) and (tag != "article" or said & {"comment", "comments", "ad", "ads", "advert", "sponsored", "promo"}):
+                    marks = said
         if tag == "header" and not self.article[parent]:
             gone = True
         self.tag.append(tag)
         self.parent.append(parent)
         self.gone.append(gone)
+        self.said.append(marks)
+        self.home.append(article)
         self.article.append(article or self.article[parent])
         return len(self.tag) - 1
 
@@ -143,13 +161,61 @@ def parse(html: str) -> Tree:
     return t
 
 
+def dropped(t: Tree) -> list[bool]:
+    """Nodes that go: those of t.gone, and furniture by its words unless the text of the page is in it (see extract)."""
+    marked = [k for k, x in enumerate(t.said) if x and not t.gone[k]]
+    if not marked:
+        return t.gone
+    n, parent = len(t.tag), t.parent
+    plain, clean = [0] * n, [0] * n  # text outside links: all but what readers wrote; all but furniture
+    linked, by_readers, by_words = [False] * n, [False] * n, [False] * n
+    for k in range(1, n):
+        p, said = parent[k], t.said[k]
+        linked[k] = linked[p] or t.tag[k] == "a"
+        by_words[k] = by_words[p] or bool(said)
+        by_readers[k] = by_readers[p] or bool(said and said & COMMENTS)
+    for k, s in t.pieces:
+        if s is not None and not t.gone[k] and not linked[k]:
+            size = len("".join(s.split()))
+            plain[k] += 0 if by_readers[k] else size
+            clean[k] += 0 if by_words[k] else size
+    for k in range(n - 1, 0, -1):
+        plain[parent[k]] += plain[k]
+        clean[parent[k]] += clean[k]
+    # the article: the one that says most; one that is furniture, or lies in what readers wrote, is none
+    homes = [k for k in range(n) if t.home[k] and not t.gone[k] and not t.said[k] and plain[k]]
+    lead = max(homes, key=lambda k: (plain[k], -k), default=None)
+    holds, k = set(), lead
+    while k is not None and k >= 0:
+        holds.add(k)
+        k = parent[k]
+    inside = [False] * n
+    stays = set()
+    for k in range(1, n):
+        inside[k] = k == lead or inside[parent[k]]
+        if t.said[k] and not t.gone[k]:
+            left = clean[0] - clean[k]
+            if k in holds:
+                keep = t.tag[lead] == "main" or 4 * plain[lead] >= left
+            elif t.said[k] & COMMENTS:
+                keep = not left and lead is None
+            else:
+                keep = (lead is None or inside[k]) and plain[k] > left
+            if keep:
+                stays.add(k)
+    gone = t.gone[:]
+    for k in range(1, n):
+        gone[k] = gone[k] or gone[parent[k]] or bool(t.said[k] and k not in stays)
+    return gone
+
+
 def main_text(html: str | None) -> str:
     """The text of the densest subtree (see extract)."""
     if not html:
         return ""
     t = parse(html)
     n = len(t.tag)
-    parent, gone = t.parent, t.gone
+    parent, gone = t.parent, dropped(t)
     chars, linked, tags, links, own = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
     in_link = [False] * n
     for k in range(1, n):
@@ -224,7 +290,10 @@ def extract(spark, html: Column) -> Column:
     """Main text of a page's html, a string (empty for null, empty or textless pages).
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-    comments go first, by element, role, class and id. Every other node gets its composite
+    comments go first, by element, role, class and id. Names that tell what a node has or
+    wraps (has-sidebar, comments-open) do not count, and no class or id drops the node that
+    holds the longest article or main element, or else more text outside links than the
+    page would keep without it: the density decides there. Every other node gets its composite
     density: characters per tag, lowered by the share of linked characters and tags. The
     subtree with the largest sum of child densities is the main text, as is every block
     beside it that is as dense as the sparsest node between body and it; a subtree inside
