@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DoubleType
 
 from filigree.functions import cleaning, models, parsing
 from filigree.operators import answering, chunks, citations, coverage, evaluation, index, search, sections
@@ -37,7 +36,7 @@ class Engine:
         self.spark, self.folder, self.settings = spark, folder.rstrip("/"), settings
         self.embedder = embedder or models.HashEmbedder(settings.embed_dim)
         self.generator = generator or models.generator(settings)
-        self.judge = judge or models.OverlapJudge()
+        self.judge = judge or models.judge(settings)
         self.planner, self.counter = planner, counter
         self.store = IndexStore(spark, f"{self.folder}/index")
 
@@ -115,6 +114,11 @@ class Engine:
         q = self.spark.createDataFrame(rows, "aid int, question string, needs_comparison boolean")
         return answering.answers(q, self.labelled(found), found.gaps, self.generator, self.settings.answer_mode), found
 
+    def eval_set(self, n: int = 10) -> DataFrame:
+        """Evaluation items of all four types over the index; the generator writes the n synthetic questions."""
+        cov = self.coverage().where("status = 'ok'")
+        return evaluation.build_set(self.companies(), cov, coverage.fully_covered(cov), self.store.read("chunks"), chunks.count_tokens(F.col("text")), self.generator, n)
+
     def evaluate(self, items: DataFrame, judged: bool = True) -> DataFrame:
         """Scores of evaluation items (see evaluation.item, with id). A question that no plan can be made for is an error of its own row."""
         began = time.time()
@@ -136,15 +140,22 @@ class Engine:
         d = d.join(items, "id").join(out.select("aid", F.col("text").alias("answer"), "valid", "invalid", "gaps"), "aid").join(first, "aid", "left").join(texts, "aid", "left")
         judge = self.judge
 
-        @F.arrow_udf(DoubleType())
+        @F.arrow_udf("struct<score: double, error: string>")
         def faithful(answers: pa.Array, excerpts: pa.Array) -> pa.Array:
-            return pa.array([judge.faithfulness(a, e) if e else None for a, e in zip(answers.to_pylist(), excerpts.to_pylist())], pa.float64())
+            out = []
+            for a, e in zip(answers.to_pylist(), excerpts.to_pylist()):
+                try:
+                    out.append((judge.faithfulness(a, e) if e else None, ""))
+                except Exception as x:  # a model may fail on one answer alone
+                    out.append((None, f"{type(x).__name__}: {x}"[:300]))
+            return pa.StructArray.from_arrays([pa.array([s for s, _ in out], pa.float64()), pa.array([x for _, x in out], pa.string())], names=["score", "error"])
 
         accuracy, misses = evaluation.planner_checks()
         is_ = lambda *types: F.col("type").isin(*types)
         ticker = F.try_element_at("expected_tickers", F.lit(1))
         hits = F.coalesce(F.try_element_at("by_ticker", ticker), F.array().cast("array<string>"))
-        cited = F.transform("valid", lambda i: F.try_element_at("texts", i))
+        cited = F.transform("valid", lambda i: F.concat(*([F.lit("["), i, F.lit("]\n")] if getattr(judge, "labelled", False) else []), F.try_element_at("texts", i)))
+        d = d.withColumn("said", F.when(~is_("unanswerable"), faithful("answer", cited)) if judged else F.lit(None).cast("struct<score: double, error: string>"))
         spent = (time.time() - began) / max(len(rows), 1)
         return d.select(
             "id",
@@ -156,13 +167,13 @@ class Engine:
             F.when(F.size("expected_tickers") > 1, F.round(evaluation.company_coverage(F.col("expected_tickers"), F.col("valid"), F.col("gaps")), 3)).alias("company_coverage"),
             F.when(is_("template", "example"), F.round(accuracy, 3)).alias("planner_accuracy"),
             F.when(is_("template", "example"), F.array_join(misses, " ")).alias("planner_misses"),
-            (F.when(~is_("unanswerable"), faithful("answer", cited)) if judged else F.lit(None).cast("double")).alias("faithfulness"),
+            F.col("said.score").alias("faithfulness"),
             F.when(is_("unanswerable"), evaluation.abstained(ticker, F.col("gaps"), F.col("answer")).cast("int")).alias("abstained"),
             F.size("valid").alias("n_citations"),
             F.array_join("invalid", " ").alias("invalid_citations"),
             F.array_join("gaps", " | ").alias("gaps"),
             F.lit(round(spent, 1)).alias("latency_s"),
-            "error",
+            F.coalesce(F.nullif("error", F.lit("")), F.col("said.error"), F.lit("")).alias("error"),
             "answer",
         )
 

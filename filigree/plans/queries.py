@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from filigree.functions import cleaning, parsing
+from filigree.functions.models import ExtractiveGenerator
 from filigree.operators import chunks as chunk_ops, citations, coverage as cov_ops, evaluation, index, search, sections
 from filigree.plans import planning, standin
 from filigree.plans.standin import tables
@@ -580,9 +581,12 @@ def eval_sample(spark, sf_dir):
 
 @query()
 def eval_items(spark, sf_dir):
-    """Template and unanswerable questions over the stand-in companies."""
-    cov, comp = standin.coverage(standin.chunks(spark, sf_dir)), standin.companies(spark)
-    return evaluation.numbered(evaluation.template_items(comp, cov, cov_ops.fully_covered(cov)).unionByName(evaluation.unanswerable_items(comp, cov)))
+    """Items of all four types over the stand-in companies; the offline model writes the synthetic questions."""
+    c, comp = standin.chunks(spark, sf_dir), standin.companies(spark)
+    cov = standin.coverage(c)
+    label = F.concat(F.when(F.col("fiscal_quarter") == "FY", "").otherwise(F.concat("fiscal_quarter", F.lit(" "))), F.lit("FY"), "fiscal_year")
+    named = c.join(comp.select("ticker", F.col("name").alias("company")), "ticker").withColumn("fiscal_label", label)
+    return evaluation.build_set(comp, cov, cov_ops.fully_covered(cov), named, chunk_ops.count_tokens(F.col("text")), ExtractiveGenerator())
 
 
 @query("select doc_id, case when doc_id % 2 = 0 then '{\"a\": {\"b\": ' || doc_id || '}}' else 'no object ' || doc_id end as obj from documents")

@@ -1,6 +1,14 @@
 """Jobs that a review found cut short."""
 
-from filigree.operators import coverage
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from filigree.functions import models
+from filigree.operators import chunks, coverage, evaluation
+from filigree.plans import queries
+from filigree.settings import Settings
 
 
 def test_grid_has_every_year_and_its_dots(spark):
@@ -9,3 +17,49 @@ def test_grid_has_every_year_and_its_dots(spark):
     got = coverage.grid(cov)
     assert got.columns == ["ticker", "fy2022", "fy2024", "fy2025"]
     assert sorted(map(tuple, got.collect())) == [("A", "...", "1..", ".23"), ("B", "...", "...", "...")]
+
+
+class Scripted:
+    """Gives replies in turn and remembers what it was asked."""
+
+    def __init__(self, *replies):
+        self.replies, self.asked = list(replies), []
+
+    def complete(self, prompt, system=None, json_mode=False):
+        assert json_mode
+        self.asked.append(prompt)
+        return self.replies.pop(0)
+
+
+def test_synthetic_items_replace_bad_replies(spark):
+    rows = [(f"{t}-{k}", t, f"{t} Inc", "10-K", "FY2024", "mdna", f"{t}{k} word " * 200) for t in ("A", "B", "C") for k in range(3)]
+    rows += [("D-0", "D", "D Inc", "10-K", "FY2024", "controls", "word " * 400), ("E-0", "E", "E Inc", "10-K", "FY2024", "mdna", "too short")]
+    c = spark.createDataFrame(rows, "id string, ticker string, company string, form string, fiscal_label string, section string, text string")
+    tokens = chunks.count_tokens(F.col("text"))
+    model = Scripted("no json", '{"q": 1}', '["x"]', 'So: {"question": "One?"} there', '{"question": " "}', '{"question": "Two?"}')
+    got = evaluation.synthetic_items(c, tokens, model, n=2).collect()
+    assert [r.question for r in got] == ["One?", "Two?"] and len(model.asked) == 6
+    assert all(r.type == "synthetic" and r.gold_chunk.split("-")[0] == r.expected_tickers[0] and r.expected_sections == ["mdna"] for r in got)
+    assert len({r.expected_tickers[0] for r in got}) == 2 and "FY2024 10-K" in model.asked[0]
+    for r, prompt in zip(got, (model.asked[3], model.asked[5])):
+        assert r.gold_chunk.replace("-", "") + " word" in prompt  # the gold chunk is the one that was read
+    assert evaluation.synthetic_items(c, tokens, Scripted(*["bad"] * 9), n=10).count() == 0
+    assert evaluation.synthetic_items(c, tokens, Scripted(*['{"question": "Q?"}'] * 3), n=10).count() == 3
+
+
+def test_item_set_has_all_types(spark, small):
+    rows = queries.eval_items(spark, small).collect()
+    assert {"example", "template", "synthetic"} <= {r.type for r in rows} and len({r.id for r in rows}) == len(rows)
+    assert [r.expected_last_n for r in rows if r.type == "example"].count(2) == 1 and sum(r.type == "example" for r in rows) == 3
+    assert all((r.gold_chunk is not None) == (r.type == "synthetic") for r in rows)
+
+
+def test_model_judge():
+    model = Scripted('{"supported": 2, "total": 3, "unsupported_claims": ["c"]}', '{"supported": 5, "total": 4}', '{"total": 0}', "none")
+    judge = models.ModelJudge(model)
+    assert [judge.faithfulness("- a", ["[X-1]\ntext"]) for _ in range(3)] == [0.667, 1.0, 0.0]
+    assert "[X-1]\ntext" in model.asked[0] and judge.faithfulness("- a", []) is None
+    with pytest.raises(json.JSONDecodeError):
+        judge.faithfulness("- a", ["x"])
+    assert isinstance(models.judge(Settings()), models.OverlapJudge)
+    assert isinstance(models.judge(Settings(judge_provider="openai", judge_model="m")), models.ModelJudge)
