@@ -87,11 +87,12 @@ def relevant(subq: DataFrame, chunks: DataFrame) -> DataFrame:
     return both.select("q.sq", "q.fiscal_year", "q.vector", "c.id", "c.embedding", tier.alias("own_tier"))
 
 
-def relaxed(subq: DataFrame, chunks: DataFrame, post: DataFrame, idf: DataFrame, stats: DataFrame, *, top: int = 20, rrf_k: int = 60, quota: int = 5) -> DataFrame:
+def relaxed(subq: DataFrame, chunks: DataFrame, post: DataFrame, idf: DataFrame, stats: DataFrame, *, top: int = 20, rrf_k: int = 60, quota: int = 5, reranker=None) -> DataFrame:
     """Hits of every sub-query and year under the strictest tier that finds anything, at most quota each: (sq, fiscal_year, tier, id, rrf, dense_rank, bm25_rank, place).
 
     subq: (sq, ticker, query, sections, periods, fiscal_year, vector); a null fiscal_year
     searches all years as one group. A row of a stricter tier counts in the looser ones.
+    A reranker (a column function of query and text) orders the fused hits before the quota.
     """
     seen = relevant(subq, chunks).withColumn("tier", F.explode(F.sequence("own_tier", F.lit(2))))
     by = ["sq", "fiscal_year", "tier"]
@@ -104,7 +105,12 @@ def relaxed(subq: DataFrame, chunks: DataFrame, post: DataFrame, idf: DataFrame,
     fused = fuse(sure(dense), sure(sparse), by, rrf_k)
     best = Window.partitionBy("sq", "fiscal_year")
     kept = fused.withColumn("_t", F.min("tier").over(best)).where("tier = _t").drop("_t")
-    out = kept.withColumn("place", F.row_number().over(fusion_order("sq", "fiscal_year")).cast("bigint")).where(F.col("place") <= quota)
+    if reranker is None:
+        out = kept.withColumn("place", F.row_number().over(fusion_order("sq", "fiscal_year")).cast("bigint"))
+    else:
+        read = kept.join(chunks.select("id", F.col("text").alias("_text")), "id").join(texts.select(F.col("qid").alias("sq"), F.col("query").alias("_query")), "sq")
+        out = rerank(read, reranker(F.col("_query"), F.col("_text")), ["sq", "fiscal_year"]).drop("_text", "_query")
+    out = out.where(F.col("place") <= quota)
     return out.withColumn("fiscal_year", F.nullif("fiscal_year", F.lit(0)))
 
 

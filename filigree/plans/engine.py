@@ -31,13 +31,14 @@ class Retrieval:
 class Engine:
     """Tables under one folder: coverage, companies and the index. The company dimension is small and is read by planners on the driver."""
 
-    def __init__(self, spark: SparkSession, folder: str, settings: Settings = Settings(), embedder=None, generator=None, judge=None, planner=None, counter=None):
+    def __init__(self, spark: SparkSession, folder: str, settings: Settings = Settings(), embedder=None, generator=None, judge=None, planner=None, counter=None, reranker=None):
         ship(spark)
         self.spark, self.folder, self.settings = spark, folder.rstrip("/"), settings
         self.embedder = embedder or models.HashEmbedder(settings.embed_dim)
         self.generator = generator or models.generator(settings)
         self.judge = judge or models.judge(settings)
         self.planner, self.counter = planner, counter
+        self.reranker = (reranker or models.OverlapReranker()) if settings.rerank else None
         self.store = IndexStore(spark, f"{self.folder}/index")
 
     def coverage(self) -> DataFrame:
@@ -91,7 +92,7 @@ class Engine:
         subq = planning.resolve_years(subq, cov)
         years = planning.search_years(subq, cov).withColumn("vector", self.embedder.column("query")(F.col("query")))
         rows = self.store.read("chunks")
-        hits = search.relaxed(years, rows, self.store.read("postings"), self.store.read("idf"), self.store.read("stats"), top=s.top_k, rrf_k=s.rrf_k, quota=s.per_ticker)
+        hits = search.relaxed(years, rows, self.store.read("postings"), self.store.read("idf"), self.store.read("stats"), top=s.top_k, rrf_k=s.rrf_k, quota=s.per_ticker, reranker=self.reranker and self.reranker.column())
         found = hits.drop("fiscal_year").join(rows.drop("embedding", "embed_text", "hash"), "id").join(subq.select("sq", F.col("plan").alias("aid")), "sq")
         by_sq = subq.select("sq", F.col("plan").alias("aid"))
         gaps = planning.coverage_gaps(subq, cov).select("sq", "gap").union(planning.empty_gaps(subq, hits).select("sq", "gap")).join(by_sq, "sq").select("aid", "gap")

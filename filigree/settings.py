@@ -31,6 +31,7 @@ class Settings:
     judge_model: str = ""
     llm_timeout: float = 60.0
     llm_cache: bool = True
+    llm_cache_dir: str = "cache"
     fallback_models: tuple[str, ...] = field(default_factory=tuple)
     fiscal_tolerance_days: int = 10
     days_per_quarter: float = 91.3

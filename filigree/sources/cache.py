@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -36,6 +37,6 @@ class FileCache:
     def put(self, k: str, text: str) -> None:
         if text:
             self.folder.mkdir(parents=True, exist_ok=True)
-            part = self.folder / f"{k}.part"
+            part = self.folder / f"{k}.{os.getpid()}.part"
             part.write_text(json.dumps({"text": text}))
             part.rename(self.folder / f"{k}.json")

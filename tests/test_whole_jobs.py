@@ -1,13 +1,15 @@
 """Jobs that a review found cut short."""
 
 import json
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from filigree.functions import models
-from filigree.operators import chunks, coverage, evaluation
-from filigree.plans import queries
+from filigree.operators import chunks, coverage, evaluation, search
+from filigree.plans import planning, queries
+from filigree.plans.engine import Engine
 from filigree.settings import Settings
 
 
@@ -63,3 +65,30 @@ def test_model_judge():
         judge.faithfulness("- a", ["x"])
     assert isinstance(models.judge(Settings()), models.OverlapJudge)
     assert isinstance(models.judge(Settings(judge_provider="openai", judge_model="m")), models.ModelJudge)
+
+
+def test_reranker_orders_before_the_quota(spark, small):
+    subq, cov = queries._subqueries(spark, small)
+    vector = spark.read.parquet(f"{small}/embeddings.parquet").select(F.col("vec_id").cast("int").alias("sq"), F.col("embedding").alias("vector"))
+    years = planning.search_years(subq, cov).join(vector, "sq", "left")
+    c, post, idf, stats = queries._index(spark, small)
+    score = lambda query, text: F.crc32(text.cast("binary")).cast("double")
+    every = search.relaxed(years, c, post, idf, stats, quota=10_000).join(c.select("id", "text"), "id").collect()
+    want = {}
+    for r in every:
+        want.setdefault((r.sq, r.fiscal_year), []).append((-float(zlib.crc32(r.text.encode())), r.id))
+    got = search.relaxed(years, c, post, idf, stats, quota=2, reranker=score).collect()
+    assert max(map(len, want.values())) > 2
+    assert {(r.sq, r.fiscal_year, r.place, r.id) for r in got} == {(*k, n, i) for k, v in want.items() for n, (_, i) in enumerate(sorted(v)[:2], 1)}
+
+
+def test_settings_reach_reranker_and_cache(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path), Settings(rerank=True))
+    assert Engine(spark, str(tmp_path)).reranker is None
+    rows = spark.createDataFrame([("red fox", "a red fox"), ("red fox", "a fox"), ("red fox", None), (None, "x")], "q string, t string")
+    assert [r.s for r in rows.select(engine.reranker.column()("q", "t").alias("s")).collect()] == [1.0, 0.5, 0.0, 0.0]
+    hosted = models.generator(Settings(llm_provider="openai", llm_model="m", llm_cache_dir=str(tmp_path / "replies")))
+    calls = []
+    hosted.inner.call = lambda *a, **b: calls.append(a) or {"choices": [{"message": {"content": "said"}}]}
+    assert [hosted.complete("x"), hosted.complete("x")] == ["said", "said"] and len(calls) == 1
+    assert isinstance(models.generator(Settings(llm_provider="openai", llm_model="m", llm_cache=False)), models.HttpGenerator)
