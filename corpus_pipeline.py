@@ -9,8 +9,10 @@ from filigree.llm.scratch import Scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a known language: the kernel classifier, learned from the labelled ones, finds none (`und`) for the others."""
+    """Keep documents with a letter: the kernel classifier finds no language (`und`) for the others alone. Without labelled documents nothing is learned, and letters decide all the same."""
     model = langkernel.fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     own = docs.columns
     return docs.withColumn("_said", model.predict(spark, F.col("text"))).where("_said.lang <> 'und'").select(*own)
 

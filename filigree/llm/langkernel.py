@@ -12,8 +12,8 @@ from .textkit import relax, utf8
 
 #: Hash buckets of n-grams; n runs over ORDERS (bytes of UTF-8, letters only).
 BUCKETS, ORDERS = 1 << 14, (1, 2, 3, 4)
-#: Bounds of the fit: languages learned, labelled texts and landmarks of each and in all, and the ridge.
-LANGUAGES, PER_LANGUAGE, TEXTS, LANDMARKS, ALL_LANDMARKS, RIDGE = 256, 1500, 20_000, 48, 1024, 1e-3
+#: Bounds of the fit: labelled texts and landmarks of each language and in all (one of each at least), and the ridge.
+PER_LANGUAGE, TEXTS, LANDMARKS, ALL_LANDMARKS, RIDGE = 1500, 20_000, 48, 1024, 1e-3
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -99,8 +99,8 @@ class LanguageModel:
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_col: str = "doc_id", where: Column | None = None) -> LanguageModel:
     """Learn languages from labelled texts.
 
-    At most LANGUAGES languages (the most frequent) and about PER_LANGUAGE texts of each,
-    TEXTS in all, are used, chosen by a hash of the id; LANDMARKS texts of each language,
+    Every language is learned, from about PER_LANGUAGE texts of each, TEXTS in all, one at
+    least, chosen by a hash of the id; LANDMARKS texts of each language,
     ALL_LANDMARKS in all, are the Nyström landmarks. Rows with a null text, id or language teach nothing; with no
     labelled row the model is empty and predicts `und`.
     """
@@ -108,12 +108,12 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_col: str
     ship(spark)
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(id_col).isNotNull())
     rows = rows.where(where) if where is not None else rows
-    top = rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()
+    h = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(9)), F.lit(1 << 30))
+    top = rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n"), F.min(h).alias("first")).collect()
     if not top:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
     each = min(PER_LANGUAGE, TEXTS // len(top))
-    share = F.create_map(*[x for r in top for x in (F.lit(r.l), F.lit(min(1 << 30, each * (1 << 30) // r.n)))])
-    h = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(9)), F.lit(1 << 30))
+    share = F.create_map(*[x for r in top for x in (F.lit(r.l), F.lit(max(r["first"] + 1, min(1 << 30, each * (1 << 30) // r.n))))])
     chosen = rows.where(h < F.coalesce(F.try_element_at(share, F.col(lang)), F.lit(0)))
     small = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(10)), F.lit(1 << 30))
 

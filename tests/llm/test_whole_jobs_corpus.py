@@ -1,8 +1,9 @@
 """Jobs of the corpus operators that a review found cut short."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from filigree.llm import density
+from filigree.llm import density, langkernel
 
 LINE = "The first sentence of the story goes on for a while and then it stops. " * 6
 STORY = f"<h1>Head</h1><p>{LINE}</p><p>{LINE}</p>"
@@ -28,3 +29,21 @@ BOX = "<div class='elementor-element elementor-widget elementor-widget-text-edit
 def test_words_of_wrappers_drop_no_article(page):
     got = density.main_text(f"<body>{page}</body>")
     assert got.endswith(TEXT.partition("\n")[2]) and "Side" not in got and "teaser" not in got and "Reader" not in got
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langkernel, "TEXTS", 100)  # fewer than the languages
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k: "".join(letters[(k * p + q) % 26] for p, q in ((1, 3), (7, 1), (3, k // 26), (11, k // 13)))
+    rows = [(4 * k + j, " ".join([word(k)] * 30), f"l{k:03d}") for k in range(300) for j in range(1 if k > 290 else 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langkernel.fit(docs)
+    assert model.languages == [f"l{k:03d}" for k in range(300)]
+    got = docs.select("lang", model.predict(spark, F.col("text"))["lang"].alias("p")).where("lang >= 'l256'").collect()
+    assert sum(r.lang == r.p for r in got) >= 0.9 * len(got)
+
+
+def test_pipeline_without_labels_keeps_texts(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.createDataFrame([(1, "some text", None), (2, "12 !", None), (3, None, None)], "doc_id bigint, text string, lang string")
+    assert [r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()] == [1]
