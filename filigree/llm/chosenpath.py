@@ -217,8 +217,21 @@ def _with_sets(docs: DataFrame, members: DataFrame, text: str, id_col: str, widt
             yield pa.RecordBatch.from_arrays([*[b.column(k).take(at) for k in range(1, 6)], pa.array(sets, pa.binary())], names=["fp", "task", "component", "blocks", "block", "set"])
             relax()
 
-    there = docs.select(F.col(id_col).alias("rep"), F.col(text).alias("text")).where(_maybe(members, "rep"))
-    return there.join(members.hint("shuffle_hash"), "rep").select("text", "fp", "task", "component", "blocks", "block").mapInArrow(run, "fp binary, task bigint, component binary, blocks bigint, block bigint, set binary")
+    def named(batches):
+        for b in batches:
+            sets = [(_print(u), u.tobytes()) for u in _sets(b.column(0), width) if len(u)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in sets], pa.binary()) for k in (0, 1)], names=["fp", "set"])
+            relax()
+
+    there = docs.select(F.col(id_col).alias("rep"), F.col(text).alias("text"))
+    named_by_id = there.where("rep is not null").where(_maybe(members, "rep"))
+    found = named_by_id.join(members.hint("shuffle_hash"), "rep").select("text", "fp", "task", "component", "blocks", "block").mapInArrow(run, "fp binary, task bigint, component binary, blocks bigint, block bigint, set binary")
+    nameless = members.where("rep is null")
+    if nameless.isEmpty():
+        return found
+    # no id leads to these sets, so their rows are found by the fingerprint
+    own = there.where("rep is null").select("text").mapInArrow(named, "fp binary, set binary").groupBy("fp").agg(F.first("set").alias("set"))
+    return found.unionByName(own.join(nameless, "fp").select("fp", "task", "component", "blocks", "block", "set"))
 
 
 def _filter(members: DataFrame, key) -> np.ndarray:
@@ -288,6 +301,11 @@ def similarity_components(
     of more than BLOCK sets is dealt into blocks that share HUBS sets; sets that no block
     joins to the largest part meet every block in a second step, so no link is lost.
     """
+    return _linked(docs, id_col, text, width, hundredths, trees, scratch).select("id", "n_shingles", "component_id", "kept")
+
+
+def _linked(docs: DataFrame, id_col: str, text: str, width: int, hundredths: int, trees: int, scratch: Scratch | None) -> DataFrame:
+    """The rows of similarity_components with the fingerprint of their set (fp) and of their group (its own if alone); null without words."""
     spark = docs.sparkSession
     ship(spark)
     scratch = scratch or Scratch(spark, "chosenpath")
@@ -366,27 +384,43 @@ def similarity_components(
 
     least = reps.select("fp", "rep").join(labels, F.col("fp") == F.col("node"))
     low = least.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_set = least.join(low, "component").select("fp", "component_id").union(reps.join(labels, F.col("fp") == F.col("node"), "left_anti").select("fp", F.col("rep").alias("component_id")))
+    alone = reps.join(labels, F.col("fp") == F.col("node"), "left_anti")
+    by_set = least.join(low, "component").select("fp", "component_id", F.col("component").alias("group")).union(alone.select("fp", F.col("rep").alias("component_id"), F.col("fp").alias("group")))
     done = all_rows.select("id", "n_shingles", "fp").join(by_set, "fp", "left")
     root = F.coalesce("component_id", "id")
-    return done.select("id", "n_shingles", root.alias("component_id"), F.col("id").eqNullSafe(root).alias("kept"))
+    return done.select("id", "n_shingles", root.alias("component_id"), F.col("id").eqNullSafe(root).alias("kept"), "fp", "group")
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 5, hundredths: int = 80) -> DataFrame:
     """docs with one row of each group of near copies: the one of the smallest id.
 
-    Rows that repeat an id count as one document, of which one row stays. Texts without
-    words are copies of nothing. Rows without an id cannot be named and stay. Rows that a
-    filter of bounded size rules out as dropped pass without a shuffle.
+    Rows that repeat an id and a text count as one document, of which one row stays. Other
+    texts under an id are judged each for itself; of near copies under one id one stays.
+    Texts without words are copies of nothing. Rows without an id cannot be named and stay. Rows
+    that a filter of bounded size rules out as dropped pass without a shuffle.
     """
     scratch = Scratch(docs.sparkSession, "dedup")
-    found = similarity_components(docs, id_col=id_col, text=text, width=width, hundredths=hundredths, scratch=scratch).where("id is not null")
-    by_id = found.groupBy("id").agg(F.count("*").alias("n"), F.bool_and("kept").alias("kept"))
-    marked = scratch.keep(by_id.where("n > 1 or not kept").withColumnsRenamed({"id": "_id", "kept": "_kept"}).drop("n"), "marked")
+    found = _linked(docs, id_col, text, width, hundredths, TREES, scratch).where("id is not null")
+    several = (F.min("fp") != F.max("fp")) | ((F.count("fp") > 0) & (F.count("fp") < F.count("*")))
+    by_id = found.groupBy("id").agg(F.count("*").alias("n"), F.bool_and("kept").alias("kept"), F.coalesce(several, F.lit(False)).alias("several"))
+    marked = scratch.keep(by_id.where("n > 1 or not kept").withColumnsRenamed({"id": "_id", "kept": "_kept", "several": "_several"}).drop("n"), "marked")
     own = docs.columns
     # a row whose id is null is never marked
     maybe = F.col(id_col).isNotNull() & _maybe(marked, "_id", id_col)
     rest = docs.where(maybe).join(marked.hint("shuffle_hash"), F.col(id_col) == F.col("_id"), "left")
     alone = rest.where("_id is null").select(*own)
-    first = rest.where("_kept").select(*own).dropDuplicates([id_col])
-    return docs.where(~maybe).unionByName(alone).unionByName(first)
+    first = rest.where("_kept and not _several").select(*own).dropDuplicates([id_col])
+    out = docs.where(~maybe).unionByName(alone).unionByName(first)
+    if marked.where("_several").isEmpty():
+        return out
+
+    @F.arrow_udf("binary")
+    def prints(column: pa.Array) -> pa.Array:
+        return pa.array([_print(u) if len(u) else None for u in _sets(column, width)], pa.binary())
+
+    # ids of several texts: one row of each group of near copies that the id is the smallest of
+    ids = marked.where("_several").select(F.col("_id").alias("id"))
+    stay = found.where("kept").join(ids, "id").groupBy("id", "group").agg(F.min("fp").alias("_stays")).select(F.col("id").alias("_named"), "_stays")
+    each = rest.where("_several").select(*own, prints(F.col(text)).alias("_fp"))
+    each = each.join(stay, (F.col(id_col) == F.col("_named")) & F.col("_fp").eqNullSafe(F.col("_stays")))
+    return out.unionByName(each.dropDuplicates([id_col, "_fp"]).select(*own))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from filigree.llm import density, langkernel
+from filigree.llm import chosenpath, density, langkernel
 
 LINE = "The first sentence of the story goes on for a while and then it stops. " * 6
 STORY = f"<h1>Head</h1><p>{LINE}</p><p>{LINE}</p>"
@@ -47,3 +47,16 @@ def test_pipeline_without_labels_keeps_texts(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.createDataFrame([(1, "some text", None), (2, "12 !", None), (3, None, None)], "doc_id bigint, text string, lang string")
     assert [r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()] == [1]
+
+
+def test_near_copies_without_ids_and_texts_under_one_id(spark):
+    words = [f"w{k}" for k in range(80)]
+    a, b, c = " ".join(words[:60]), " ".join(words[2:62]), " ".join(words[5:65])  # a near b near c, but not a near c
+    other, blank = "quite another text that shares no shingle with them", " "
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = chosenpath.similarity_components(frame([(3, a), (None, b), (9, c), (None, f"{other} x"), (None, other)]), width=3, hundredths=90)
+    assert sorted((r.id or 0, r.component_id or 0, r.kept) for r in got.collect()) == [(0, 0, True), (0, 0, True), (0, 3, False), (3, 3, True), (9, 3, False)]
+    docs = [(5, other), (5, b), (3, a), (6, a), (7, other + " one"), (7, "nothing is like this text at all"), (8, blank), (8, "a sole text of its own"), (8, "a sole text of its own"), (2, " ".join(map(str, range(60)))), (2, " ".join(map(str, range(1, 61))))]
+    out = sorted((r.doc_id, r.text) for r in chosenpath.deduplicate(frame(docs), width=3, hundredths=90).collect())
+    assert [i for i, _ in out].count(2) == 1
+    assert [x for x in out if x[0] != 2] == sorted([(5, other), (3, a), (7, other + " one"), (7, "nothing is like this text at all"), (8, blank), (8, "a sole text of its own")])
