@@ -59,7 +59,7 @@ def _fits(h: Column, p: Column, rule: str) -> Column:
 
 
 def ruled(rows: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """rows (with host and path) with `rule` and `said` (allow or block) of the longest rule that fits; null if none does.
+    """rows (with host and path) with `rule` and `said` (allow or block) of the longest rule that fits (allow before block, then the rule's order, among equally long ones); null if none does.
 
     A rule fits its host and all subdomains if the path starts with the rule's. Few rules
     are one conditional expression; many are joined by each suffix of the host.
@@ -73,13 +73,13 @@ def ruled(rows: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
             said = F.when(fits, F.lit(v)) if said is None else said.when(fits, F.lit(v))
         none = F.lit(None).cast("string")
         return rows.withColumn("rule", none if rule is None else rule).withColumn("said", none if said is None else said)
-    table = rows.sparkSession.createDataFrame([(r.partition("/")[0], "/" + r.partition("/")[2], r, v) for r, v in order], "suffix string, start string, rule string, said string")
-    by = table.groupBy("suffix").agg(F.reverse(F.array_sort(F.collect_list(F.struct(F.length("rule").alias("n"), "start", "rule", "said")))).alias("own"))
+    table = rows.sparkSession.createDataFrame([(r.partition("/")[0], "/" + r.partition("/")[2], k, r, v) for k, (r, v) in enumerate(order)], "suffix string, start string, n int, rule string, said string")
+    by = table.groupBy("suffix").agg(F.array_sort(F.collect_list(F.struct("n", "start", "rule", "said"))).alias("own"))
     hosts = rows.select("host", "path").distinct()  # a common host is looked up once per path
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
     hit = hosts.withColumn("suffix", F.explode(suffixes)).join(by, "suffix").select("host", "path", F.get(F.filter("own", lambda r: F.col("path").startswith(r["start"])), F.lit(0)).alias("r")).where("r is not null")
-    best = hit.groupBy("host", "path").agg(F.max("r").alias("r")).select("host", "path", F.col("r.rule").alias("rule"), F.col("r.said").alias("said"))
+    best = hit.groupBy("host", "path").agg(F.min("r").alias("r")).select("host", "path", F.col("r.rule").alias("rule"), F.col("r.said").alias("said"))
     return rows.join(best, ["host", "path"], "left")
 
 

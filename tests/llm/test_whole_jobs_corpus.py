@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from filigree.llm import chosenpath, density, langkernel
+from filigree.llm import chosenpath, density, langkernel, urlalias
 
 LINE = "The first sentence of the story goes on for a while and then it stops. " * 6
 STORY = f"<h1>Head</h1><p>{LINE}</p><p>{LINE}</p>"
@@ -60,3 +60,13 @@ def test_near_copies_without_ids_and_texts_under_one_id(spark):
     out = sorted((r.doc_id, r.text) for r in chosenpath.deduplicate(frame(docs), width=3, hundredths=90).collect())
     assert [i for i, _ in out].count(2) == 1
     assert [x for x in out if x[0] != 2] == sorted([(5, other), (3, a), (7, other + " one"), (7, "nothing is like this text at all"), (8, blank), (8, "a sole text of its own")])
+
+
+def test_tied_rules_past_the_inline_limit(spark, monkeypatch):
+    urls = ["http://b.org/x", "http://a.b/x/yy", "http://q.a.b/x/yy/z", "http://c.net/p"]
+    pages = spark.createDataFrame([(k, u, "") for k, u in enumerate(urls)], "page_id bigint, url string, html string")
+    rules = [("b.org/x", "block"), ("b.org/x", "allow"), ("a.b/x/", "block"), ("b/x/yy", "allow"), ("c.net/p", "allow"), ("c.net/p", "block")]
+    few = sorted(map(tuple, urlalias.judge(pages, rules).collect()))
+    assert [(r[3], r[4]) for r in few] == [("b.org/x", "allow"), ("a.b/x/", "block"), ("a.b/x/", "block"), ("c.net/p", "allow")]
+    monkeypatch.setattr(urlalias, "INLINE", 0)
+    assert sorted(map(tuple, urlalias.judge(pages, rules).collect())) == few
