@@ -16,11 +16,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is raw text (fixed values).
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements that are never part of an article's text (fixed values).
-DROPPED = frozenset("script style noscript template head title nav footer aside form button select option textarea input iframe object embed applet svg canvas audio video map menu dialog noembed noframes".split())
+DROPPED = frozenset("script style noscript template head title nav footer aside label button select option textarea input iframe object embed applet svg canvas audio video map menu dialog noembed noframes".split())
 #: Elements that start and end a block of text (fixed values).
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
 #: Elements that end an open paragraph when they start (fixed values).
 ENDS_P = BLOCK - frozenset("body caption html legend tbody tfoot thead tr summary figcaption".split())
+#: Blocks of text that hold a part of an article, not a whole one, and headings (fixed values).
+PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd ul ol dl dir pre blockquote figure figcaption address caption legend summary header hgroup hr".split())
+LISTS, HEADINGS = frozenset("ul ol dl dir".split()), frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Open elements that a start tag ends, up to a container (fixed values).
 IMPLIED = {
     "li": (frozenset(["li"]), frozenset("ul ol menu dir".split())),
@@ -33,7 +36,7 @@ IMPLIED = {
 }
 #: Words of a class or id that mark page furniture (fixed values).
 FURNITURE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline captcha comment comments commentlist consent cookie cookies disqus disclaimer dropdown footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promoted promotion recommended related replies respond search share sharing shoutbox sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription taboola toolbar tooltip widget widgets".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs captcha comment comments commentlist consent cookie cookies disqus disclaimer dropdown footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promoted promotion recommended related replies respond search share sharing shoutbox sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription taboola toolbar tooltip widget widgets".split()
 )
 #: Those of them that mark what readers wrote (fixed values).
 COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
@@ -42,7 +45,7 @@ FIRST, LAST, WRAPS = frozenset("has no with without".split()), frozenset("open o
 #: Words of a class or id that mark an article (fixed values).
 CONTENT = frozenset("article content entry main post story text".split())
 #: Roles that mark page furniture (fixed values).
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 
 _TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|!\[CDATA\[(.*?)(?:\]\]>|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z)))", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
@@ -60,7 +63,7 @@ def furniture(name: str) -> set[str]:
 
 
 class Tree:
-    """A document as parallel lists: tag, parent, dropped, furniture by its words; and text pieces (node, text) in page order, None for a block border."""
+    """A document as parallel lists: tag, parent, dropped, furniture by its words (or a form); and text pieces (node, text) in page order, None for a block border."""
 
     __slots__ = ("tag", "parent", "gone", "said", "home", "article", "pieces")
 
@@ -68,7 +71,7 @@ class Tree:
         self.tag, self.parent, self.gone, self.said, self.home, self.article, self.pieces = ["#root"], [-1], [False], [None], [False], [False], []
 
     def child(self, tag: str, parent: int, attributes: str) -> int:
-        gone, marks = self.gone[parent] or tag in DROPPED, None
+        gone, marks = self.gone[parent] or tag in DROPPED, {"form"} if tag == "form" else None
         article = tag in ("article", "main")
         if len(attributes) > 1:
             words, said, role, label = set(), set(), "", ""
@@ -89,6 +92,8 @@ class Tree:
             if tag not in ("html", "body", "main"):
                 if role in ROLES:
                     gone = True
+                elif role == "form":
+                    marks = {"form"}
                 elif said and not (words & CONTENT and said <= {"header", "notice", "related", "share"}) and (tag != "article" or said & {"comment", "comments", "ad", "ads", "advert", "sponsored", "promo"}):
                     marks = said
         if tag == "header" and not self.article[parent]:
@@ -126,7 +131,7 @@ def parse(html: str) -> Tree:
             k = now
             while k and tags[k] != tag:
                 k = parent[k]
-            if k:
+            if k and tag not in ("html", "body"):  # what follows the end of body still belongs to it
                 now = parent[k]
             if tag in BLOCK:
                 pieces.append((now, None))
@@ -209,13 +214,9 @@ def dropped(t: Tree) -> list[bool]:
     return gone
 
 
-def main_text(html: str | None) -> str:
-    """The text of the densest subtree (see extract)."""
-    if not html:
-        return ""
-    t = parse(html)
-    n = len(t.tag)
-    parent, gone = t.parent, dropped(t)
+def measured(t: Tree, gone: list[bool]) -> tuple[list[int], list[int], list[int], list[int], list[int], list]:
+    """For each node its characters, linked characters, tags and link tags (of its subtree, white space and what is gone left out) and the characters right inside it that are no link's; and the text pieces that stay, decoded."""
+    n, parent = len(t.tag), t.parent
     chars, linked, tags, links, own = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
     in_link = [False] * n
     for k in range(1, n):
@@ -230,10 +231,11 @@ def main_text(html: str | None) -> str:
         if s is not None:
             s = unescape(s) if "&" in s else s
             size = len("".join(s.split()))
-            own[k] += size
             chars[k] += size
             if in_link[k]:
                 linked[k] += size
+            else:
+                own[k] += size
         pieces.append((k, s))
     for k in range(n - 1, 0, -1):
         p = parent[k]
@@ -242,38 +244,88 @@ def main_text(html: str | None) -> str:
             linked[p] += linked[k]
             tags[p] += tags[k]
             links[p] += links[k]
-    body = next((k for k in range(1, n) if t.tag[k] == "body"), 0)
-    c, lc = max(chars[body], 1), linked[body]
-
-    def density(k: int) -> float:
-        if not chars[k]:
-            return 0.0
-        x, link, tag, a = chars[k], linked[k] or 1, tags[k] or 1, links[k] or 1
-        base = log(x / max(x - linked[k], 1) * linked[k] + lc / c * x + e)
-        return x / tag * max(log(x / link * tag / a), 0.0) / base
-
-    dense = [0.0 if gone[k] else density(k) for k in range(n)]
-    total = [float(x) for x in own]  # text of the node's own stands as a leaf of one tag
+    return chars, linked, tags, links, own, pieces
+
+
+def density(chars: int, linked: int, tags: int, links: int, body_chars: int, body_linked: int) -> float:
+    """Composite text density: characters per tag, times the logarithm of (characters per linked character x tags per link tag) to a base that grows with the share of links; counts of 0 below a bar are 1."""
+    if not chars:
+        return 0.0
+    base = log(chars / max(chars - linked, 1) * linked + body_linked / max(body_chars, 1) * chars + e)
+    return chars / max(tags, 1) * max(log(chars / max(linked, 1) * max(tags, 1) / max(links, 1)), 0.0) / base
+
+
+def chosen(t: Tree, gone: list[bool], chars: list[int], linked: list[int], tags: list[int], links: list[int], own: list[int]) -> tuple[int | None, list[float], list[float]]:
+    """The container of the largest sum of child densities (the first of equal ones; None without text), the densities and the sums. Text right inside a node counts as a child of one tag."""
+    n, parent = len(t.tag), t.parent
+    body = body_of(t)
+    c, lc = chars[body], linked[body]
+    dense = [0.0 if gone[k] else density(chars[k], linked[k], tags[k], links[k], c, lc) for k in range(n)]
+    total = [density(own[k], 0, 1, 0, c, lc) for k in range(n)]
     for k in range(1, n):
         total[parent[k]] += dense[k]
-    best = max((k for k in range(n) if not gone[k] and chars[k]), key=lambda k: (total[k], -k), default=None)
+    some = [k for k in range(body, n) if not gone[k] and chars[k] and contains(t.tag[k])]
+    return max(some, key=lambda k: (total[k], -k), default=None), dense, total
+
+
+def body_of(t: Tree) -> int:
+    return next((k for k in range(1, len(t.tag)) if t.tag[k] == "body"), 0)
+
+
+def contains(tag: str) -> bool:
+    """Whether an element can hold an article, and not just a paragraph of one."""
+    return tag not in PARAGRAPH and (tag in BLOCK or tag in ("#root", "td", "th") or "-" in tag)
+
+
+def main_text(html: str | None) -> str:
+    """The text of the densest subtree and of what belongs to it (see extract)."""
+    if not html:
+        return ""
+    t = parse(html)
+    n, parent, gone = len(t.tag), t.parent, dropped(t)
+    chars, linked, tags, links, own, pieces = measured(t, gone)
+    best, dense, _ = chosen(t, gone, chars, linked, tags, links, own)
     if best is None:
         return ""
-    path, k = [best], best
+    body = body_of(t)
+    path, k = {best}, best
     while k > 0 and k != body:
         k = parent[k]
-        path.append(k)
-    # the article that the subtree lies in is whole: headings and lists beside its densest part belong to it
-    home = next((k for k in reversed(path) if t.tag[k] in ("article", "main")), None)
+        path.add(k)
     threshold = min(dense[k] for k in path)
+    heads, first = [0] * n, [False] * n  # characters of headings in a node, and whether it has an h1
+    for k in range(n - 1, 0, -1):
+        if t.tag[k] in HEADINGS:
+            heads[k], first[k] = chars[k], t.tag[k] == "h1"
+        heads[parent[k]] += heads[k]
+        first[parent[k]] |= first[k]
+    # of what stands beside the winner and the nodes it lies in, from the last to the first
+    kept, after = set(), {}
+    for k in range(n - 1, 0, -1):
+        p, tag = parent[k], t.tag[k]
+        if k in path:
+            after[p] = True
+        elif p in path and not gone[k] and chars[k] and (p != best or p == body):
+            plain = 2 * linked[k] <= chars[k]
+            if p == best:  # paragraphs stand in the body itself: all but lists of links between them
+                ok = plain or links[k] < 3 or dense[k] >= threshold or not (contains(tag) or tag in LISTS)
+            elif dense[k] >= threshold and tag in BLOCK:
+                ok = True
+            elif 2 * heads[k] >= chars[k]:  # a heading needs what it is the heading of
+                ok = plain and (first[k] or after.get(p, False))
+            else:
+                ok = plain and not contains(tag) and p != body
+            after[p] = ok
+            if ok:
+                kept.add(k)
     inside = [False] * n
     for k in range(n):
-        if k and inside[parent[k]]:
-            inside[k] = True
-        elif k == best or k == home:
-            inside[k] = True
-        elif home is None and not gone[k] and t.tag[k] in BLOCK and chars[k] and dense[k] >= threshold and k not in path:
+        if k == best or k in kept:
             inside[k] = True
+        elif k in path:  # text right inside a node above the winner is a paragraph of it
+            inside[k] = k != body or density(own[k], 0, 1, 0, chars[body], linked[body]) >= threshold
+        elif parent[k] not in path or (parent[k] == best and best != body):
+            inside[k] = inside[parent[k]]
     blocks, line = [], []
     for k, s in pieces:
         if s is None:
@@ -291,15 +343,21 @@ def extract(spark, html: Column) -> Column:
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
     comments go first, by element, role, class and id. Names that tell what a node has or
-    wraps (has-sidebar, comments-open) do not count, and no class or id drops the node that
-    holds the longest article or main element, or else more text outside links than the
-    page would keep without it: the density decides there. Every other node gets its composite
-    density: characters per tag, lowered by the share of linked characters and tags. The
-    subtree with the largest sum of child densities is the main text, as is every block
-    beside it that is as dense as the sparsest node between body and it; a subtree inside
-    an article element stands for the whole article. Character references are decoded,
-    white space in a block becomes one space, blocks are joined by a line feed. Pages are
-    read whole whatever their length; unclosed tags and truncated pages lose no text.
+    wraps (has-sidebar, comments-open) do not count, and no class, id or form drops the node
+    that holds most of the text outside links: the density decides there.
+
+    Every node gets its composite density: characters per tag, lowered by the share of
+    linked characters and tags. The container (not a lone paragraph) with the largest sum
+    of child densities is the main subtree, whatever its element; of equal sums the first
+    in page order. The least density on the path from it to body is the threshold for the
+    blocks beside that path. Paragraphs inside the nodes above the winner, and headings of
+    what is kept, stay too if at most half of their characters are links. Where the
+    body itself wins, its lists of links go unless they reach the threshold.
+
+    Character references are decoded, white space in a block becomes one space, blocks are
+    joined by a line feed. Pages are read whole whatever their length; unclosed tags and
+    truncated pages lose no text. A row depends on its own html alone: repeated rows give
+    equal texts, an empty table gives none, and other columns are not looked at.
     """
     ship(spark)
 
