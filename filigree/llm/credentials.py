@@ -22,31 +22,47 @@ ROLE = {"access": "id", "assign": "secret", "hex": "secret", "weak_id": "id", "w
 #: Spans at one start are in this order.
 ORDER = ("assign", "access", "hex", "weak_id", "weak_secret", "weak_endpoint")
 KINDS_AT = {k: n for n, k in enumerate(ORDER)}
-SPANS = "array<struct<start:int,k:int,end:int>>"
+#: A span: its characters, and its bytes of UTF-8 (ends exclusive).
+SPANS = "array<struct<start:int,k:int,end:int,at:int,to:int>>"
 FAR = 1 << 29
 
 
+def _with(value: Column, body) -> Column:
+    """body of a value that is computed once: inside a lambda a column expression is computed anew for every element, a lambda's variable is not."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scanned(parts: Column, join) -> Column:
+    """Running totals of an array under an associative `join` of an earlier and a later element.
+
+    In step k every element takes in the one 2^k places before it, so n elements need n log n
+    joins: an accumulator that carries the array built so far would copy n elements n times."""
+
+    def run(p):
+        steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(p), F.lit(1)))).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
+        return F.aggregate(steps, p, lambda a, d: F.transform(a, lambda x, i: F.when(i >= d, join(F.get(a, i - d), x)).otherwise(x)))
+
+    return _with(parts, run)
+
+
 def _found(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0) -> Column:
-    """Spans of the leftmost non-overlapping matches, in code points, end exclusive.
+    """Spans of the leftmost non-overlapping matches.
 
     Matches and the gaps between them (a split by the same pattern) take turns, so running
     sums of their lengths are the positions. Texts without a match cost one search."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+    gaps = F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
-    parts = F.arrays_zip(matches.alias("m"), gaps.alias("g"), values.alias("v"))
-    empty = F.array().cast("array<struct<start:int,end:int,size:int>>")
-    placed = F.aggregate(
-        F.filter(parts, lambda p: p["m"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, p: F.struct(
-            (a["at"] + p["g"] + F.length(p["m"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + p["g"]).alias("start"), (a["at"] + p["g"] + F.length(p["m"])).alias("end"), F.length(p["v"]).alias("size")))).alias("out"),
+    parts = F.filter(F.arrays_zip(matches.alias("m"), gaps.alias("g"), values.alias("v")), lambda p: p["m"].isNotNull())
+    sizes = F.transform(
+        parts,
+        lambda p: F.struct(
+            (F.length(p["g"]) + F.length(p["m"])).alias("end"), (F.octet_length(p["g"]) + F.octet_length(p["m"])).alias("to"), F.length(p["m"]).alias("n"), F.octet_length(p["m"]).alias("b"), F.length(p["v"]).alias("size")
         ),
-        lambda a: a["out"],
     )
-    kept = F.filter(placed, lambda s: s["size"] >= least)
-    named = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS_AT[kind]).alias("k"), s["end"].alias("end")))
+    later = lambda x, y: F.struct((x["end"] + y["end"]).alias("end"), (x["to"] + y["to"]).alias("to"), y["n"].alias("n"), y["b"].alias("b"), y["size"].alias("size"))
+    kept = F.filter(_scanned(sizes, later), lambda s: s["size"] >= least)
+    named = F.transform(kept, lambda s: F.struct((s["end"] - s["n"]).alias("start"), F.lit(KINDS_AT[kind]).alias("k"), s["end"].alias("end"), (s["to"] - s["b"]).alias("at"), s["to"].alias("to")))
     return F.when(text.rlike(pattern), named).otherwise(F.array().cast(SPANS))
 
 
@@ -55,14 +71,10 @@ def _is(s: Column, role: str) -> Column:
 
 
 def _passed(parts: Column, far: int) -> Column:
-    """For each part in turn, the last start so far of each role (far if there was none)."""
-    state = F.struct(F.lit(far).alias("i"), F.lit(far).alias("s"), F.lit(far).alias("e"), F.array().cast("array<struct<i:int,s:int,e:int>>").alias("out"))
-
-    def step(a, p):
-        i, s, e = (F.when(_is(p, r), p["start"]).otherwise(a[f]) for r, f in (("id", "i"), ("secret", "s"), ("endpoint", "e")))
-        return F.struct(i.alias("i"), s.alias("s"), e.alias("e"), F.concat(a["out"], F.array(F.struct(i.alias("i"), s.alias("s"), e.alias("e")))).alias("out"))
-
-    return F.aggregate(parts, state, step, lambda a: a["out"])
+    """For each part in turn, the last start so far of each role (far if there was none); parts run up if far is negative, else down."""
+    last = F.greatest if far < 0 else F.least
+    own = F.transform(parts, lambda p: F.struct(*[F.when(_is(p, r), p["start"]).otherwise(F.lit(far)).alias(f) for r, f in (("id", "i"), ("secret", "s"), ("endpoint", "e"))]))
+    return _scanned(own, lambda x, y: F.struct(*[last(x[f], y[f]).alias(f) for f in ("i", "s", "e")]))
 
 
 def _linked(parts: Column) -> Column:
@@ -84,23 +96,25 @@ def _linked(parts: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `spans`: array<struct<start, k, end>> in order of start and kind (ORDER), k the place in ORDER.
+    """docs with `spans`: array<struct<start, k, end, at, to>> in order of start and kind (ORDER): k the place in ORDER, start and end in characters, at and to in bytes.
 
     Base kinds always count. A weak part counts only if its complement starts within SCOPE
     characters of it in the same text: a secret needs an identifier or an endpoint, an
     identifier needs a secret, an endpoint needs both. The interval join of the parts runs
-    inside the row: no shuffle, and a text is never split from its parts. Null and empty
-    texts have no spans; repeated rows are scanned each on its own; other columns stay, and
-    one named `spans` is replaced.
+    inside the row: no shuffle, and a text is never split from its parts; n matches take
+    n log n steps, so a very long text full of them is no special case. Null and empty
+    texts have no spans, an empty table no rows; repeated rows are scanned each on its own;
+    parts at one start both count, in the order of ORDER; other columns stay, and one named
+    `spans` is replaced.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(*[_found(t, *b) for b in BASE])
     weak = F.concat(*[_found(t, *w) for w in WEAK])
     own = [c for c in docs.columns if c not in ("spans", "_base", "_weak", "_all", "_more")]
     d = docs.select(*own, base.alias("_base"), weak.alias("_weak"))
-    d = d.select(*own, "_base", F.when(F.size("_weak") > 0, F.array_sort(F.concat("_base", "_weak"))).alias("_all"))
+    d = d.select(*own, "_base", F.when(F.size("_weak") > 0, F.sort_array(F.concat("_base", "_weak"))).alias("_all"))
     d = d.select(*own, "_base", F.when(F.exists("_all", lambda s: _is(s, "secret")), _linked(F.col("_all"))).alias("_more"))
-    return d.select(*own, F.array_sort(F.concat("_base", F.coalesce("_more", F.array().cast(SPANS)))).alias("spans"))
+    return d.select(*own, F.sort_array(F.concat("_base", F.coalesce("_more", F.array().cast(SPANS)))).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -118,14 +132,18 @@ def count(spans: Column, kind: str) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """text with every span (overlapping ones as one) replaced by mark; spans sorted by start."""
-    done = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= a["at"], F.concat(a["out"], F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    """text with every span (overlapping ones as one) replaced by mark; spans sorted by start.
+
+    Pieces are cut by bytes, for a place among characters is found only by counting from the start."""
+    ends = _scanned(F.transform(spans, lambda s: s["to"]), lambda x, y: F.greatest(x, y))
+
+    def cut(b):
+        between = F.transform(
+            F.arrays_zip(spans.alias("s"), F.concat(F.array(F.lit(0)), b["ends"]).alias("e")),
+            lambda z: F.when(z["s"].isNull(), F.substring(b["raw"], z["e"] + 1, F.octet_length(b["raw"])).cast("string"))
+            .when(z["s"]["at"] >= z["e"], F.concat(F.substring(b["raw"], z["e"] + 1, z["s"]["at"] - z["e"]).cast("string"), F.lit(mark)))
+            .otherwise(F.lit("")),
+        )
+        return F.array_join(between, "")
+
+    return F.when(F.size(spans) > 0, _with(F.struct(F.encode(text, "UTF-8").alias("raw"), ends.alias("ends")), cut)).otherwise(text)

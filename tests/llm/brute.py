@@ -53,3 +53,13 @@ def base_spans(text):
     found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
     found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
     return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+def linked_spans(text, patterns, role, scope):
+    """All spans (kind:start:end) by comparing every weak part with every other part. patterns: {kind: regex}, base kinds by base_spans."""
+    t = text or ""
+    base = [(int(a), k, int(b)) for k, a, b in (x.split(":") for x in base_spans(t).split(",") if x)]
+    weak = [(m.start(), k, m.end()) for k, p in patterns for m in re.finditer(p, t, re.A)]
+    near = lambda a, r: any(role[k] == r and abs(b - a) <= scope for b, k, _ in base + weak)
+    needs = {"weak_id": lambda a: near(a, "secret"), "weak_secret": lambda a: near(a, "id") or near(a, "endpoint"), "weak_endpoint": lambda a: near(a, "id") and near(a, "secret")}
+    return sorted(f"{k}:{a}:{b}" for a, k, b in base + [w for w in weak if needs[w[1]](w[0])])
