@@ -12,7 +12,7 @@ def _lowest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"), F.min("u").alias("name")).select(F.col("name").alias("u"), "m")
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Label each node of an undirected graph with the smallest node it can reach.
 
     edges has columns `a` and `b` of one orderable type; null ends and loops are ignored,
@@ -24,7 +24,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -
     aggregate with a map-side part, and the step back to the edges is an equi-join of
     many edges with one row per node, whose exchanges adaptive execution can split: a hub
     with a third of all edges never becomes one group in one task. Each step ends in a
-    written table, so a lost executor costs one step.
+    written table, so a lost executor costs one step. Steps go on until one changes
+    nothing (in the order of the squared logarithm of the nodes), so no label is left unfinished.
     """
     now = scratch.keep(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -33,9 +34,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -
         "edges",
     )
     state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    for _ in range(rounds):
-        if not state[0]:
-            break
+    while state[0]:
         # large star: every larger neighbour of u is tied to the smallest of u's neighbourhood
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = _lowest(both).select("u", F.least("u", "m").alias("m"))

@@ -69,3 +69,13 @@ def test_components_of_chains_stars_and_loops(spark):
     got = {(r.node, r.component) for r in connected_components(df, Scratch(spark, "t")).collect()}
     assert got == {(k, 0) for k in range(41)} | {(k, 100) for k in range(100, 140)} | {(200, 200), (201, 200)}
     assert connected_components(df.limit(0), Scratch(spark, "t")).collect() == []
+
+
+def test_long_chains_in_any_order(spark):
+    """Paths, whose labels travel farthest, end whole: no number of steps cuts them."""
+    r = random.Random(3)
+    names = list(range(3000))
+    r.shuffle(names)
+    df = spark.createDataFrame([(names[k], names[k + 1]) for k in range(2999)], "a bigint, b bigint")
+    got = connected_components(df, Scratch(spark, "t")).collect()
+    assert len(got) == 3000 and {x.component for x in got} == {0}
