@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import log
 from uuid import uuid4
 
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import ship
+from .scratch import Scratch, ship
 from .textkit import chunks, mix, relax, utf8, words
 
 _U = np.uint64
@@ -88,20 +89,33 @@ def _shingle_ids(h: np.ndarray) -> np.ndarray:
     return x
 
 
+def _items(rows: list[tuple]) -> list[tuple]:
+    """(id, word hashes) of the texts that have words."""
+    rows = [(i, t) for i, t in rows if t]
+    data, ends = utf8(pa.array([t for _, t in rows], pa.string()))
+    if not rows:
+        return []
+    h, _, _, at = words(data, ends, 0, len(rows))
+    return [(rows[k][0], h[at[k] : at[k + 1]]) for k in range(len(rows)) if at[k + 1] > at[k]]
+
+
 class Index:
-    """Items of one pass: per window length a multi-index of their fingerprints; full shingle weights."""
-
-    def __init__(self, items: list[tuple]):
-        items = [(i, t) for i, t in items if t]
-        data, ends = utf8(pa.array([t for _, t in items], pa.string()))
-        h, _, _, at = words(data, ends, 0, len(items)) if items else (np.zeros(0, np.uint64), None, None, np.zeros(1, int))
-        self.items = [(items[k][0], h[at[k] : at[k + 1]]) for k in range(len(items)) if at[k + 1] > at[k]]
-        df: dict[int, int] = {}
+    """Items of one pass: per window length a multi-index of their fingerprints; shingle weights.
+
+    Where there are other passes, `several` has the number of items of all and, for each shingle
+    of this pass that more than one of them has, how many do."""
+
+    def __init__(self, items: list[tuple], several: tuple[int, dict[int, int]] | None = None):
+        self.items, self.last_pass = _items(items), several is None
         sets = [np.unique(_shingle_ids(w)) for _, w in self.items]
-        for s in sets:
-            for x in s.tolist():
-                df[x] = df.get(x, 0) + 1
-        n = len(self.items)
+        if several is None:
+            n, df = len(self.items), {}
+            for s in sets:
+                for x in s.tolist():
+                    df[x] = df.get(x, 0) + 1
+        else:
+            n, more = several
+            df = {x: more.get(x, 1) for s in sets for x in s.tolist()}
         self.unseen = 1 + log(n + 1)
         self.weight = {x: 1 + log((n + 1) / d) for x, d in df.items()}
         self.sets = [set(s.tolist()) for s in sets]
@@ -126,17 +140,10 @@ class Index:
                 order = np.argsort(value, kind="stable")
                 ptr = np.searchsorted(value[order], np.arange(65537))
                 tables.append((ptr.astype(np.int64), entry[order]))
-            # an item has windows at `stride` places in a row, so one of them meets every stride-th window of a copy
-            stride = int((lengths[sizes == size] - size).min()) + 1
+            # an item has windows at 2 * stride places in a row, so at least two of them meet every stride-th window of a copy
+            stride = max(1, (int((lengths[sizes == size] - size).min()) + 1) // 2)
             self.classes[size] = prints, owner, tables, stride
 
-    def similarity(self, k: int, window: np.ndarray) -> float:
-        """Weighted Jaccard similarity of the shingle sets of item k and a window of words."""
-        seen = set(_shingle_ids(window).tolist()) if len(window) else set()
-        both = sum(self.weight[x] for x in seen & self.sets[k])
-        other = sum(self.weight.get(x, self.unseen) for x in seen)
-        return both / (self.total[k] + other - both)
-
     def _near(self, f: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, fingerprint) pairs within RADIUS: by pigeonhole one of four blocks is within one bit."""
         prints, _, tables, _ = self.classes[size]
@@ -159,30 +166,23 @@ class Index:
             return np.zeros(0, int), np.zeros(0, int)
         return np.concatenate(out_w), np.concatenate(out_p)
 
-    def _best(self, h: np.ndarray, ids: list[int], lo: int, hi: int, pos: int, k: int, size: int) -> float:
-        """Largest similarity with item k of a window of its length in words lo..hi near a matching fingerprint at pos."""
+    def _stretch(self, h: np.ndarray, ids: list[int], lo: int, hi: int, pos: int, k: int, size: int) -> tuple[list[int], int]:
+        """Shingles of the windows of item k's length in words lo..hi near a matching fingerprint at pos, and how many a window has: windows are the runs of so many."""
         length = len(self.items[k][1])
         first, last = max(lo, pos - (length - size) - WIDTH), min(pos + WIDTH, max(lo, hi - length))
         if length < WIDTH or hi - lo < WIDTH:
-            return max((self.similarity(k, h[s : min(hi, s + length)]) for s in range(first, last + 1)), default=0.0)
-        stop = min(hi, last + length) - WIDTH + 1
-        own, seen = self.sets[k], ids[first:stop]
-        # no window can have more of the item than all of them together
-        if sum(self.weight[x] for x in own.intersection(seen)) < (LEAST - 1e-9) * self.total[k]:
-            return 0.0
-        best = 0.0
-        for s in range(last, first - 1, -1):
-            window = set(ids[s : min(hi, s + length) - WIDTH + 1])
-            both = sum(self.weight[x] for x in window & own)
-            if both > best * self.total[k]:
-                best = max(best, both / (self.total[k] + sum(self.weight.get(x, self.unseen) for x in window) - both))
-                if best >= 1:
-                    break
-        return best
-
-    def search(self, h: np.ndarray, at: np.ndarray) -> dict[tuple[int, int], float]:
-        """{(row, item): similarity} of at least LEAST for rows of word hashes."""
-        found: dict[tuple[int, int], float] = {}
+            return [int(_shingle_ids(h[s : min(hi, s + length)])[0]) for s in range(first, last + 1)], 1
+        stop = min(hi, last + length)
+        return ids[first : stop - WIDTH + 1], min(length, hi - lo) - WIDTH + 1
+
+    def _hopeless(self, k: int, seen: list[int]) -> bool:
+        """No window can have more of an item than all of them together."""
+        own = self.sets[k]
+        return sum(self.weight[x] for x in own.intersection(seen)) < (LEAST - 1e-9) * self.total[k]
+
+    def search(self, h: np.ndarray, at: np.ndarray) -> dict[tuple[int, int], float | list]:
+        """{(row, item): similarity} of at least LEAST for rows of word hashes; with other passes {(row, item): stretches}, which only all weights can judge."""
+        found: dict = {}
         if not len(h):
             return found
         windows = Windows(h)
@@ -205,24 +205,40 @@ class Index:
             for w, k in cand:
                 for pos, item in sorted(set(zip(w.tolist(), k.tolist()))):
                     r = int(row[pos])
-                    if found.get((r, item), 0) >= 1:
+                    if self.last_pass and found.get((r, item), 0) >= 1:
                         continue
                     if ids is None:
                         ids = _shingle_ids(h).tolist()
-                    best = self._best(h, ids, int(at[r]), int(at[r + 1]), pos, item, size)
+                    seen, width = self._stretch(h, ids, int(at[r]), int(at[r + 1]), pos, item, size)
+                    if self._hopeless(item, seen):
+                        continue
+                    if not self.last_pass:
+                        if (seen, width) not in (had := found.setdefault((r, item), [])):
+                            had.append((seen, width))
+                        continue
+                    best = most_similar(seen, width, self.sets[item], self.weight, self.unseen)
                     if best >= max(LEAST - 1e-12, found.get((r, item), 0)):
                         found[r, item] = best
         return found
 
 
-def _passes(benchmark: DataFrame, id_col: str, text: str):
-    """The benchmark in passes of at most ITEMS items and CHARS characters (in expectation)."""
-    rows = benchmark.select(F.col(id_col).alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
+def most_similar(seen: list[int], width: int, own: set[int], weight: dict[int, float], unseen: float) -> float:
+    """Largest weighted Jaccard similarity of a set and a run of `width` shingles."""
+    total, best = sum(weight.get(x, unseen) for x in own), 0.0
+    for s in range(len(seen) - width, -1, -1):
+        window = set(seen[s : s + width])
+        both = sum(weight.get(x, unseen) for x in window & own)
+        if both > best * total:
+            best = max(best, both / (total + sum(weight.get(x, unseen) for x in window) - both))
+            if best >= 1:
+                break
+    return best
+
+
+def _number(rows: DataFrame) -> int:
+    """Passes of at most ITEMS items and CHARS characters (in expectation)."""
     n, size = rows.agg(F.count("*"), F.sum(F.length("t"))).first()
-    passes = max(1, -(-n // ITEMS), -(-(size or 0) // CHARS))
-    for k in range(passes):
-        part = rows.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == k) if passes > 1 else rows
-        yield sorted({(r.i, r.t) for r in part.collect()})
+    return max(1, -(-n // ITEMS), -(-(size or 0) // CHARS))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -230,40 +246,98 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
 
     An item is held if some window of as many words as it has (words lower-cased in A-Z)
     has weighted 5-word-shingle similarity LEAST or more with it; a shingle weighs
-    1 + ln((N + 1) / items that have it). Candidates are windows whose 64-bit SimHash is
-    within RADIUS bits of a fingerprint of the item; four 16-bit blocks looked up with one
-    bit of tolerance miss none of them. Texts are searched whole; null or blank texts and
-    items hold nothing; an item of fewer than five words is one shingle. A benchmark of any
-    size is taken in passes of bounded memory. Repeated items and rows are harmless, and a
-    column of docs named `items` is replaced. The order of items is by id.
+    1 + ln((N + 1) / items that have it), N and these counts being of the whole benchmark.
+    Candidates are windows whose 64-bit SimHash is within RADIUS bits of a fingerprint of the
+    item; four 16-bit blocks looked up with one bit of tolerance miss none of them. Of the
+    windows of a text enough are fingerprinted that every whole copy has two of them; a
+    passage changed up to the limit of similarity may have none (tests measure the share).
+
+    Texts are searched whole, whatever their length; null or blank texts and items hold
+    nothing; an item of fewer than five words is one shingle. Equal rows get equal items;
+    items repeated under one id count once, under several ids each; similarity of exactly
+    LEAST counts. A column of docs named `items` is replaced, others stay. The order of
+    items is by id. An empty benchmark leaves every array empty.
+
+    A benchmark beyond ITEMS items is taken in passes, one written after the other, each
+    with an index of bounded memory on the driver and in a worker; what they find near is judged
+    at the end by joining the weights of all.
     """
     spark = docs.sparkSession
     ship(spark)
     kind = benchmark.schema[item_id].dataType.simpleString()
     schema = f"array<struct<item:{kind},similarity:double>>"
     out = docs.drop("items")
-    parts = []
-    for items in _passes(benchmark, item_id, item_text):
-        sent = spark.sparkContext.broadcast(items)
-        parts.append(_search(sent, schema)(F.coalesce(F.col(text), F.lit(""))))
-    return out.withColumn("items", F.array_sort(F.concat(*parts)) if len(parts) > 1 else parts[0])
+    rows = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
+    passes = _number(rows)
+    if passes == 1:
+        sent = spark.sparkContext.broadcast((sorted({(r.i, r.t) for r in rows.collect()}), None))
+        return out.withColumn("items", _search(sent, schema)(F.coalesce(F.col(text), F.lit(""))))
+    return _in_passes(out, rows.distinct(), text, kind, passes)
+
+
+def _in_passes(docs: DataFrame, rows: DataFrame, text: str, kind: str, passes: int) -> DataFrame:
+    """contamination over a benchmark (i, t) of several passes."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "simwindows")
+
+    def shingled(batches):
+        for b in batches:
+            found = [(i, np.unique(_shingle_ids(w)).view(np.int64)) for i, w in _items(list(zip(range(b.num_rows), b.column(0).to_pylist())))]
+            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array([i for i, _ in found], pa.int64())), pa.array([s for _, s in found], pa.list_(pa.int64()))], names=["part", "s"])
+
+    part = F.pmod(F.xxhash64("i"), F.lit(passes))
+    sets = scratch.keep(rows.select("t", part.cast("bigint").alias("part")).mapInArrow(shingled, "part bigint, s array<bigint>"), "shingles")
+    n = sets.count()
+    shared = scratch.keep(sets.select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+    # the rows are written with a number, for no id need be one
+    own = scratch.keep(docs.select(F.struct(*docs.columns).alias("d"), F.monotonically_increasing_id().alias("_row")), "rows")
+    pairs = f"array<struct<item:{kind},own:array<bigint>,seen:array<bigint>,width:int>>"
+    hits = []
+    for k in range(passes):
+        items = sorted({(r.i, r.t) for r in rows.where(part == k).collect()})
+        more = dict(map(tuple, sets.where(F.col("part") == k).select(F.explode("s").alias("s")).distinct().join(shared, "s").collect()))
+        sent = spark.sparkContext.broadcast((items, (n, {x % (1 << 64): d for x, d in more.items()})))
+        near = own.select("_row", F.explode(_search(sent, pairs)(F.coalesce(F.col("d")[text], F.lit("")))).alias("p"))
+        hits.append(scratch.keep(near.select("_row", F.col("p.*")), f"near{k}"))
+        sent.destroy()
+    every = scratch.keep(reduce(DataFrame.union, hits).withColumn("_pair", F.monotonically_increasing_id()), "near")
+    weighed = every.select("_pair", F.explode(F.array_distinct(F.concat("own", "seen"))).alias("s")).join(shared, "s")
+    weighed = weighed.groupBy("_pair").agg(F.collect_list(F.struct("s", "df")).alias("df"))
+    judged = every.join(weighed, "_pair", "left").select("_row", "item", _judged(n)("own", "seen", "width", F.col("df.s"), F.col("df.df")).alias("similarity")).where(F.col("similarity") >= LEAST - 1e-12)
+    best = judged.groupBy("_row", "item").agg(F.max("similarity").alias("similarity")).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("item", "similarity"))).alias("items"))
+    none = F.array().cast(f"array<struct<item:{kind},similarity:double>>")
+    return own.join(best, "_row", "left").select("d.*", F.coalesce("items", none).alias("items"))
+
+
+def _judged(n: int):
+    @F.arrow_udf("double")
+    def similarity(own: pa.Array, seen: pa.Array, width: pa.Array, shingle: pa.Array, df: pa.Array) -> pa.Array:
+        out = []
+        for o, s, w, x, d in zip(*[c.to_pylist() for c in (own, seen, width, shingle, df)]):
+            weight = {a: 1 + log((n + 1) / b) for a, b in zip(x or (), d or ())}
+            out.append(most_similar(s, w, set(o), weight, 1 + log(n + 1)))
+        return pa.array(out, pa.float64())
+
+    return similarity
 
 
 _BUILT: dict[str, Index] = {}
 
 
-def _index(sent, token: str = "") -> Index:
-    """The index of a broadcast pass, built once by a worker; token names the pass."""
-    if token and token in _BUILT:
-        return _BUILT[token]
-    index = Index(sent.value)
-    if token:
+def _index(sent, token: str) -> Index:
+    """The index of a broadcast pass, built once by a worker, which lets go of the one before; token names the pass."""
+    if token not in _BUILT:
         _BUILT.clear()
-        _BUILT[token] = index
-    return index
+        _BUILT[token] = Index(*sent.value)
+    return _BUILT[token]
+
+
+def _signed(ids) -> list[int]:
+    return np.array(ids, np.uint64).view(np.int64).tolist()
 
 
 def _search(sent, schema: str):
+    """A function of a text column to its items with their similarity or, of one pass among others, with the stretches that may hold them."""
     token = uuid4().hex
 
     @F.arrow_udf(schema)
@@ -274,10 +348,15 @@ def _search(sent, schema: str):
         for i, j in chunks(ends, 1 << 18):
             h, _, _, at = words(data, ends, i, j)
             for (r, k), s in index.search(h, at).items():
-                out[i + r].append({"item": index.items[k][0], "similarity": s})
+                if index.last_pass:
+                    out[i + r].append({"item": index.items[k][0], "similarity": s})
+                else:
+                    out[i + r] += [{"item": index.items[k][0], "own": _signed(sorted(index.sets[k])), "seen": _signed(ids), "width": w} for ids, w in s]
         for x in out:
             x.sort(key=lambda d: d["item"])
         relax()
-        return pa.array(out, pa.list_(pa.struct([("item", pa.from_numpy_dtype(np.int64) if "bigint" in schema else pa.int32() if "item:int" in schema else pa.string()), ("similarity", pa.float64())])))
+        item = pa.int64() if "item:bigint" in schema else pa.int32() if "item:int" in schema else pa.string()
+        rest = [("similarity", pa.float64())] if index.last_pass else [("own", pa.list_(pa.int64())), ("seen", pa.list_(pa.int64())), ("width", pa.int32())]
+        return pa.array(out, pa.list_(pa.struct([("item", item), *rest])))
 
     return search
