@@ -21,6 +21,8 @@ SKETCH, AGREE = TREES * DEPTH, 37
 BLOCK, HUBS = 256, 8
 #: Most bits, as a power of two, of the filters that spare rows without a partner the shuffle.
 FILTER, SHIFTS = 26, (0, 32)
+#: Places, as a power of two, among which occurrences of shingles are counted to put the rare ones first.
+TALLY = 20
 
 _SEEDS = np.random.default_rng(85).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * _U(2) + _U(1)
 
@@ -267,6 +269,75 @@ def _maybe(members: DataFrame, key: str, tested: str | None = None):
     return maybe(F.xxhash64(tested or key))
 
 
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How often shingles occur among sets, counted by hash in at most 2^TALLY places."""
+
+    def tally(batches):
+        for b in batches:
+            at = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in b.column(0).to_pylist())]) >> _U(64 - TALLY)
+            place, n = np.unique(at, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64)), pa.array(n, pa.int64())], names=["at", "n"])
+
+    found = sets.select("set").mapInArrow(tally, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(1 << TALLY, np.uint32)
+    table[found.column("at").to_numpy()] = np.minimum(found.column("n").to_numpy(), 0xFFFFFFFF)
+    return table
+
+
+def _first_shingles(sets: DataFrame, hundredths: int) -> DataFrame:
+    """(key, fp, n, at, rest): the rarest shingles of each set, as many as it takes for two linked sets to share one, with their place in the order."""
+    sent = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))
+
+    def run(batches):
+        for b in batches:
+            key, n, at, row = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for r, (x, c) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                u = np.frombuffer(x, np.uint64)
+                some = len(u) - -(-hundredths * len(u) // 100) + 1
+                first = u[np.lexsort((u, sent.value[u >> _U(64 - TALLY)]))[:some]]
+                key.append(mix(first ^ np.frombuffer(c[:8], np.uint64)[0]))
+                n.append(np.full(some, len(u)))
+                at.append(np.arange(some))
+                row.append(np.full(some, r))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), b.column(0).take(pa.array(np.concatenate(row))), pa.array(np.concatenate(n)), pa.array(np.concatenate(at)), b.column(3).take(pa.array(np.concatenate(row)))], names=["key", "fp", "n", "at", "rest"])
+            relax()
+
+    return sets.select("fp", "set", "component", "rest").mapInArrow(run, "key bigint, fp binary, n bigint, at bigint, rest boolean")
+
+
+def _second(large: DataFrame, rest: DataFrame, hundredths: int, scratch: Scratch) -> DataFrame:
+    """Tasks (task, fp, set, big) in which every set of rest meets every set of its group that it may be linked with.
+
+    Two linked sets share one of their rarest shingles (prefix filter), and what follows the
+    first shared one in either is long enough for the overlap (position filter), so sets
+    that no such shingle ties are not linked, and groups fall into tighter ones. In those the sets
+    of rest, in chunks of as many as a block has, meet every block."""
+    loose = large.join(rest.select("component").distinct(), "component", "left_semi")
+    marked = scratch.keep(loose.join(rest.select(F.col("fp").alias("f"), F.lit(True).alias("rest")), F.col("fp") == F.col("f"), "left").select("fp", "set", "component", F.coalesce("rest", F.lit(False)).alias("rest")), "loose")
+    shingle = scratch.keep(_first_shingles(marked, hundredths), "prefixes")
+    shared = shingle.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max(F.col("n") - F.col("at")).alias("left"), F.max("rest").alias("r")).where("c > 1 and r").drop("c", "r")
+    # the smallest partner of n shingles has h n of them; both must have the overlap left from the shared one on
+    enough = F.least(F.col("n") - F.col("at"), F.col("left")) * (100 + hundredths) >= hundredths * (F.col("n") + F.greatest(F.col("lo"), F.ceil(hundredths * F.col("n") / 100)))
+    tied = scratch.keep(shingle.join(shared.hint("merge"), "key").where(enough).select("key", "fp", "rest"), "tied")
+    low = tied.groupBy("key").agg(F.min("fp").alias("b"), F.count("*").alias("c"), F.max("rest").alias("r")).where("c > 1 and r").drop("c", "r")
+    tight = scratch.keep(connected_components(tied.join(low.hint("merge"), "key").where("fp <> b").select(F.col("fp").alias("a"), "b"), scratch), "tight").select(F.col("node").alias("fp"), F.col("component").alias("group"))
+    sets = marked.join(tight, "fp")
+    size = tight.join(marked.select("fp", "rest"), "fp").groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.sum(F.col("rest").cast("int")) / BLOCK).alias("chunks")).where("chunks > 0")
+    placed = scratch.keep(
+        sets.join(size, "group")
+        .withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+        .withColumn("chunk", F.when(F.col("rest"), F.pmod(F.xxhash64("fp", F.lit(2)), F.col("chunks"))))
+        .select("fp", "set", "group", "blocks", "chunks", "block", "chunk"),
+        "placed",
+    )
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    task = F.xxhash64("group", "b", "c").alias("task")
+    here = placed.where("chunk is not null").select("fp", "set", "group", every("blocks").alias("b"), F.col("chunk").alias("c"))
+    # a block's own sets, without those that come with the chunk
+    there = placed.select("fp", "set", "group", F.col("block").alias("b"), every("chunks").alias("c"), "chunk").where("chunk is null or chunk <> c").drop("chunk")
+    return here.unionByName(there).select(task, "fp", "set", F.lit(True).alias("big"))
+
+
 def _compared(rows: DataFrame, hundredths: int, parts: int) -> DataFrame:
     return rows.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_exact(hundredths), "a binary, b binary, task bigint, big boolean")
 
@@ -298,8 +369,11 @@ def similarity_components(
     as near; full sets then decide inside the groups. A pair at similarity 0.85 is in one
     leaf of a tree with chance 0.72 (two tokens) to 0.52 (four), so sixteen trees miss it
     with chance 1e-9 to 8e-6; at 0.80 with 8e-8 to 2e-4. A node still too large at the deepest level is a group as it is. A group
-    of more than BLOCK sets is dealt into blocks that share HUBS sets; sets that no block
-    joins to the largest part meet every block in a second step, so no link is lost.
+    of more than BLOCK sets is dealt into blocks that share HUBS sets. Sets that no block
+    joins to the largest part are tied in a second step to the sets of the group that share
+    one of their rarest shingles at a place that leaves room for the overlap, which every
+    linked pair does; full sets are compared inside what is tied, so no link is lost, and a
+    group that is alike but not linked costs no more than its rare shingles.
     """
     return _linked(docs, id_col, text, width, hundredths, trees, scratch).select("id", "n_shingles", "component_id", "kept")
 
@@ -365,17 +439,11 @@ def _linked(docs: DataFrame, id_col: str, text: str, width: int, hundredths: int
         held = places.join(stars, ["task", "fp"]).join(size, ["task", "root"])
         lead = held.groupBy("component", "fp").agg(F.sum("n").alias("n")).groupBy("component").agg(F.max_by("fp", F.struct("n", "fp")).alias("fp"))
         main = held.join(lead, ["component", "fp"]).select("task", "root")
-        # every set outside the main part meets every block, in chunks of as many as a block has
-        rest = scratch.keep(large.join(stars.join(main, ["task", "root"], "left_semi").select("task", "fp"), ["task", "fp"], "left_anti"), "rest")
-        sizes = rest.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
-        rest = rest.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("fp", F.lit(2)), F.col("chunks")))
-        task = lambda block: F.xxhash64("component", block, "chunk").alias("task")
-        here = rest.select("fp", "set", "component", "chunk", blocks).select(task("to"), "fp", "set")
-        each = large.join(sizes, "component").select("fp", "set", "component", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"))
-        # a block's own sets, without those that come with the chunk
-        there = each.join(rest.select("fp", "chunk"), ["fp", "chunk"], "left_anti").select(task("block"), "fp", "set")
-        second = _compared(here.union(there).withColumn("big", F.lit(True)), hundredths, parts)
-        across = connected_components(first.where("big").select("a", "b").union(second.select("a", "b")), scratch)
+        # a set outside the main part may still be linked with any other set of its group
+        rest = scratch.keep(large.join(stars.join(main, ["task", "root"], "left_semi").select("task", "fp"), ["task", "fp"], "left_anti").select("fp", "component"), "rest")
+        second = None if rest.isEmpty() else _compared(_second(large, rest, hundredths, scratch), hundredths, parts).select("a", "b")
+        every = first.where("big").select("a", "b")
+        across = connected_components(every if second is None else every.union(second), scratch)
         links = first.where("not big").select("a", "b")
     labels = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     labels = labels.union(labels.select(F.col("component").alias("node"), "component")).distinct()
