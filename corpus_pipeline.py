@@ -8,40 +8,58 @@ from filigree.llm import chosenpath, credentials, langkernel, piecefst, simwindo
 from filigree.llm.scratch import Scratch
 
 
+#: Languages that the corpus is for, and the least score of one (a one-versus-rest value of -0.5).
+LANGUAGES, LEAST_SCORE = ("de", "en", "es", "fr"), 0.25
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with a letter: the kernel classifier finds no language (`und`) for the others alone. Without labelled documents nothing is learned, and letters decide all the same."""
+    """Keep documents that the kernel classifier, learned from docs, finds to be in one of LANGUAGES with a score of LEAST_SCORE or more; lang becomes what it finds.
+
+    Texts that are null or have no letter (`und`) go, as do those of other languages that docs
+    has labels of. Without labels nothing is learned: texts with a letter stay as they are.
+    Rows are judged each by its text, so repeated rows stay or go together; extra columns
+    stay as they are; an empty table stays empty."""
     model = langkernel.fit(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     own = docs.columns
-    return docs.withColumn("_said", model.predict(spark, F.col("text"))).where("_said.lang <> 'und'").select(*own)
+    said = docs.select(F.struct(*own).alias("d"), model.predict(spark, F.col("text")).alias("said"))
+    good = said.where(F.col("said.lang").isin(*LANGUAGES) & (F.col("said.score") >= LEAST_SCORE))
+    return good.select(*[F.col("said.lang").alias("lang") if c == "lang" else F.col("d")[c].alias(c) for c in own])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    """Keep the document of the smallest id of each group of near copies (five-word shingles, similarity 0.8 or more).
+
+    Null, empty and blank texts are copies of nothing and stay; rows with a null id stay; of
+    rows that repeat an id and a text one stays; extra columns stay as they are."""
     return chosenpath.deduplicate(docs)
 
 
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that hold no benchmark item."""
+    """Keep documents that hold no benchmark item. Null and empty texts and items hold nothing; equal rows stay or go together; extra columns stay, one named `items` too."""
     own = docs.columns
-    return simwindows.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(F.size("items") == 0).select(*own)
+    held = simwindows.contamination(docs.select(F.struct(*own).alias("d"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return held.where(F.size("items") == 0).select("d.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace credentials in texts by a mark; n_chars follows."""
+    """Replace credentials in texts by a mark; n_chars follows. Every row stays, null and empty texts as they are (0 characters); extra columns stay, one named `spans` too."""
     own = docs.columns
-    clean = credentials.scan(docs).withColumn("text", credentials.redact(F.col("text"), F.col("spans")))
-    return clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint")).select(*own)
+    found = credentials.scan(docs.select(F.struct(*own).alias("d"), "text"))
+    clean = found.select("d", credentials.redact(F.col("text"), F.col("spans")).alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text"), F.lit(0)).cast("bigint")}
+    return clean.select(*[new[c].alias(c) if c in new else F.col("d")[c].alias(c) for c in own])
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, their number, and the text that decoding gives back."""
+    """Ids of every text, their number, and the text that decoding gives back, beside the other columns (those named ids or n_pieces are replaced). Null and empty texts have no ids and an empty text."""
     import public_tokenizers
 
     model = str(public_tokenizers.path("piece_bpe_32k.model"))
-    out = docs.select("doc_id", "lang", "source", piecefst.codec(spark, model)(F.col("text")).alias("p"))
-    return out.select("doc_id", "lang", "source", F.size("p.ids").cast("bigint").alias("n_pieces"), F.col("p.ids").alias("ids"), F.col("p.text").alias("text"))
+    own = [c for c in docs.columns if c not in ("text", "n_pieces", "ids")]
+    out = docs.select(F.struct(*own).alias("d"), piecefst.codec(spark, model)(F.col("text")).alias("p"))
+    return out.select("d.*", F.size("p.ids").cast("bigint").alias("n_pieces"), F.col("p.ids").alias("ids"), F.col("p.text").alias("text"))
 
 
 STAGES = [
