@@ -15,9 +15,10 @@ def header_map(text: Column) -> Column:
     """Key/value pairs of the lines above the rule, split at their first ': '; a repeated key keeps its last value."""
     head = F.when(F.instr(text, RULE) > 0, F.substr(text, F.lit(1), F.instr(text, RULE) - 1)).otherwise(text)
     lines = F.filter(F.split(head, r"\r\n|\r|\n"), lambda x: F.instr(x, ": ") > 0)
-    pair = F.transform(lines, lambda x: F.struct(F.trim(F.substr(x, F.lit(1), F.instr(x, ": ") - 1)).alias("k"), F.trim(F.substr(x, F.instr(x, ": ") + 2, F.length(x))).alias("v")))
-    last = F.filter(pair, lambda p, i: ~F.exists(F.slice(pair, i + 2, F.size(pair)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    pair = F.transform(lines, lambda x, i: F.struct(F.trim(F.substr(x, F.lit(1), F.instr(x, ": ") - 1)).alias("k"), i.alias("i"), F.trim(F.substr(x, F.instr(x, ": ") + 2, F.length(x))).alias("v")))
+    # in order of key and line, the last of a key is the one before another key; a lambda's variable is computed once
+    last = F.transform(F.array(F.sort_array(pair)), lambda ps: F.filter(ps, lambda p, j: ~p["k"].eqNullSafe(F.get(ps, j + 1)["k"])))
+    return F.map_from_entries(F.transform(F.get(last, F.lit(0)), lambda p: F.struct(p["k"], p["v"])))
 
 
 def header_body(text: Column) -> Column:

@@ -39,21 +39,29 @@ def search_text(ticker="ticker", company="company", label="fiscal_label", sectio
     return F.concat_ws(" ", ticker, company, label, section, text)
 
 
-def postings(chunks: DataFrame, text: Column | None = None) -> DataFrame:
-    """(term, id, tf, dl): term counts of each chunk with its length."""
-    terms = chunks.select("id", tokenize(text if text is not None else search_text()).alias("terms"))
-    return terms.select("id", F.size("terms").cast("bigint").alias("dl"), F.explode("terms").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+def bags(chunks: DataFrame, text: Column | None = None) -> DataFrame:
+    """(id, terms): the terms of each chunk, in order and with repeats. All that follows can be made of them, so texts are read once."""
+    return chunks.select("id", tokenize(text if text is not None else search_text()).alias("terms"))
+
+
+def postings(chunks: DataFrame, text: Column | None = None, only: DataFrame | None = None) -> DataFrame:
+    """(term, id, tf, dl): term counts of each chunk (or bag) with its length; of the terms of `only` alone where given."""
+    terms = chunks if "terms" in chunks.columns else bags(chunks, text)
+    rows = terms.select("id", F.size("terms").cast("bigint").alias("dl"), F.explode("terms").alias("term"))
+    rows = rows if only is None else rows.join(only.select("term").distinct(), "term", "left_semi")
+    return rows.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(chunks: DataFrame, text: Column | None = None) -> DataFrame:
-    """One row (n_docs, avgdl)."""
-    size = F.size(tokenize(text if text is not None else search_text()))
-    return chunks.select(size.alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    """One row (n_docs, avgdl) of chunks or bags."""
+    terms = chunks if "terms" in chunks.columns else bags(chunks, text)
+    return terms.select(F.size("terms").alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
 def idf(post: DataFrame, stats: DataFrame) -> DataFrame:
-    """(term, idf) of the Okapi weighting; where a term is in more than half of the chunks its weight is negative and becomes a quarter of the mean of all terms' weights."""
-    df = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n_docs")))
+    """(term, idf) of the Okapi weighting, from postings or bags; where a term is in more than half of the chunks its weight is negative and becomes a quarter of the mean of all terms' weights."""
+    seen = post.select(F.explode(F.array_distinct("terms")).alias("term")) if "terms" in post.columns else post
+    df = seen.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n_docs")))
     raw = df.select("term", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg((0.25 * F.avg("raw")).alias("floor"))
     return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))

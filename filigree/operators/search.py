@@ -6,10 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from filigree.functions.parsing import tokenize
-
-#: Okapi constants (fixed values).
-K1, B = 1.5, 0.75
+from filigree.operators.blocks import K1, B, dense_best, sparse_best, term_weights
 
 
 def predicate(flt: dict) -> Column:
@@ -37,9 +34,8 @@ def dense_scores(cand: DataFrame) -> DataFrame:
 
 def sparse_scores(queries: DataFrame, post: DataFrame, idf: DataFrame, stats: DataFrame) -> DataFrame:
     """Okapi BM25 (qid, id, score) over the whole corpus; a term counts as often as the query has it. Filters come after, for weights are global."""
-    terms = queries.select("qid", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qf"))
-    hits = terms.join(post, "term").join(idf, "term").crossJoin(F.broadcast(stats.select("avgdl")))
-    w = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    hits = term_weights(queries, idf).join(post, "term").crossJoin(F.broadcast(stats.select("avgdl")))
+    w = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("qid", "id").agg(F.sum(w).alias("score"))
 
 
@@ -62,16 +58,25 @@ def rrf(rankings: DataFrame, k: int = 60) -> DataFrame:
     return s.select("qid", "id", "score", F.row_number().over(w).cast("bigint").alias("place"))
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, post: DataFrame, idf: DataFrame, stats: DataFrame, keep: Column | None = None, *, top: int = 20, rrf_k: int = 60) -> DataFrame:
+def dense_topk(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """The k nearest rows (id, embedding) of each question (qid, vector): (qid, id, score, dense_rank)."""
+    return ranked(dense_best(queries, rows, k), ["qid"], k, "dense_rank")
+
+
+def sparse_topk(queries: DataFrame, bags: DataFrame, idf: DataFrame, stats: DataFrame, k: int) -> DataFrame:
+    """The k best chunks (id, terms) of each question (qid, query) by BM25 above 0: (qid, id, score, bm25_rank)."""
+    return ranked(sparse_best(queries, bags, idf, stats, k), ["qid"], k, "bm25_rank")
+
+
+def hybrid(queries: DataFrame, chunks: DataFrame, bags: DataFrame, idf: DataFrame, stats: DataFrame, keep: Column | None = None, *, top: int = 20, rrf_k: int = 60) -> DataFrame:
     """Hybrid search of queries (qid, query, vector) under one filter: (qid, id, rrf, dense_rank, bm25_rank, place).
 
-    The filter comes before the dense ranking and after the sparse scores. Ranks are made
-    of ids alone; texts are joined by the caller.
+    bags hold the terms of all chunks. The filter comes before both rankings; weights are
+    those of the whole corpus. Ranks are made of ids alone; texts are joined by the caller.
     """
     allowed = chunks.where(keep) if keep is not None else chunks
-    dense = dense_scores(F.broadcast(queries.where("vector is not null").select("qid", "vector")).join(allowed.select("id", "embedding")))
-    sparse = sparse_scores(queries, post, idf, stats).where("score > 0").join(allowed.select("id"), "id", "left_semi")
-    fused = fuse(ranked(dense, ["qid"], top, "dense_rank"), ranked(sparse, ["qid"], top, "bm25_rank"), ["qid"], rrf_k)
+    seen = bags if keep is None else bags.join(allowed.select("id"), "id", "left_semi")
+    fused = fuse(dense_topk(queries, allowed, top), sparse_topk(queries, seen, idf, stats, top), ["qid"], rrf_k)
     return fused.withColumn("place", F.row_number().over(fusion_order("qid")).cast("bigint"))
 
 
@@ -94,12 +99,15 @@ def relaxed(subq: DataFrame, chunks: DataFrame, post: DataFrame, idf: DataFrame,
     searches all years as one group. A row of a stricter tier counts in the looser ones.
     A reranker (a column function of query and text) orders the fused hits before the quota.
     """
-    seen = relevant(subq, chunks).withColumn("tier", F.explode(F.sequence("own_tier", F.lit(2))))
+    seen = relevant(subq, chunks)
     by = ["sq", "fiscal_year", "tier"]
-    dense = ranked(dense_scores(seen.select(*by, "id", "vector", "embedding")), by, top, "dense_rank")
+    # scored once, then counted in each tier
+    tiers = F.explode(F.sequence("own_tier", F.lit(2))).alias("tier")
+    each = lambda d: d.select("sq", "fiscal_year", tiers, "id", "score")
+    dense = ranked(each(dense_scores(seen)), by, top, "dense_rank")
     texts = subq.select(F.col("sq").alias("qid"), "query").distinct()
     scores = sparse_scores(texts, post, idf, stats).where("score > 0").withColumnRenamed("qid", "sq")
-    sparse = ranked(seen.select(*by, "id").join(scores, ["sq", "id"]), by, top, "bm25_rank")
+    sparse = ranked(each(seen.select("sq", "fiscal_year", "own_tier", "id").join(scores, ["sq", "id"])), by, top, "bm25_rank")
     # a year may be null, which an equality join would lose
     sure = lambda d: d.withColumn("fiscal_year", F.coalesce("fiscal_year", F.lit(0)))
     fused = fuse(sure(dense), sure(sparse), by, rrf_k)

@@ -9,6 +9,7 @@ from filigree.functions.models import ExtractiveGenerator
 from filigree.operators import chunks as chunk_ops, citations, coverage as cov_ops, evaluation, index, search, sections
 from filigree.plans import planning, standin
 from filigree.plans.standin import tables
+from filigree.sources.scratch import Scratch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -56,10 +57,18 @@ def _text():
     return index.search_text("ticker", F.lit(None), F.lit(None), "section", "text")
 
 
-def _index(spark: SparkSession, sf_dir: str):
+def _bags(spark: SparkSession, sf_dir: str):
+    """Chunks, and the terms of each, written once, with the weights made of them."""
     c = standin.chunks(spark, sf_dir, vectors=True)
-    post, stats = index.postings(c, _text()), index.corpus_stats(c, _text())
-    return c, post, index.idf(post, stats), stats
+    bags = Scratch(spark, "bags").keep(index.bags(c, _text()), "bags")
+    stats = index.corpus_stats(bags)
+    return c, bags, index.idf(bags, stats), stats
+
+
+def _index(spark: SparkSession, sf_dir: str, only: DataFrame | None = None):
+    """Chunks, their postings (of the terms of `only` alone where given), weights and statistics."""
+    c, bags, idf, stats = _bags(spark, sf_dir)
+    return c, index.postings(bags, only=only), idf, stats
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,16 +79,15 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SEARCH + " select n_docs, round(avgdl, 6) as avgdl, (select count(*) from idf) as n_terms, (select round(sum(idf), 4) from idf) as idf_sum from stats")
 def bm25_stats(spark, sf_dir):
-    _, _, idf, stats = _index(spark, sf_dir)
+    _, _, idf, stats = _bags(spark, sf_dir)
     terms = idf.agg(F.count("*").alias("n_terms"), F.round(F.sum("idf"), 4).alias("idf_sum"))
     return stats.select("n_docs", F.round("avgdl", 6).alias("avgdl")).crossJoin(terms)
 
 
 @query(_SEARCH + " select qid, id, bm25_rank from s")
 def bm25_topk(spark, sf_dir):
-    _, post, idf, stats = _index(spark, sf_dir)
-    scored = search.sparse_scores(_questions(spark, sf_dir), post, idf, stats).where("score > 0")
-    return search.ranked(scored, ["qid"], 20, "bm25_rank").select("qid", "id", "bm25_rank")
+    _, bags, idf, stats = _bags(spark, sf_dir)
+    return search.sparse_topk(_questions(spark, sf_dir), bags, idf, stats, 20).select("qid", "id", "bm25_rank")
 
 
 @query("""select q.vec_id as qid, v.vec_id as id, row_number() over (partition by q.vec_id order by round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: cast(p[1] as double) * cast(p[2] as double))), 6) desc, v.vec_id) as dense_rank
@@ -87,22 +95,21 @@ def bm25_topk(spark, sf_dir):
 def dense_topk(spark, sf_dir):
     (e,) = tables(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
-    both = q.join(e.select(F.col("vec_id").alias("id"), "embedding"))  # the stated query set against all rows
-    return search.ranked(search.dense_scores(both), ["qid"], 20, "dense_rank").select("qid", "id", "dense_rank")
+    return search.dense_topk(q, e.select(F.col("vec_id").alias("id"), "embedding"), 20).select("qid", "id", "dense_rank")
 
 
 @query(_SEARCH + " select qid, id, round(rrf, 5) as rrf, dense_rank, bm25_rank, place from placed")
 def hybrid_search(spark, sf_dir):
-    c, post, idf, stats = _index(spark, sf_dir)
-    hits = search.hybrid(_questions(spark, sf_dir), c, post, idf, stats)
+    c, bags, idf, stats = _bags(spark, sf_dir)
+    hits = search.hybrid(_questions(spark, sf_dir), c, bags, idf, stats)
     return hits.select("qid", "id", F.round("rrf", 5).alias("rrf"), "dense_rank", "bm25_rank", "place")
 
 
 @query(_SEARCH + """ select qid, ticker, fiscal_year, id, quota from (
   select qid, c.ticker, c.fiscal_year, id, row_number() over (partition by qid, c.ticker, c.fiscal_year order by place) as quota from placed join chunks c using (id)) where quota <= 2""")
 def hybrid_quota(spark, sf_dir):
-    c, post, idf, stats = _index(spark, sf_dir)
-    hits = search.hybrid(_questions(spark, sf_dir), c, post, idf, stats).join(c.select("id", "ticker", "fiscal_year"), "id")
+    c, bags, idf, stats = _bags(spark, sf_dir)
+    hits = search.hybrid(_questions(spark, sf_dir), c, bags, idf, stats).join(c.select("id", "ticker", "fiscal_year"), "id")
     w = Window.partitionBy("qid", "ticker", "fiscal_year").orderBy("place")
     return hits.withColumn("quota", long(F.row_number().over(w))).where("quota <= 2").select("qid", "ticker", "fiscal_year", "id", "quota")
 
@@ -448,7 +455,8 @@ def _retrieved(spark, sf_dir):
     subq, cov = _subqueries(spark, sf_dir)
     (e,) = tables(spark, sf_dir, "embeddings")
     years = planning.search_years(subq, cov).join(e.select(F.col("vec_id").cast("int").alias("sq"), F.col("embedding").alias("vector")), "sq", "left")
-    c, post, idf, stats = _index(spark, sf_dir)
+    asked = subq.select(F.explode(parsing.tokenize(F.col("query"))).alias("term"))
+    c, post, idf, stats = _index(spark, sf_dir, asked)
     return subq, c, search.relaxed(years, c, post, idf, stats)
 
 
@@ -538,8 +546,8 @@ def eval_summary(spark, sf_dir):
 @query(_SEARCH + " select qid, cast(max(case when place <= 5 and list_contains([id], g) then 1 else 0 end) as int) as recall from (select p.qid, p.id, p.place, first(p.id) over (partition by p.qid order by p.bm25_rank nulls last, p.id) as g from placed p) group by qid")
 def recall_at_5(spark, sf_dir):
     """Gold is the best sparse hit of each question; is it among the first five fused ones?"""
-    c, post, idf, stats = _index(spark, sf_dir)
-    hits = search.hybrid(_questions(spark, sf_dir), c, post, idf, stats)
+    c, bags, idf, stats = _bags(spark, sf_dir)
+    hits = search.hybrid(_questions(spark, sf_dir), c, bags, idf, stats)
     by = hits.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("ids"), F.min_by("id", F.struct(F.coalesce("bm25_rank", F.lit(1 << 40)), F.col("id"))).alias("gold"))
     return by.select("qid", evaluation.recall_at(F.col("ids"), F.col("gold")).alias("recall"))
 
