@@ -14,6 +14,7 @@ from filigree.plans import planning
 from filigree.runtime import ship
 from filigree.settings import Settings
 from filigree.sources import files
+from filigree.sources.scratch import Scratch
 from filigree.sources.store import IndexStore
 
 
@@ -63,27 +64,43 @@ class Engine:
 
     def ingest(self, raw: DataFrame, only: list[str] | None = None) -> tuple[int, int]:
         """Bring the index to the filings of raw; returns how many chunks were embedded and deleted."""
-        new = self.chunked(raw, only)
-        if self.store.version() is None:
-            done = new.count(), 0
-        else:
-            done = tuple(index.changes(self.store.read("chunks"), new).first())
-        self.store.update(new, self.embedder.column("document", self.settings.embed_batch))
-        return done
+        with Scratch(self.spark, "ingest") as scratch:
+            new = scratch.keep(self.chunked(raw, only), "chunks")
+            return self.store.update(new, self.embedder.column("document", self.settings.embed_batch))
 
     def plan(self, question: str) -> planning.Plan:
         """A plan by the planner model, or by rules without one."""
+        return self.checked([question])[0]
+
+    def checked(self, questions: list[str]) -> list[planning.Plan]:
+        """Plans of all questions, or the first error."""
+        made = self.plans(questions)
+        for _, wrong, _ in made:
+            if wrong:
+                raise ValueError(wrong)
+        return [p for p, _, _ in made]
+
+    def plans(self, questions: list[str]) -> list[tuple[planning.Plan, str, float]]:
+        """(plan, error, seconds) of each question; the companies are read once. A question that no plan can be made for gets an empty one."""
         comp = [r.asDict() for r in self.companies().collect()]
-        if self.planner is None:
-            return planning.rule_plan(question, comp)
-        ok = self.coverage().where("status = 'ok'")
-        table = "\n".join(r.line for r in coverage.company_table(self.companies(), ok).orderBy("ticker").collect())
-        return planning.plan_question(question, {c["ticker"] for c in comp}, table, self.planner)
+        table = ""
+        if self.planner is not None:
+            ok = self.coverage().where("status = 'ok'")
+            table = "\n".join(r.line for r in coverage.company_table(self.companies(), ok).orderBy("ticker").collect())
+        out = []
+        for q in questions:
+            began, wrong = time.time(), ""
+            try:
+                plan = planning.rule_plan(q, comp) if self.planner is None else planning.plan_question(q, {c["ticker"] for c in comp}, table, self.planner)
+            except Exception as e:  # a model may fail on one question alone
+                plan, wrong = planning.Plan([], []), models.said(e)
+            out.append((plan, wrong, time.time() - began))
+        return out
 
     def retrieve(self, questions: list[str], plans: list[planning.Plan] | None = None) -> Retrieval:
         """Hits of all questions in one plan."""
         s = self.settings
-        plans = plans if plans is not None else [self.plan(q) for q in questions]
+        plans = plans if plans is not None else self.checked(questions)
         cov = self.coverage().where("status = 'ok'")
         asked = self.spark.createDataFrame(list(enumerate(questions)), "plan int, question string")
         names = self.companies().select("ticker", "name")
@@ -121,43 +138,37 @@ class Engine:
         return evaluation.build_set(self.companies(), cov, coverage.fully_covered(cov), self.store.read("chunks"), chunks.count_tokens(F.col("text")), self.generator, n)
 
     def evaluate(self, items: DataFrame, judged: bool = True) -> DataFrame:
-        """Scores of evaluation items (see evaluation.item, with id). A question that no plan can be made for is an error of its own row."""
-        began = time.time()
+        """Scores of evaluation items (see evaluation.item, with id). What fails for one question, in planning, writing or judging, is an error of its own row; latency_s is the time that these three took for it."""
         rows = items.orderBy("id").collect()
-        plans, wrong = [], []
-        for r in rows:
-            try:
-                plans.append(self.plan(r.question))
-                wrong.append("")
-            except Exception as e:  # a model may fail on one question alone
-                plans.append(planning.Plan([], []))
-                wrong.append(f"{type(e).__name__}: {e}"[:300])
+        made = self.plans([r.question for r in rows])
+        plans = [p for p, _, _ in made]
         out, found = self.answer([r.question for r in rows], plans)
-        planned = [(k, r.id, w, p.tickers, sorted(set(p.sections) | {s for q in p.sub_queries for s in q.sections}), sorted(set(p.fiscal_years) | {y for q in p.sub_queries for y in q.fiscal_years}), p.last_n_years, p.needs_comparison) for k, (r, p, w) in enumerate(zip(rows, plans, wrong))]
-        d = self.spark.createDataFrame(planned, "aid int, id string, error string, plan_tickers array<string>, plan_sections array<string>, plan_years array<int>, plan_last_n int, plan_comparison boolean")
+        planned = [(k, r.id, w, s, p.tickers, sorted(set(p.sections) | {s for q in p.sub_queries for s in q.sections}), sorted(set(p.fiscal_years) | {y for q in p.sub_queries for y in q.fiscal_years}), p.last_n_years, p.needs_comparison) for k, (r, (p, w, s)) in enumerate(zip(rows, made))]
+        d = self.spark.createDataFrame(planned, "aid int, id string, wrong string, spent double, plan_tickers array<string>, plan_sections array<string>, plan_years array<int>, plan_last_n int, plan_comparison boolean")
         order = F.transform(F.array_sort(F.collect_list(F.struct("sq", "fiscal_year", "place", "id"))), lambda x: x["id"])
         first = found.hits.groupBy("aid", "ticker").agg(order.alias("ids")).groupBy("aid").agg(F.map_from_entries(F.collect_list(F.struct("ticker", "ids"))).alias("by_ticker"))
         texts = found.hits.groupBy("aid").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("id", "text")))).alias("texts"))
-        d = d.join(items, "id").join(out.select("aid", F.col("text").alias("answer"), "valid", "invalid", "gaps"), "aid").join(first, "aid", "left").join(texts, "aid", "left")
+        d = d.join(items, "id").join(out.select("aid", F.col("text").alias("answer"), "valid", "invalid", "gaps", F.col("error").alias("unwritten"), F.col("seconds").alias("wrote")), "aid").join(first, "aid", "left").join(texts, "aid", "left")
         judge = self.judge
 
-        @F.arrow_udf("struct<score: double, error: string>")
+        @F.arrow_udf("struct<score: double, error: string, seconds: double>")
         def faithful(answers: pa.Array, excerpts: pa.Array) -> pa.Array:
             out = []
             for a, e in zip(answers.to_pylist(), excerpts.to_pylist()):
+                began = time.time()
                 try:
-                    out.append((judge.faithfulness(a, e) if e else None, ""))
+                    score, wrong = judge.faithfulness(a, e) if e else None, ""
                 except Exception as x:  # a model may fail on one answer alone
-                    out.append((None, f"{type(x).__name__}: {x}"[:300]))
-            return pa.StructArray.from_arrays([pa.array([s for s, _ in out], pa.float64()), pa.array([x for _, x in out], pa.string())], names=["score", "error"])
+                    score, wrong = None, models.said(x)
+                out.append({"score": score, "error": wrong, "seconds": time.time() - began})
+            return pa.array(out, pa.struct([("score", pa.float64()), ("error", pa.string()), ("seconds", pa.float64())]))
 
         accuracy, misses = evaluation.planner_checks()
         is_ = lambda *types: F.col("type").isin(*types)
         ticker = F.try_element_at("expected_tickers", F.lit(1))
         hits = F.coalesce(F.try_element_at("by_ticker", ticker), F.array().cast("array<string>"))
         cited = F.transform("valid", lambda i: F.concat(*([F.lit("["), i, F.lit("]\n")] if getattr(judge, "labelled", False) else []), F.try_element_at("texts", i)))
-        d = d.withColumn("said", F.when(~is_("unanswerable"), faithful("answer", cited)) if judged else F.lit(None).cast("struct<score: double, error: string>"))
-        spent = (time.time() - began) / max(len(rows), 1)
+        d = d.withColumn("said", F.when(~is_("unanswerable"), faithful("answer", cited)) if judged else F.lit(None).cast("struct<score: double, error: string, seconds: double>"))
         return d.select(
             "id",
             "type",
@@ -173,8 +184,8 @@ class Engine:
             F.size("valid").alias("n_citations"),
             F.array_join("invalid", " ").alias("invalid_citations"),
             F.array_join("gaps", " | ").alias("gaps"),
-            F.lit(round(spent, 1)).alias("latency_s"),
-            F.coalesce(F.nullif("error", F.lit("")), F.col("said.error"), F.lit("")).alias("error"),
+            F.round(F.col("spent") + F.col("wrote") + F.coalesce("said.seconds", F.lit(0.0)), 1).alias("latency_s"),
+            F.coalesce(*[F.nullif(c, F.lit("")) for c in ("wrong", "unwritten", "said.error")], F.lit("")).alias("error"),
             "answer",
         )
 

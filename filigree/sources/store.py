@@ -1,16 +1,27 @@
-"""The index on disk: chunk rows with vectors by ticker, postings by term hash, corpus statistics."""
+"""The index on disk: chunk rows with vectors and their postings by ticker, corpus statistics and term weights."""
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from filigree.operators import index
 
+#: Versions that a reader may have to bring together; beyond it an update writes all anew.
+VERSIONS = 16
+
 
 class IndexStore:
-    """Parquet tables under one folder. A new version is written beside the old one and named in `current`, so readers and a failed writer never meet half a table."""
+    """Parquet tables under one folder, in versions that are written beside the ones before.
+
+    `current` says, line by line, which version holds each ticker's chunks and postings, so an update
+    writes the tickers that changed and nothing else, and readers and a failed writer never
+    meet half a table. Versions that neither the current line nor the one before it names
+    are deleted."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -19,35 +30,76 @@ class IndexStore:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def version(self) -> str | None:
+    def _history(self, most: int = 2) -> list[dict]:
+        """The last states, newest first: {version, live: {ticker: version}}."""
         fs, p = self._fs(f"{self.folder}/current")
         if not fs.exists(p):
-            return None
-        return self.spark.read.schema("version string, at timestamp").json(f"{self.folder}/current").orderBy(F.desc("at")).first()[0]
+            return []
+        rows = self.spark.read.schema("version string, at timestamp, live string").json(f"{self.folder}/current").orderBy(F.desc("at")).limit(most).collect()
+        return [{"version": r.version, "live": json.loads(r.live)} for r in rows]
+
+    def version(self) -> str | None:
+        return next((h["version"] for h in self._history(1)), None)
 
     def read(self, table: str) -> DataFrame:
         """chunks, postings, idf or stats of the current version."""
-        return self.spark.read.parquet(f"{self.folder}/{self.version()}/{table}")
+        (now,) = self._history(1)
+        return self._read(table, now)
+
+    def _read(self, table: str, now: dict) -> DataFrame:
+        if table not in ("chunks", "postings"):
+            return self.spark.read.parquet(f"{self.folder}/{now['version']}/{table}")
+        by: dict[str, list[str]] = defaultdict(list)
+        for ticker, version in now["live"].items():
+            by[version].append(ticker)
+        parts = [self.spark.read.parquet(f"{self.folder}/{v}/{table}").where(F.col("ticker").cast("string").isin(tickers)).withColumn("ticker", F.col("ticker").cast("string")) for v, tickers in sorted(by.items())]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.read.parquet(f"{self.folder}/{now['version']}/{table}").where("false")
 
     def get(self, ids: list[str]) -> DataFrame:
         """Chunks by id."""
         return self.read("chunks").where(F.col("id").isin(ids))
 
-    def write(self, chunks: DataFrame) -> None:
-        """A version of chunks (vectors included) and all that sparse search needs of them."""
+    def write(self, chunks: DataFrame, kept: dict[str, str] | None = None) -> None:
+        """A version of chunks (vectors included) beside the tickers that earlier versions keep, and all that sparse search needs of them."""
         v = uuid.uuid4().hex[:12]
         base = f"{self.folder}/{v}"
         chunks.write.partitionBy("ticker").parquet(f"{base}/chunks")
-        c = self.spark.read.parquet(f"{base}/chunks")
-        index.postings(c).repartitionByRange("term").write.parquet(f"{base}/postings")
-        index.corpus_stats(c).write.parquet(f"{base}/stats")
-        index.idf(self.spark.read.parquet(f"{base}/postings"), self.spark.read.parquet(f"{base}/stats")).write.parquet(f"{base}/idf")
-        self.spark.range(1).select(F.lit(v).alias("version"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").json(f"{self.folder}/current")
-
-    def update(self, new: DataFrame, embed=None) -> None:
-        """Bring the index to `new`, the chunks of all selected files: what is unchanged keeps its vector, what is gone is purged."""
-        if self.version() is None:
-            old = new.limit(0).withColumn("embedding", F.lit(None).cast("array<float>"))
-        else:
-            old = self.read("chunks")
-        self.write(index.merged(old, new, embed))
+        c = self.spark.read.schema(chunks.schema).parquet(f"{base}/chunks")
+        post = index.postings(c).join(c.select("id", "ticker"), "id")
+        post.repartitionByRange("ticker", "term").write.partitionBy("ticker").parquet(f"{base}/postings")
+        live = (kept or {}) | {r.ticker: v for r in c.select("ticker").distinct().collect()}
+        now = {"version": v, "live": live}
+        every = self._read("postings", now)
+        every.select("id", "dl").distinct().agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).write.parquet(f"{base}/stats")
+        index.idf(every, self.spark.read.parquet(f"{base}/stats")).write.parquet(f"{base}/idf")
+        before = self._history(1)
+        line = self.spark.range(1).select(F.lit(v).alias("version"), F.current_timestamp().alias("at"), F.lit(json.dumps(live)).alias("live"))
+        line.coalesce(1).write.mode("append").json(f"{self.folder}/current")
+        self._clear([now, *before])
+
+    def _clear(self, named: list[dict]) -> None:
+        used = {"current"} | {v for h in named for v in (h["version"], *h["live"].values())}
+        fs, p = self._fs(self.folder)
+        for s in fs.listStatus(p):
+            if s.getPath().getName() not in used:
+                fs.delete(s.getPath(), True)
+
+    def update(self, new: DataFrame, embed=None) -> tuple[int, int]:
+        """Bring the index to `new`, the chunks of all selected files; returns how many were embedded and deleted.
+
+        What is unchanged keeps its vector, what is gone is purged. Tickers without a change are not written again, and without any nothing is."""
+        (*now,) = self._history(1)
+        if not now:
+            self.write(index.merged(new.limit(0).withColumn("embedding", F.lit(None).cast("array<float>")), new, embed))
+            return self.read("chunks").count(), 0
+        old = self._read("chunks", now[0])
+        up, gone = index.changed_ids(old, new).join(new.select("id", "ticker"), "id"), index.stale_ids(old, new).join(old.select("id", "ticker"), "id")
+        each = up.select("ticker", F.lit(1).alias("up"), F.lit(0).alias("gone")).union(gone.select("ticker", F.lit(0), F.lit(1)))
+        by = {r.ticker: (r.up, r.gone) for r in each.groupBy("ticker").agg(F.sum("up").alias("up"), F.sum("gone").alias("gone")).collect()}
+        if by:
+            kept = {t: v for t, v in now[0]["live"].items() if t not in by}
+            if len(set(kept.values())) >= VERSIONS:
+                kept = {}
+            some = F.lit(True) if not kept else ~F.col("ticker").isin(list(kept))
+            self.write(index.merged(old.where(some), new.where(some), embed), kept)
+        return sum(u for u, _ in by.values()), sum(g for _, g in by.values())
