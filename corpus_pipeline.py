@@ -8,6 +8,13 @@ from filigree.llm import chosenpath, credentials, langkernel, piecefst, simwindo
 from filigree.llm.scratch import Scratch
 
 
+def free(name: str, columns: list[str]) -> str:
+    """A name that no column has."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 #: Languages that the corpus is for, and the least score of one (a one-versus-rest value of -0.5).
 LANGUAGES, LEAST_SCORE = ("de", "en", "es", "fr"), 0.25
 
@@ -23,9 +30,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     own = docs.columns
-    said = docs.select(F.struct(*own).alias("d"), model.predict(spark, F.col("text")).alias("said"))
-    good = said.where(F.col("said.lang").isin(*LANGUAGES) & (F.col("said.score") >= LEAST_SCORE))
-    return good.select(*[F.col("said.lang").alias("lang") if c == "lang" else F.col("d")[c].alias(c) for c in own])
+    said = free("said", own)
+    good = docs.withColumn(said, model.predict(spark, F.col("text"))).where(F.col(said)["lang"].isin(*LANGUAGES) & (F.col(said)["score"] >= LEAST_SCORE))
+    return good.select(*[F.col(said)["lang"].alias("lang") if c == "lang" else F.col(c) for c in own])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,18 +45,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that hold no benchmark item. Null and empty texts and items hold nothing; equal rows stay or go together; extra columns stay, one named `items` too."""
-    own = docs.columns
-    held = simwindows.contamination(docs.select(F.struct(*own).alias("d"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return held.where(F.size("items") == 0).select("d.*")
+    other = free("items", docs.columns)
+    held = simwindows.contamination(docs.withColumnRenamed("items", other), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return held.where(F.size("items") == 0).drop("items").withColumnRenamed(other, "items")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace credentials in texts by a mark; n_chars follows. Every row stays, null and empty texts as they are (0 characters); extra columns stay, one named `spans` too."""
-    own = docs.columns
-    found = credentials.scan(docs.select(F.struct(*own).alias("d"), "text"))
-    clean = found.select("d", credentials.redact(F.col("text"), F.col("spans")).alias("text"))
-    new = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text"), F.lit(0)).cast("bigint")}
-    return clean.select(*[new[c].alias(c) if c in new else F.col("d")[c].alias(c) for c in own])
+    own, other = docs.columns, free("spans", docs.columns)
+    found = credentials.scan(docs.withColumnRenamed("spans", other))
+    clean = found.withColumn("text", credentials.redact(F.col("text"), F.col("spans"))).drop("spans").withColumnRenamed(other, "spans")
+    return clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint")).select(*own)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +64,9 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     model = str(public_tokenizers.path("piece_bpe_32k.model"))
     own = [c for c in docs.columns if c not in ("text", "n_pieces", "ids")]
-    out = docs.select(F.struct(*own).alias("d"), piecefst.codec(spark, model)(F.col("text")).alias("p"))
-    return out.select("d.*", F.size("p.ids").cast("bigint").alias("n_pieces"), F.col("p.ids").alias("ids"), F.col("p.text").alias("text"))
+    p = free("p", own)
+    out = docs.select(*own, piecefst.codec(spark, model)(F.col("text")).alias(p))
+    return out.select(*own, F.size(f"{p}.ids").cast("bigint").alias("n_pieces"), F.col(f"{p}.ids").alias("ids"), F.col(f"{p}.text").alias("text"))
 
 
 STAGES = [
