@@ -93,7 +93,8 @@ class LanguageModel:
             top = np.clip((1 + s[np.arange(len(s)), best].astype(np.float64)) / 2, 0, 1)
             return pa.StructArray.from_arrays([pa.array(languages).take(pa.array(best)).cast(pa.string()), pa.array(top)], names=["lang", "score"])
 
-        return F.when(text.rlike(r"\p{L}"), scored(text)).otherwise(none)
+        # marked so that a filter on the result is not pushed below it, which would score every text twice
+        return F.when(text.rlike(r"\p{L}"), scored.asNondeterministic()(text)).otherwise(none)
 
 
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_col: str = "doc_id", where: Column | None = None) -> LanguageModel:
