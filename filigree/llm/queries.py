@@ -41,8 +41,8 @@ def op2_separator_scan(spark: SparkSession, sf_dir: str, ranks: str | None = Non
     folder = scratch.path("flat")
     ranks = ranks or _vocabulary("byte_bpe_multi_50k.tiktoken")
     manifest = scratch.keep(write_tokens(_table(spark, sf_dir, "documents"), folder, ranks, separator), "manifest")
-    counts = scratch.keep(document_tokens(manifest, separator).withColumnRenamed("id", "doc_id"), "counts")
-    scratch._remove(folder)
+    counts = scratch.keep(document_tokens(manifest, separator, scratch).withColumnRenamed("id", "doc_id"), "counts")
+    scratch.remove(folder)
     return counts
 
 

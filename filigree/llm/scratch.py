@@ -1,62 +1,6 @@
-"""Shared scratch storage for jobs that must outlive an executor.
-
-Intermediate tables go to the folder that the cluster names in ``spark.checkpoint.dir``;
-only where that setting is missing (tests on one machine) is a local folder chosen.
-"""
+"""What the operators share with the rest of the library: scratch tables on shared storage, and the shipping of code."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession
-
-from filigree.runtime import ship  # noqa: F401  the operators take it from here
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder, from the session; a fresh temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = Path(tempfile.mkdtemp(prefix="filigree-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-#: Rows of narrow tables that one file takes.
-ROWS_PER_FILE = 50_000
-
-
-class Scratch:
-    """Parquet tables under one folder of the shared storage; a written table cuts lineage."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.base = f"{shared_dir(spark)}/filigree/{label}-{uuid.uuid4().hex[:12]}"
-        self._n = 0
-
-    def path(self, name: str) -> str:
-        self._n += 1
-        return f"{self.base}/{self._n:03d}-{name}"
-
-    def keep(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-        """Write df and read it back; the returned frame depends on the files alone. `rows`, a bound of its rows where it is known, spares a small table from many small files."""
-        p = self.path(name)
-        if rows is not None and (files := -(-rows // ROWS_PER_FILE)) < int(self.spark.conf.get("spark.sql.shuffle.partitions")):
-            df = df.coalesce(max(1, files))
-        df.write.mode("overwrite").parquet(p)
-        back = self.spark.read.schema(df.schema).parquet(p)
-        back._filigree_path = p
-        return back
-
-    def drop(self, df: DataFrame | None) -> None:
-        """Delete the files of a kept frame that no plan will read again."""
-        p = getattr(df, "_filigree_path", None)
-        if p:
-            self._remove(p)
-
-    def _remove(self, p: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(p)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+from filigree.runtime import ship  # noqa: F401
+from filigree.sources.scratch import Scratch, shared_dir  # noqa: F401

@@ -12,7 +12,7 @@ from pyarrow import fs as pafs
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .scratch import ship
+from .scratch import Scratch, ship
 
 #: Bytes of a block, and of a file of the writer.
 BLOCK_BYTES, FILE_BYTES = 4 << 20, 64 << 20
@@ -20,10 +20,19 @@ BLOCK_BYTES, FILE_BYTES = 4 << 20, 64 << 20
 FAN = 1024
 
 
+#: Names that Hadoop has for stores that the reader knows by another (fixed values).
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfss", "gs": "gs", "hdfs": "hdfs"}
+
+
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    if urlsplit(path).scheme in ("", "file"):
-        return pafs.LocalFileSystem(), urlsplit(path).path
-    return pafs.FileSystem.from_uri(path)
+    """The file system of a path or address, and the path there; a store that the reader does not know is an error that says so."""
+    at = urlsplit(path)
+    if at.scheme in ("", "file"):
+        return pafs.LocalFileSystem(), at.path
+    try:
+        return pafs.FileSystem.from_uri(at._replace(scheme=SCHEMES.get(at.scheme, at.scheme)).geturl())
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"token files cannot be read from {at.scheme}:// ({path})") from e
 
 
 def sizes(spark: SparkSession, files: DataFrame) -> DataFrame:
@@ -41,7 +50,7 @@ def sizes(spark: SparkSession, files: DataFrame) -> DataFrame:
     return files.select("path", size("path").alias("bytes"))
 
 
-def scan(files: DataFrame, separator: int, width: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scan(files: DataFrame, separator: int, width: int = 2, block_bytes: int = BLOCK_BYTES, scratch: Scratch | None = None) -> DataFrame:
     """Documents of flat token files: (path, ordinal, start, n_tokens, closed).
 
     files has (path, bytes); each file is a run of little-endian unsigned integers of
@@ -49,7 +58,8 @@ def scan(files: DataFrame, separator: int, width: int = 2, block_bytes: int = BL
     of a file from 0, start is the place of the first token, n_tokens leaves the separator
     out. Tokens after the last separator are one more document with closed = false; an
     empty file, or one that ends with a separator, has none. Bytes beyond the last whole
-    token are refused.
+    token are refused. A path that files has twice is scanned as two rows of one file, so name
+    each once; other columns of files are ignored; an empty table has no documents.
 
     Files are cut into blocks; a task reads a block, compares all of it with the
     separator at once and emits the places it finds. What is left to know of a block is
@@ -77,21 +87,23 @@ def scan(files: DataFrame, separator: int, width: int = 2, block_bytes: int = BL
 
     parts = max(1, spark.sparkContext.defaultParallelism)
     found = blocks.repartition(parts * 4, "path", "block").mapInArrow(search, "path string, block bigint, stop bigint, at array<bigint>")
-    return stitch(found)
+    # written, so that files are read once though the places are used twice
+    return stitch((scratch or Scratch(spark, "separators")).keep(found, "separators"))
 
 
 def stitch(found: DataFrame) -> DataFrame:
     """Documents from the separators of each block (path, block, stop, at): the prefix scan."""
-    facts = found.select("path", "block", F.size("at").cast("bigint").alias("n"), F.array_max("at").alias("last"), "stop", "at", F.expr(f"block div {FAN}").alias("upper"))
+    # the scan sorts three numbers of each block; the places of separators stay where they are
+    facts = found.select("path", "block", F.size("at").cast("bigint").alias("n"), F.array_max("at").alias("last"), "stop", F.expr(f"block div {FAN}").alias("upper"))
     inner = Window.partitionBy("path", "upper").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    own = facts.select("*", F.coalesce(F.sum("n").over(inner), F.lit(0)).alias("before"), F.max("last").over(inner).alias("from"))
+    own = facts.select("path", "block", "upper", F.coalesce(F.sum("n").over(inner), F.lit(0)).alias("before"), F.max("last").over(inner).alias("from"))
     sums = facts.groupBy("path", "upper").agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.max("stop").alias("stop"))
     outer = Window.partitionBy("path").orderBy("upper").rowsBetween(Window.unboundedPreceding, -1)
     carry = sums.select("path", "upper", F.coalesce(F.sum("n").over(outer), F.lit(0)).alias("up_n"), F.max("last").over(outer).alias("up_last"))
-    placed = own.hint("merge").join(carry, ["path", "upper"])
     # the first document of a block began after the last separator of any earlier block
     begin = F.coalesce("from", "up_last", F.lit(-1).cast("bigint")) + 1
-    placed = placed.select("path", (F.col("before") + F.col("up_n")).alias("first"), begin.alias("begin"), "at")
+    begins = own.join(carry, ["path", "upper"]).select("path", "block", (F.col("before") + F.col("up_n")).alias("first"), begin.alias("begin"))
+    placed = found.select("path", "block", "at").hint("merge").join(begins, ["path", "block"]).select("path", "first", "begin", "at")
     docs = placed.select("path", "first", "begin", "at", F.posexplode("at").alias("k", "end"))
     start = F.when(F.col("k") == 0, F.col("begin")).otherwise(F.get("at", F.col("k") - 1) + 1)
     closed = docs.select("path", (F.col("first") + F.col("k")).alias("ordinal"), start.alias("start"), (F.col("end") - start).alias("n_tokens"), F.lit(True).alias("closed"))
@@ -118,7 +130,9 @@ def write_tokens(docs: DataFrame, folder: str, ranks: str, separator: int, *, id
     """Encode texts into flat files of 16-bit tokens under folder, each text ended by separator.
 
     Returns the manifest (path, bytes, ids): one row per file, ids in the order of its
-    texts. Null texts are empty ones. A file's bytes appear under its final name only when
+    texts. Null texts are empty ones, texts of any length are written whole, rows that repeat
+    or have no id are written each; other columns are ignored, and an empty table makes no
+    file. A file's bytes appear under its final name only when
     whole, and a task tried again writes a file of another name, so what the manifest
     names is complete whatever was lost before. folder must be shared by all executors.
     """
@@ -168,9 +182,9 @@ def write_tokens(docs: DataFrame, folder: str, ranks: str, separator: int, *, id
     return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(write, f"path string, bytes bigint, ids array<{kind}>")
 
 
-def document_tokens(manifest: DataFrame, separator: int) -> DataFrame:
-    """(id, n_tokens) of each text behind a manifest of write_tokens, found by scanning its files."""
-    found = scan(manifest.select("path", "bytes"), separator).where("closed")
+def document_tokens(manifest: DataFrame, separator: int, scratch: Scratch | None = None) -> DataFrame:
+    """(id, n_tokens) of each text behind a manifest of write_tokens, found by scanning its files; a row per row that was written, null ids and repeated ids too."""
+    found = scan(manifest.select("path", "bytes"), separator, scratch=scratch).where("closed")
     names = manifest.select("path", F.posexplode("ids").alias("ordinal", "id"))
     names = names.withColumn("ordinal", F.col("ordinal").cast("bigint"))
     # both sides have a row per text, more than their file sizes tell: never broadcast

@@ -126,6 +126,22 @@ def test_token_counts(spark, small):
     assert {r.doc_id: r.n_tokens for r in got} == {i: len(enc.encode_ordinary(t)) for i, t in texts.items()} and len(got) == len(texts)
 
 
+def test_token_counts_of_hard_rows(spark, tmp_path):
+    rows = [(1, None), (1, "two words"), (1, "two words"), (None, "x"), (2, ""), (3, "word " * 200_000)]
+    docs = spark.createDataFrame([(i, t, 5, "own") for i, t in rows], "doc_id bigint, text string, n_tokens int, path string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(queries.op2_separator_scan(spark, str(tmp_path)).collect(), key=lambda r: (r.doc_id or 0, r.n_tokens))
+    assert [(r.doc_id, r.n_tokens) for r in got[:5]] == [(None, 1), (1, 0), (1, 2), (1, 2), (2, 0)] and got[5].doc_id == 3 and got[5].n_tokens >= 200_000
+    docs.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert queries.op2_separator_scan(spark, str(tmp_path)).collect() == []
+
+
+def test_stores_by_their_names():
+    with pytest.raises(ValueError, match="wasbs://"):
+        separators._open("wasbs://box@host/a.bin")
+    assert separators._open("file:///a/b.bin")[1] == separators._open("/a/b.bin")[1] == "/a/b.bin"
+
+
 def similar(text, items, width=5):
     """Best weighted similarity of every item over all windows of its length."""
     from math import log
