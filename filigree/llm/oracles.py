@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .urlalias import HIDDEN, REFERENCES
+
 _UPPER, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -21,10 +23,31 @@ def _parts(url: str) -> str:
     )
 
 
+def _plain(p: str) -> str:
+    """A path without . and .. segments, / for an empty one."""
+    walked = f"list_reduce(list_prepend('', string_split(substr({p}, 2), '/')), lambda a, x: case when x = '.' then a when x = '..' then regexp_replace(a, '/[^/]*$', '') else a || '/' || x end)"
+    return rf"case when {p} = '' then '/' when regexp_matches({p}, '/\.\.?$') then {walked} || '/' when regexp_matches({p}, '/\.\.?/') then {walked} else {p} end"
+
+
 def _node(url: str) -> str:
     query = r"regexp_extract(u, '(?s)^[^?#]*(\?[^#]*)', 1)"
     scheme = "lower(regexp_extract(u, '(?s)^(.*?)://', 1))"
-    return f"(select case when host <> '' then {scheme} || '://' || host || (case when path = '' then '/' else path end) || {query} end from (select u, {_parts('u')} from (select {url} as u)))"
+    return f"(select case when host <> '' then {scheme} || '://' || host || {_plain('path')} || {query} end from (select u, {_parts('u')} from (select {url} as u)))"
+
+
+def _decoded(x: str) -> str:
+    out = rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    for name, char in REFERENCES:
+        out = "replace({}, '{}', '{}')".format(out, name, char.replace("'", "''"))
+    return out
+
+
+def _resolved(x: str, base: str) -> str:
+    folder = f"regexp_extract({base}, '^(.*?://[^/?#]*(?:[^?#]*/)?)', 1)"
+    return (
+        f"case when regexp_matches({x}, '(?i)^[a-z][a-z0-9+.-]*://') then {x} when prefix({x}, '//') then regexp_extract({base}, '^(.*?:)//', 1) || {x} "
+        f"when prefix({x}, '/') then regexp_extract({base}, '^(.*?://[^/?#]*)', 1) || {x} when suffix({folder}, '/') then {folder} || {x} else {folder} || '/' || {x} end"
+    )
 
 
 _HREF = r"""coalesce(nullif(regexp_extract(t, '(?i)\bhref\s*=\s*"([^"]*)"', 1), ''), nullif(regexp_extract(t, '(?i)\bhref\s*=\s*''([^'']*)''', 1), ''),
@@ -34,20 +57,16 @@ _IS_LINK = r"""regexp_matches(t, '(?i)\brel\s*=\s*["'']?[^"''>]*\bcanonical\b')"
 _IS_MOVE = r"""regexp_matches(t, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b')"""
 _LINKS = (
     rf"list_filter(list_transform(list_concat(list_transform(list_filter(regexp_extract_all(h, '(?is)<link\b[^>]*>'), lambda t: {_IS_LINK}), lambda t: {_HREF}),"
-    rf" list_transform(list_filter(regexp_extract_all(h, '(?is)<meta\b[^>]*>'), lambda t: {_IS_MOVE}), lambda t: {_MOVE})), lambda x: replace(trim(x), '&amp;', '&')), lambda x: x <> '')"
-)
-_FOLDER = "regexp_extract(url, '^(.*?://[^/?#]*(?:[^?#]*/)?)', 1)"
-_RESOLVED = (
-    "case when regexp_matches(x, '(?i)^[a-z][a-z0-9+.-]*://') then x when prefix(x, '//') then regexp_extract(url, '^(.*?:)//', 1) || x "
-    f"when prefix(x, '/') then regexp_extract(url, '^(.*?://[^/?#]*)', 1) || x when suffix({_FOLDER}, '/') then {_FOLDER} || x else {_FOLDER} || '/' || x end"
+    rf" list_transform(list_filter(regexp_extract_all(h, '(?is)<meta\b[^>]*>'), lambda t: {_IS_MOVE}), lambda t: {_MOVE})), lambda x: {_decoded('x')}), lambda x: x <> '')"
 )
+_BASE = rf"(select case when named <> '' then {_resolved('named', 'url')} else url end from (select {_decoded(_HREF)} as named from (select regexp_extract(h, '(?is)<base\b[^>]*>') as t)))"
 
 
 def url_alias(rules: list[tuple[str, str]]) -> str:
     rule, said = _cases(rules, 0), _cases(rules, 1)
-    return f"""with recursive read as (select page_id, url, {_parts('url')}, regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g') as h from pages),
- rows_ as (select page_id, url, coalesce(host, '') as host, coalesce(path, '') as path, {_node('url')} as node, {_LINKS} as links from read),
- named as (select node, {_RESOLVED} as t from (select node, url, unnest(links) as x from rows_ where node is not null)),
+    return f"""with recursive read as (select page_id, url, {_parts('url')}, regexp_replace(coalesce(html, ''), '{HIDDEN}', '', 'g') as h from pages),
+ rows_ as (select page_id, url, coalesce(host, '') as host, coalesce(path, '') as path, {_node('url')} as node, {_BASE} as base, {_LINKS} as links from read),
+ named as (select node, {_resolved('x', 'base')} as t from (select node, base, unnest(links) as x from rows_ where node is not null)),
  raw as (select node as a, {_node('t')} as b from named),
  edges as (select a, b from raw where a <> b union select b, a from raw where a <> b),
  reach(node, root) as (select a, a from edges union select e.b, r.root from reach r join edges e on e.a = r.node),

@@ -23,32 +23,63 @@ def path(url: Column) -> Column:
 
 
 def node(url: Column) -> Column:
-    """The name of a page in the alias graph: scheme and host in lower case, no fragment, / for no path; null without a host."""
+    """The name of a page in the alias graph: scheme and host in lower case, no fragment, / for no path, no . and .. in the path; null without a host."""
     scheme = F.lower(F.regexp_extract(url, r"(?s)^(.*?)://", 1))
     query = F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)
-    p = path(url)
-    return F.when(host(url) != "", F.concat(scheme, F.lit("://"), host(url), F.when(p == "", "/").otherwise(p), query))
+    return F.when(host(url) != "", F.concat(scheme, F.lit("://"), host(url), plain_path(path(url)), query))
+
+
+def plain_path(p: Column) -> Column:
+    """A path without . and .. segments, / for an empty one."""
+    up = lambda a: F.regexp_replace(a, r"/[^/]*$", "")
+    walked = F.aggregate(F.split(F.substr(p, F.lit(2)), "/"), F.lit(""), lambda a, x: F.when(x == ".", a).when(x == "..", up(a)).otherwise(F.concat(a, F.lit("/"), x)))
+    done = F.when(p.rlike(r"/\.\.?$"), F.concat(walked, F.lit("/"))).otherwise(walked)
+    return F.when(p == "", "/").when(p.rlike(r"/\.\.?(/|$)"), done).otherwise(p)
+
+
+#: Character references that addresses in attributes use, the ampersand last (fixed values).
+REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&#x26;", "&"), ("&#38;", "&"), ("&amp;", "&"))
+#: What is no markup of the page: comments and scripts (fixed value).
+HIDDEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>"
+_VALUE = r"""(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+
+
+def _href(tag: Column) -> Column:
+    return F.concat(*[F.regexp_extract(tag, rf"(?i)\bhref\s*=\s*{_VALUE}", k) for k in (1, 2, 3)])
+
+
+def _decoded(x: Column) -> Column:
+    """An attribute's value without white space around it, with its character references read."""
+    out = F.regexp_replace(x, r"^\s+|\s+$", "")
+    for name, char in REFERENCES:
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return out
+
+
+def resolved(x: Column, base: Column) -> Column:
+    """An address as seen from a page at base (. and .. stay, node reads them)."""
+    origin = F.regexp_extract(base, r"^(.*?://[^/?#]*)", 1)
+    folder = F.regexp_extract(base, r"^(.*?://[^/?#]*(?:[^?#]*/)?)", 1)
+    return (
+        F.when(x.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), x)
+        .when(x.startswith("//"), F.concat(F.regexp_extract(base, r"^(.*?:)//", 1), x))
+        .when(x.startswith("/"), F.concat(origin, x))
+        .when(folder.endswith("/"), F.concat(folder, x))
+        .otherwise(F.concat(folder, F.lit("/"), x))
+    )
 
 
 def targets(html: Column, url: Column) -> Column:
-    """Absolute urls that a page names as its canonical address or refreshes to (array, empty if none); comments do not count."""
-    h = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    value = r"""(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+    """Absolute urls that a page names as its canonical address or refreshes to (array, empty if none), seen from its base element where it has one; comments and scripts do not count."""
+    h = F.regexp_replace(html, HIDDEN, "")
     links = F.filter(F.regexp_extract_all(h, F.lit(r"(?is)<link\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"""(?i)\brel\s*=\s*["']?[^"'>]*\bcanonical\b"""))
-    hrefs = F.transform(links, lambda t: F.concat(*[F.regexp_extract(t, rf"(?i)\bhref\s*=\s*{value}", k) for k in (1, 2, 3)]))
     metas = F.filter(F.regexp_extract_all(h, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b"""))
     moves = F.transform(metas, lambda t: F.regexp_extract(t, r"""(?i)\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*['"]?([^"'>\s]+)""", 1))
-    raw = F.filter(F.transform(F.concat(hrefs, moves), lambda x: F.replace(F.trim(x), F.lit("&amp;"), F.lit("&"))), lambda x: x != "")
-    origin = F.regexp_extract(url, r"^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract(url, r"^(.*?://[^/?#]*(?:[^?#]*/)?)", 1)
-    absolute = F.transform(
-        raw,
-        lambda x: F.when(x.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), x)
-        .when(x.startswith("//"), F.concat(F.regexp_extract(url, r"^(.*?:)//", 1), x))
-        .when(x.startswith("/"), F.concat(origin, x))
-        .when(folder.endswith("/"), F.concat(folder, x))
-        .otherwise(F.concat(folder, F.lit("/"), x)),
-    )
+    raw = F.filter(F.transform(F.concat(F.transform(links, _href), moves), _decoded), lambda x: x != "")
+    named = _decoded(_href(F.regexp_extract(h, r"(?is)<base\b[^>]*>", 0)))
+    base = F.when(named != "", resolved(named, url)).otherwise(url)
+    # a lambda's variable is computed once
+    absolute = F.get(F.transform(F.array(base), lambda b: F.transform(raw, lambda x: resolved(x, b))), F.lit(0))
     none = F.array().cast("array<string>")
     return F.when(html.rlike(r"(?i)\bcanonical\b|\bhttp-equiv\s*=\s*[\"']?refresh"), absolute).otherwise(none)
 
@@ -93,8 +124,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], *, id_col: str = "page
     allows. alias_of is the smallest address of the chain, null for a page without edges.
 
     Null and malformed urls have empty host and path, no aliases and are allowed; null html
-    has no links; relative links are resolved; self-links and repeated edges change nothing;
-    repeated rows are judged alike. Other columns of pages are ignored.
+    has no links; relative links are resolved, from the base element where there is one;
+    self-links and repeated edges change nothing; repeated rows are judged alike, rows with a
+    null id too; an empty table has no verdicts. Among equally long rules that fit, allow
+    comes before block. Urls and html of any length are read whole. Other columns of pages
+    are ignored.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "urlalias")
