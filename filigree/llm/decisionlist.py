@@ -143,12 +143,18 @@ def describe(rules: list[Rule], features: tuple[str, ...] = FEATURES) -> list[st
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> list[Rule]:
-    """Learn from about LABELLED labelled rows, chosen by a hash of the id. Null ids, texts and labels teach nothing; no labels give an empty list, which keeps everything."""
+    """Learn from about LABELLED labelled texts, chosen by a hash of the id.
+
+    Null ids, texts and labels teach nothing; no labels, or an empty table, give an empty
+    list, which keeps everything. An id counts once however often it is repeated: with the
+    least of its texts and, of several labels, the least. Of equal gains the first statistic in
+    FEATURES and the least threshold win. Other columns are ignored."""
     marked = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
     n = marked.count()
     if not n:
         return []
     few = marked.where(F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit(5)), F.lit(1 << 30)) < min(1 << 30, LABELLED * (1 << 30) // n))
-    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(few.dropDuplicates(["_id"])), "_id")
+    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(few.groupBy("_id").agg(F.min("_y").alias("_y"))), "_id")
+    chosen = chosen.groupBy("_id", "_y").agg(F.min("text").alias("text"))
     rows = statistics(chosen).select(F.xxhash64(F.col("_id").cast("string")), "_y", *FEATURES).collect()
     return learn([(tuple(float(v) for v in r[2:]), r[1] == 0) for r in sorted(rows)])

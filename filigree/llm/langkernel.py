@@ -76,7 +76,11 @@ class LanguageModel:
         self.languages, self.weights, self.bias = languages, weights, bias
 
     def predict(self, spark, text: Column) -> Column:
-        """struct(lang, score) of a text; `und` and 0 if it is null or has no letter, or nothing was learned."""
+        """struct(lang, score) of a text; `und` and 0 if it is null or has no letter, or nothing was learned.
+
+        Of equal scores the first language by name wins. Texts are read whole: a very long one fills
+        ever more of the BUCKETS and so looks less like any language, but its length divides
+        out. Equal texts get equal results."""
         kind = StructType([StructField("lang", StringType()), StructField("score", DoubleType())])
         none = F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"))
         if not self.languages:
@@ -102,8 +106,9 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_col: str
 
     Every language is learned, from about PER_LANGUAGE texts of each, TEXTS in all, one at
     least, chosen by a hash of the id; LANDMARKS texts of each language,
-    ALL_LANDMARKS in all, are the Nyström landmarks. Rows with a null text, id or language teach nothing; with no
-    labelled row the model is empty and predicts `und`.
+    ALL_LANDMARKS in all, are the Nyström landmarks. Rows with a null text, id or language teach nothing; an id
+    counts once however often it is repeated, with the least of its texts. With no labelled row,
+    as in an empty table, the model is empty and predicts `und`. Other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -126,7 +131,8 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_col: str
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in bits], pa.binary()), b.column(1).slice(i, j - i), b.column(2).slice(i, j - i)], names=["bits", "l", "h"])
 
     # about TEXTS rows of 2 KB at most
-    found = chosen.select(F.col(text).alias("text"), F.col(lang).alias("l"), small.alias("h")).mapInArrow(packed, "bits binary, l string, h bigint").toArrow()
+    once = chosen.select(F.col(id_col).alias("id"), F.struct(F.col(text).alias("text"), F.col(lang).alias("l"), small.alias("h")).alias("r")).groupBy("id").agg(F.min("r").alias("r"))
+    found = once.select("r.text", "r.l", "r.h").mapInArrow(packed, "bits binary, l string, h bigint").toArrow()
     names = found.column("l").to_pylist()
     languages = sorted(set(names))
     order = np.lexsort((np.array(found.column("h").to_pylist()), np.array(names)))

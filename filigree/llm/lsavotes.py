@@ -70,7 +70,11 @@ class VoteModel:
         self.idf, self.axes, self.vectors, self.labels, self.weights, self.prior = idf, axes, vectors, labels, weights, prior
 
     def score(self, spark, text: Column) -> Column:
-        """Share of the votes for label 1; every text gets a score, the prior where no neighbour has a positive cosine."""
+        """Share of the votes for label 1.
+
+        Every text gets a score, the prior where no neighbour has a positive cosine: null and
+        empty texts are scored as empty ones. Texts are counted whole, whatever their length; equal
+        texts get equal scores; neighbours that are equally near share the places that are left."""
         if self.vectors is None:
             return F.lit(float(self.prior))
         ship(spark)
@@ -107,19 +111,34 @@ def votes(column: pa.Array, idf, axes, vectors, labels, weights, prior) -> np.nd
     for i, j in _batches(ends):
         sims = project(_counts(data, ends, i, j), idf, axes).astype(np.float32) @ vectors.T
         near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        w = np.maximum(np.take_along_axis(sims, near, 1), 0).astype(np.float64) ** 8 * weights[near]
-        total = w.sum(1)
+        close = np.take_along_axis(sims, near, 1)
+        w = np.maximum(close, 0).astype(np.float64) ** 8 * weights[near]
+        total, good = w.sum(1), (w * labels[near]).sum(1)
+        # neighbours as near as the last voter that found no place
+        last = close.min(1, keepdims=True)
+        for r in np.flatnonzero((sims == last).sum(1) > (close == last).sum(1)).tolist():
+            total[r], good[r] = _shared(sims[r], k, labels, weights)
         some = total > 0
-        out[i:j][some] = (w * labels[near]).sum(1)[some] / total[some]
+        out[i:j][some] = good[some] / total[some]
     return np.clip(out, 0, 1)
 
 
+def _shared(sims: np.ndarray, k: int, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """Weight of all votes and of those for label 1, where equally near neighbours share the places that are left."""
+    last = np.partition(sims, -k)[-k]
+    before, tied = sims > last, sims == last
+    place = before + tied * ((k - before.sum()) / tied.sum())
+    w = np.maximum(sims, 0).astype(np.float64) ** 8 * weights * place
+    return float(w.sum()), float((w * labels).sum())
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", text: str = "text", id_col: str = "doc_id", where: Column | None = None) -> VoteModel:
     """Learn from the texts that `labels` (id_col, label) marks 0 or 1.
 
     About PER_LABEL texts of each label are used, chosen by a hash of the id; that bounds
     what is broadcast. Votes are weighted so that both labels count by their share among
-    all labelled rows. Null ids, texts or labels teach nothing. With one label alone, or
+    all labelled rows. Null ids, texts or labels teach nothing; an id counts once however
+    often it is repeated, with the least of its texts and labels; other columns are ignored. With one label alone, or
     none, the score is the share of label 1 among labelled rows (1 if there are none).
     """
     spark = docs.sparkSession
@@ -133,8 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", text: str
         return VoteModel(None, None, None, None, None, prior)
     h = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(7)), F.lit(1 << 30))
     share = F.when(F.col("y") == 1, min(1 << 30, PER_LABEL * (1 << 30) // n[1])).otherwise(min(1 << 30, PER_LABEL * (1 << 30) // n[0]))
-    few = marked.where(h < share).dropDuplicates(["id"])  # about 2 * PER_LABEL rows at most
+    few = marked.where(h < share).groupBy("id").agg(F.min("y").alias("y"))  # about 2 * PER_LABEL rows at most
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(few), "id")
+    chosen = chosen.groupBy("id", "y").agg(F.min("text").alias("text"))
 
     def termed(batches):
         for b in batches:

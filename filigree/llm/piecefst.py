@@ -346,6 +346,10 @@ def decoder(spark, model: str):
 def codec(spark, model: str):
     """A function of a text column to struct(ids, text): its ids and what decoding them gives back, in one pass.
 
+    Null and empty texts have no ids and an empty text. Texts of any length are encoded whole, equal
+    ones alike. A text comes back as it was but for what the normaliser changes: the space
+    mark (U+2581) in a text is read as a space, and models that trim spaces do so.
+
     Two functions one on the other would be planned as one node that encodes twice."""
     name = _sent(spark, model)
 

@@ -127,3 +127,82 @@ def test_round_trip_in_spark(spark, small, model):
     ids = docs.select("doc_id", piecefst.encoder(spark, model)(F.col("text")).alias("ids"))
     assert [r.ids for r in ids.orderBy("doc_id").collect()] == [[], []]
     assert [r[0] for r in ids.select(piecefst.decoder(spark, model)(F.col("ids"))).collect()] == ["", ""]
+
+
+def test_nystrom_and_ridge_as_the_exact_kernel_machine(spark):
+    """With every text a landmark the model is kernel ridge regression, here solved in its dual form."""
+    rows = sentences(60)
+    model = langkernel.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert model.languages == ["aa", "bb", "cc"]
+    grams = lambda texts: langkernel.presence(*langkernel.utf8(pa.array(texts)), 0, len(texts)).astype(float)
+    unit = lambda x: x / np.sqrt(x.sum(1, keepdims=True))
+    x, new = unit(grams([t for _, t, _ in rows])), [t for _, t, _ in sentences(120)[60:]]
+    kernel = x @ x.T + 1  # the bias is one more feature
+    weight = np.array([len(rows) / (3 * sum(u == lang for _, _, u in rows)) for _, _, lang in rows])
+    target = np.array([[1.0 if lang == n else -1.0 for n in model.languages] for _, _, lang in rows])
+    alpha = np.linalg.solve(kernel + langkernel.RIDGE * len(rows) * np.diag(1 / weight), target)
+    want = (unit(grams(new)) @ x.T + 1) @ alpha
+    got = langkernel.kernel_scores(pa.array(new), model.weights, model.bias)
+    assert np.allclose(got, want, atol=5e-3)
+
+
+def test_languages_of_repeated_and_clashing_rows(spark):
+    rows = [(k, t, lang, "own", 1.0) for k, t, lang in sentences(30)]
+    many = rows + [(1, "der baum der baum", "bb", "own", 1.0)] * 200
+    schema = "doc_id bigint, text string, lang string, l string, score double"
+    one, two = (langkernel.fit(spark.createDataFrame(r, schema)) for r in (rows, many + many[-1:]))
+    assert one.weights.shape == two.weights.shape and two.languages == ["aa", "bb", "cc"]
+    docs = spark.createDataFrame(many, schema)
+    out = docs.select("doc_id", "l", "score", one.predict(spark, F.col("text")).alias("p")).collect()
+    assert len(out) == 230 and len({(r.p.lang, r.p.score) for r in out if r.doc_id == 1 and r.p.lang == "bb"}) >= 1
+    tie = langkernel.LanguageModel(["x", "y"], np.zeros((langkernel.BUCKETS, 2), np.float32), np.zeros(2, np.float32))
+    assert docs.select(tie.predict(spark, F.col("text"))["lang"]).distinct().collect() == [("x",)]
+
+
+def test_latent_space_as_plain_cosines(spark):
+    """With a rank that holds all texts, cosines in the latent space are those of the weighted counts."""
+    r = random.Random(3)
+    texts = [" ".join(r.choices(["Alpha", "beta7", "##", "gamma", "DELTA", "x", "12"], k=r.randrange(3, 30))) for _ in range(40)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, quality int")
+    model = lsavotes.fit(docs, labels)
+    data, ends = lsavotes.utf8(pa.array(texts))
+    x = lsavotes._counts(data, ends, 0, 40)
+    for k, t in enumerate(texts):  # counts are whole
+        assert np.expm1(x[k, : lsavotes.WORDS]).sum() == pytest.approx(len(t.split()), rel=1e-4)
+        assert np.expm1(x[k, lsavotes.WORDS : lsavotes.WORDS + lsavotes.SHAPES]).sum() == pytest.approx(len(t.split()), rel=1e-4)
+    df = (x > 0).sum(0)
+    assert np.allclose(model.idf, np.log((1 + 40) / (1 + df)) + 0.1, atol=1e-4)
+    plain = lsavotes.weighted(x.copy(), model.idf).astype(float)
+    plain /= np.linalg.norm(plain, axis=1, keepdims=True)
+    found = lsavotes.project(x.copy(), model.idf, model.axes)
+    assert np.allclose(found @ found.T, plain @ plain.T, atol=2e-3)
+
+
+def test_equally_near_neighbours_share_places():
+    vectors = np.array([[1.0, 0.0]] * 60, np.float32)
+    labels, weights = np.array([1.0] * 20 + [0.0] * 40), np.ones(60)
+    order = np.random.default_rng(2).permutation(60)
+    axes = np.zeros((lsavotes.TERMS, 2), np.float32)
+    axes[:, 0] = 1
+    for at in (np.arange(60), order):
+        got = lsavotes.votes(pa.array(["some text", None]), np.ones(lsavotes.TERMS, np.float32), axes, vectors, labels[at], weights, 0.5)
+        assert got.tolist() == pytest.approx([1 / 3, 1 / 3])
+
+
+def test_scores_of_hard_rows(spark):
+    docs = spark.createDataFrame([(1, None), (1, None), (None, "a b"), (2, "w " * 100_000)], "doc_id bigint, text string").withColumn("score", F.lit("own"))
+    labels = spark.createDataFrame([(k, k % 2) for k in (1, 2, 2, 3, 4)], "doc_id bigint, quality int")
+    model = lsavotes.fit(docs.unionByName(spark.createDataFrame([(3, "good words", "own")] * 50 + [(4, "### |||", "own")], docs.schema)), labels)
+    assert model.vectors.shape[0] == 3  # an id is learned once
+    got = docs.select(model.score(spark, F.col("text")).alias("s")).collect()
+    assert len(got) == 4 and all(0 <= r.s <= 1 for r in got) and docs.limit(0).select(model.score(spark, F.col("text"))).collect() == []
+
+
+def test_pieces_of_hard_rows(spark, model):
+    rows = [(1, None), (2, ""), (3, "mark \u2581 here"), (4, "long " * 60_000), (4, "long " * 60_000), (None, "x")]
+    docs = spark.createDataFrame([(i, t, "own") for i, t in rows], "doc_id bigint, text string, ids string")
+    out = docs.select("doc_id", "text", piecefst.codec(spark, model)(F.col("text")).alias("p")).collect()
+    assert [r.p.text for r in out] == ["", "", "mark   here", *["long " * 60_000] * 2, "x"] and out[0].p.ids == []
+    assert out[3].p == out[4].p
+    assert docs.limit(0).select(piecefst.codec(spark, model)(F.col("text"))).collect() == []

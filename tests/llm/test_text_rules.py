@@ -2,7 +2,7 @@ import hashlib
 import random
 import time
 
-from brute import base_spans, linked_spans, statistics
+from brute import WORD, base_spans, linked_spans, statistics
 from pyspark.sql import functions as F
 
 from filigree.llm import credentials, decisionlist, queries
@@ -112,3 +112,44 @@ def test_credentials_of_empty_and_repeated_rows(spark):
     out = credentials.scan(docs).select("doc_id", credentials.joined(F.col("spans")).alias("s")).collect()
     assert [r.s for r in out] == ["assign:0:15"] * 4
     assert credentials.scan(docs.limit(0)).collect() == []
+
+
+def test_the_best_condition_by_trying_all():
+    from math import log2
+
+    r = random.Random(8)
+    for _ in range(20):
+        rows = [((float(r.randrange(6)), float(r.randrange(9))), r.random() < 0.4) for _ in range(60)]
+        gain, found = decisionlist._best_condition(rows)
+        p0 = sum(y for _, y in rows)
+        best = 0.0
+        for f in (0, 1):
+            for v in sorted({x[f] for x, _ in rows})[1:]:
+                for op in ("<", ">="):
+                    hit = [y for x, y in rows if (x[f] < v) == (op == "<")]
+                    if any(hit):
+                        best = max(best, sum(hit) * (log2(sum(hit) / len(hit)) - log2(p0 / len(rows))))
+        assert abs(gain - best) < 1e-6 and (found is None) == (best <= 1e-9)
+
+
+def test_the_learned_list_row_by_row(spark, small):
+    """The query's verdict is what reading the rules one after the other gives, on statistics worked out here."""
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    rules = decisionlist.fit(docs, labels)
+    kept = {r.doc_id: (r.base_failed, r.kept) for r in queries.op5_decision_list(spark, small).collect()}
+    for r in docs.collect():
+        n, chars, symbols, dup, repeat = statistics(r.text)
+        w = WORD.findall(r.text or "")
+        lines = [x for x in (r.text or "").split("\n") if WORD.search(x)]
+        own = (n, chars / n if n else 0, symbols / n if n else 0, repeat / n if n else 0, dup / len(lines) if lines else 0, sum("A" <= c <= "Z" for c in r.text or "") / chars if chars else 0, len(set(w)) / n if n else 0, sum(c in "!?" for c in r.text or "") / n if n else 0)
+        low = any(all(own[f] >= v if op == ">=" else own[f] < v for f, op, v in rule) for rule in rules)
+        failed, said = kept[r.doc_id]
+        assert said == (not failed and not low)
+
+
+def test_lists_of_repeated_ids_and_empty_tables(spark):
+    docs = spark.createDataFrame([(k, "good plain words here " * 20) for k in range(60)] + [(k, "### $$$ " * 30) for k in range(60, 120)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k < 60)) for k in range(120)], "doc_id bigint, quality int")
+    rules = decisionlist.fit(docs, labels)
+    assert rules and decisionlist.fit(docs.union(docs.where("doc_id = 7")).union(docs.where("doc_id = 7")), labels.union(labels)) == rules
+    assert decisionlist.fit(docs.limit(0), labels) == [] and decisionlist.statistics(docs.limit(0)).collect() == []
