@@ -11,7 +11,7 @@ from filigree.operators.blocks import K1, B, dense_best, sparse_best, term_weigh
 
 def predicate(flt: dict) -> Column:
     """A conjunction of equalities and, for lists, memberships."""
-    terms = [F.col(k).isin(v) if isinstance(v, (list, tuple, set)) else F.col(k) == v for k, v in flt.items()]
+    terms = [F.col(k).isin(list(v)) if isinstance(v, (list, tuple, set)) else F.col(k) == v for k, v in flt.items()]
     return reduce(lambda a, b: a & b, terms, F.lit(True))
 
 
