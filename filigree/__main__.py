@@ -1,4 +1,4 @@
-"""Command line: python -m filigree FOLDER build|ingest|search|answer|evaluate ..."""
+"""Command line: python -m filigree FOLDER build|ingest|search|answer|items|evaluate ..."""
 
 from __future__ import annotations
 
@@ -26,12 +26,16 @@ def main(argv: list[str] | None = None) -> None:
     sub.choices["ingest"].add_argument("--dry-run", action="store_true")
     for name in ("search", "answer"):
         sub.add_parser(name).add_argument("question")
+    p = sub.add_parser("items")
+    p.add_argument("--items", required=True)
+    p.add_argument("--synthetic", type=int, default=10)
     p = sub.add_parser("evaluate")
     p.add_argument("--items", required=True)
     p.add_argument("--types", nargs="*")
     p.add_argument("--limit", type=int)
     p.add_argument("--no-judge", action="store_true")
     p.add_argument("--results", required=True)
+    p.add_argument("--summary")
     a = ap.parse_args(argv)
     spark = session()
     engine = Engine(spark, a.folder, Settings.from_env(dotenv=".env"))
@@ -50,14 +54,20 @@ def main(argv: list[str] | None = None) -> None:
         found.gaps.show(100, False)
     elif a.do == "answer":
         print(json.dumps(engine.answer([a.question])[0].first().asDict(), indent=1, ensure_ascii=False))
+    elif a.do == "items":
+        files.write_items(engine.eval_set(a.synthetic), a.items)
     else:
         from filigree.operators.evaluation import first_of_each
 
         items = files.read_items(spark, a.items)
         items = first_of_each(items, a.limit or 1 << 30, a.types)
         rows = engine.evaluate(items, not a.no_judge)
-        files.write_results(rows, a.results)
-        engine.summary(rows).show()
+        files.write_results(rows, a.results, "overwrite")
+        # the results are read back, for rows would ask the models again
+        summary = engine.summary(files.read_results(spark, a.results, rows.schema))
+        summary.show()
+        if a.summary:
+            files.write_summary(summary, a.summary)
 
 
 if __name__ == "__main__":

@@ -62,14 +62,14 @@ def fiscal_year_end(period: Column, fye: Column, tolerance: int = 10) -> Column:
     return F.when(on(-1) >= floor, on(-1)).when(on(0) >= floor, on(0)).otherwise(on(1))
 
 
-def fiscal_year(period: Column, fye: Column) -> Column:
+def fiscal_year(period: Column, fye: Column, tolerance: int = 10) -> Column:
     """Calendar year in which the fiscal year of the period ends."""
-    return F.year(fiscal_year_end(period, fye))
+    return F.year(fiscal_year_end(period, fye, tolerance))
 
 
-def fiscal_quarter(period: Column, fye: Column, form_: Column, per_quarter: float = 91.3) -> Column:
+def fiscal_quarter(period: Column, fye: Column, form_: Column, per_quarter: float = 91.3, tolerance: int = 10) -> Column:
     """FY for annual reports, else Q1 to Q4 by the days since the previous fiscal year end."""
-    previous = F.add_months(fiscal_year_end(period, fye), -12)
+    previous = F.add_months(fiscal_year_end(period, fye, tolerance), -12)
     q = F.least(F.greatest(F.round(F.datediff(period, previous) / per_quarter).cast("int"), F.lit(1)), F.lit(4))
     return F.when(form_ == "10-K", "FY").otherwise(F.concat(F.lit("Q"), q.cast("string")))
 

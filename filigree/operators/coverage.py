@@ -55,10 +55,10 @@ def draft_companies(rows: DataFrame, ends: DataFrame, existing: DataFrame | None
     return named.join(kept, "ticker", "left").select("ticker", "name", "cik", "sector", "industry", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), F.coalesce("own", "fye").alias("fiscal_year_end"))
 
 
-def coverage(rows: DataFrame, companies: DataFrame, excluded: dict[str, str] | None = None) -> DataFrame:
-    """The coverage table. A filing without a period end has status `missing_period`; excluded maps files to reasons."""
+def coverage(rows: DataFrame, companies: DataFrame, excluded: dict[str, str] | None = None, tolerance: int = 10, per_quarter: float = 91.3) -> DataFrame:
+    """The coverage table; tolerance and per_quarter are the days that fiscal_year and fiscal_quarter go by. A filing without a period end has status `missing_period`; excluded maps files to reasons."""
     d = rows.join(companies.select("ticker", "sector", "industry", "fiscal_year_end"), "ticker")
-    fy, fq = P.fiscal_year(F.col("period_end"), F.col("fiscal_year_end")), P.fiscal_quarter(F.col("period_end"), F.col("fiscal_year_end"), F.col("form"))
+    fy, fq = P.fiscal_year(F.col("period_end"), F.col("fiscal_year_end"), tolerance), P.fiscal_quarter(F.col("period_end"), F.col("fiscal_year_end"), F.col("form"), per_quarter, tolerance)
     d = d.withColumns({"fiscal_year": fy, "fiscal_quarter": fq})
     reason = F.lit(None).cast("string")
     if excluded:

@@ -35,7 +35,7 @@ class Engine:
     def __init__(self, spark: SparkSession, folder: str, settings: Settings = Settings(), embedder=None, generator=None, judge=None, planner=None, counter=None, reranker=None):
         ship(spark)
         self.spark, self.folder, self.settings = spark, folder.rstrip("/"), settings
-        self.embedder = embedder or models.HashEmbedder(settings.embed_dim)
+        self.embedder = embedder or models.embedder(settings)
         self.generator = generator or models.generator(settings)
         self.judge = judge or models.judge(settings)
         self.planner, self.counter = planner, counter
@@ -53,7 +53,7 @@ class Engine:
         rows = coverage.filings(raw)
         comp = coverage.draft_companies(rows, coverage.fiscal_year_ends(rows), existing)
         comp.write.mode("overwrite").parquet(f"{self.folder}/companies")
-        coverage.coverage(rows, self.companies(), excluded).write.mode("overwrite").parquet(f"{self.folder}/coverage")
+        coverage.coverage(rows, self.companies(), excluded, self.settings.fiscal_tolerance_days, self.settings.days_per_quarter).write.mode("overwrite").parquet(f"{self.folder}/coverage")
 
     def chunked(self, raw: DataFrame, only: list[str] | None = None) -> DataFrame:
         """Chunks of the filings of status ok, of some files alone if given."""
@@ -138,7 +138,7 @@ class Engine:
         return evaluation.build_set(self.companies(), cov, coverage.fully_covered(cov), self.store.read("chunks"), chunks.count_tokens(F.col("text")), self.generator, n)
 
     def evaluate(self, items: DataFrame, judged: bool = True) -> DataFrame:
-        """Scores of evaluation items (see evaluation.item, with id). What fails for one question, in planning, writing or judging, is an error of its own row; latency_s is the time that these three took for it."""
+        """Scores of evaluation items (see evaluation.item, with id). What fails for one question, in planning, writing or judging, is an error of its own row; latency_s is the time that its plan and its answer took."""
         rows = items.orderBy("id").collect()
         made = self.plans([r.question for r in rows])
         plans = [p for p, _, _ in made]
@@ -151,24 +151,23 @@ class Engine:
         d = d.join(items, "id").join(out.select("aid", F.col("text").alias("answer"), "valid", "invalid", "gaps", F.col("error").alias("unwritten"), F.col("seconds").alias("wrote")), "aid").join(first, "aid", "left").join(texts, "aid", "left")
         judge = self.judge
 
-        @F.arrow_udf("struct<score: double, error: string, seconds: double>")
+        @F.arrow_udf("struct<score: double, unsupported: string, error: string>")
         def faithful(answers: pa.Array, excerpts: pa.Array) -> pa.Array:
             out = []
             for a, e in zip(answers.to_pylist(), excerpts.to_pylist()):
-                began = time.time()
                 try:
-                    score, wrong = judge.faithfulness(a, e) if e else None, ""
+                    (score, bad), wrong = judge.verdict(a, e) if e else (None, []), ""
                 except Exception as x:  # a model may fail on one answer alone
-                    score, wrong = None, models.said(x)
-                out.append({"score": score, "error": wrong, "seconds": time.time() - began})
-            return pa.array(out, pa.struct([("score", pa.float64()), ("error", pa.string()), ("seconds", pa.float64())]))
+                    score, bad, wrong = None, [], f"judge: {models.said(x)}"
+                out.append({"score": score, "unsupported": " | ".join(bad), "error": wrong})
+            return pa.array(out, pa.struct([("score", pa.float64()), ("unsupported", pa.string()), ("error", pa.string())]))
 
         accuracy, misses = evaluation.planner_checks()
         is_ = lambda *types: F.col("type").isin(*types)
         ticker = F.try_element_at("expected_tickers", F.lit(1))
         hits = F.coalesce(F.try_element_at("by_ticker", ticker), F.array().cast("array<string>"))
         cited = F.transform("valid", lambda i: F.concat(*([F.lit("["), i, F.lit("]\n")] if getattr(judge, "labelled", False) else []), F.try_element_at("texts", i)))
-        d = d.withColumn("said", F.when(~is_("unanswerable"), faithful("answer", cited)) if judged else F.lit(None).cast("struct<score: double, error: string, seconds: double>"))
+        d = d.withColumn("said", F.when(~is_("unanswerable"), faithful("answer", cited)) if judged else F.lit(None).cast("struct<score: double, unsupported: string, error: string>"))
         return d.select(
             "id",
             "type",
@@ -180,11 +179,12 @@ class Engine:
             F.when(is_("template", "example"), F.round(accuracy, 3)).alias("planner_accuracy"),
             F.when(is_("template", "example"), F.array_join(misses, " ")).alias("planner_misses"),
             F.col("said.score").alias("faithfulness"),
+            F.col("said.unsupported").alias("unsupported"),
             F.when(is_("unanswerable"), evaluation.abstained(ticker, F.col("gaps"), F.col("answer")).cast("int")).alias("abstained"),
             F.size("valid").alias("n_citations"),
             F.array_join("invalid", " ").alias("invalid_citations"),
             F.array_join("gaps", " | ").alias("gaps"),
-            F.round(F.col("spent") + F.col("wrote") + F.coalesce("said.seconds", F.lit(0.0)), 1).alias("latency_s"),
+            F.round(F.col("spent") + F.col("wrote"), 1).alias("latency_s"),
             F.coalesce(*[F.nullif(c, F.lit("")) for c in ("wrong", "unwritten", "said.error")], F.lit("")).alias("error"),
             "answer",
         )

@@ -17,6 +17,10 @@ class Settings:
     chunk_tokens: int = 800
     chunk_overlap: int = 100
     least_tokens: int = 30
+    embed_provider: str = "offline"
+    embed_model: str = ""
+    embed_query_prefix: str = ""
+    embed_doc_prefix: str = ""
     embed_max_tokens: int = 1024
     embed_dim: int = 768
     embed_batch: int = 64

@@ -45,13 +45,30 @@ def write_companies(companies: DataFrame, path: str) -> None:
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ITEM).json(path, multiLine=True)
+    """Items of a JSON array, or of a folder that write_items made."""
+    return spark.read.schema(ITEM).json(path, multiLine=path.endswith(".json"))
 
 
-def write_results(rows: DataFrame, path: str) -> None:
-    """Evaluation results as CSV, appended to what an interrupted run left."""
+def write_items(items: DataFrame, path: str) -> None:
+    """Evaluation items as read_items reads them, one JSON object a line, in the order of their ids."""
+    items.orderBy("id").coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_summary(summary: DataFrame, path: str) -> None:
+    """The summary of an evaluation as one CSV file with a header."""
+    summary.coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
+def write_results(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """Evaluation results as CSV, in mode append beside what an earlier run left."""
     flat = [F.col(c) if not t.startswith("array") else F.array_join(c, " ").alias(c) for c, t in rows.dtypes]
-    rows.select(*flat).write.mode("append").csv(path, header=True, escape='"')
+    rows.select(*flat).write.mode(mode).csv(path, header=True, escape='"')
+
+
+def read_results(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Results that write_results wrote, arrays as the joined strings they are."""
+    flat = ", ".join(f"{f.name} {'string' if f.dataType.typeName() == 'array' else f.dataType.simpleString()}" for f in schema)
+    return spark.read.schema(flat).csv(path, header=True, escape='"', multiLine=True)
 
 
 def select_filings(cov: DataFrame, files: list[str] | None = None) -> DataFrame:

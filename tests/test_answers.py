@@ -223,3 +223,28 @@ def test_stream(spark, tmp_path):
     q = ingest.into(ingest.stream_texts(spark, str(tmp_path / "in")), str(tmp_path / "cp"), lambda df: seen.extend((r.file, r.text) for r in df.collect()))
     q.awaitTermination(60)
     assert seen == [("one.txt", "x\ny")]
+
+
+def test_hosted_vectors():
+    seen = []
+
+    def call(url, headers, body, **_):
+        seen.append(body)
+        if "requests" in body:
+            return {"embeddings": [{"values": [3.0, 4.0]} for _ in body["requests"]]}
+        return {"data": [{"index": k, "embedding": [float(len(t)), 0.0]} for k, t in reversed(list(enumerate(body["input"])))]}
+
+    g = models.HttpEmbedder("gemini", "m", 2, call=call)
+    assert g.embed(["a", "b"], "query") == [[0.6, 0.8]] * 2 and {r["taskType"] for r in seen[0]["requests"]} == {"RETRIEVAL_QUERY"}
+    o = models.HttpEmbedder("openai", "m", 2, max_tokens=3, prefixes={"document": "doc: "}, call=call)
+    assert o.embed(["one two three four five", "x"]) == [[1.0, 0.0]] * 2
+    assert [t.removeprefix("doc: ").split() for t in seen[1]["input"]] == [["one", "two", "three"], ["four", "five"], ["x"]]  # whole, in stretches
+    assert isinstance(models.embedder(Settings()), models.HashEmbedder)
+    assert isinstance(models.embedder(Settings(embed_provider="openai", embed_model="m")), models.HttpEmbedder)
+    with pytest.raises(ValueError):
+        models.HttpEmbedder("none", "m", 2)
+
+
+def test_judges_name_what_is_not_supported():
+    score, bad = models.OverlapJudge().verdict("- red foxes run [A-1]\n- green cars fly [A-2]", ["red foxes run fast"])
+    assert score == 0.5 and bad == ["- green cars fly [A-2]"]

@@ -1,8 +1,10 @@
 """From files to scores on three made-up companies."""
 
 import json
+import sys
 
 import pytest
+from pyspark import cloudpickle
 
 from filigree import __main__ as cli
 from filigree.plans import planning
@@ -94,3 +96,51 @@ def test_evaluation(spark, made, tmp_path, capsys):
     assert spark.read.csv(str(tmp_path / "results"), header=True, multiLine=True, escape='"').count() == 1
     cli.main([str(d / "out"), "answer", "Which risks does Beta fear?"])
     assert '"valid"' in capsys.readouterr().out
+
+
+class Failing:
+    """A model that fails on some prompts."""
+
+    def complete(self, prompt, system=None, json_mode=False):
+        if "Beta" in prompt:
+            raise RuntimeError("no reply today")
+        return "- Alpha fears storms of 2024 [AA-1]"
+
+
+def test_a_failing_model_is_an_error_of_its_own_row(spark, made, tmp_path):
+    d, e = made
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import a test module
+    own = Engine(spark, str(d / "out"), Settings(embed_dim=64), generator=Failing())
+    items = [{"id": f"exa-0{k}", "type": "example", "question": f"Which risks does {n} fear?", "expected_tickers": [t], "expected_sections": [], "expected_years": []} for k, (t, n) in enumerate([("AA", "Alpha"), ("BB", "Beta")])]
+    (tmp_path / "items.json").write_text(json.dumps(items))
+    from filigree.sources import files
+
+    rows = {r.id: r for r in own.evaluate(files.read_items(spark, str(tmp_path / "items.json"))).collect()}
+    assert rows["exa-00"].error == "" and rows["exa-00"].n_citations == 1 and rows["exa-00"].latency_s >= 0
+    assert rows["exa-01"].error == "RuntimeError: no reply today" and rows["exa-01"].n_citations == 0
+
+
+def test_item_set_and_summary_as_files(spark, made, tmp_path):
+    d, e = made
+    cli.main([str(d / "out"), "items", "--items", str(tmp_path / "set"), "--synthetic", "2"])
+    from filigree.sources import files
+
+    got = files.read_items(spark, str(tmp_path / "set")).collect()
+    assert {"example", "synthetic"} <= {r.type for r in got} and sorted(r.id for r in got) == sorted({r.id for r in got})
+    cli.main([str(d / "out"), "evaluate", "--items", str(tmp_path / "set"), "--types", "synthetic", "--results", str(tmp_path / "res"), "--summary", str(tmp_path / "sum")])
+    table = spark.read.csv(str(tmp_path / "sum"), header=True).collect()
+    assert {r.type for r in table} == {"synthetic", "all"} and all(r.errors == "0" for r in table)
+
+
+def test_updates_write_what_changed(spark, made):
+    d, e = made
+    before = e.store._history()[0]
+    assert e.ingest(raw_of(spark, d)) == (0, 0) and e.store._history()[0] == before  # nothing new, nothing written
+    f = d / "raw" / "BB2023.txt"
+    f.write_text(f.read_text().replace("makes things", "makes tools"))
+    up, gone = e.ingest(raw_of(spark, d))
+    now = e.store._history()[0]
+    assert up >= 1 and now["live"]["BB"] == now["version"] and now["live"]["AA"] == before["live"]["AA"]
+    kept = {p.name for p in (d / "out" / "index").iterdir()} - {"current"}
+    assert kept <= {before["version"], now["version"], *before["live"].values(), *now["live"].values()}
+    assert e.store.read("stats").first().n_docs == e.store.read("chunks").count()
