@@ -16,11 +16,11 @@ BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so their Python workers can import it.
 
-    Texts can be long, so a batch of rows for Python is made smaller where its size is still the default.
+    Texts can be long, and the buffers of two batches stay with each task, so a batch of rows for Python is made smaller where its size is still the default.
     """
     sc = spark.sparkContext
     if spark.conf.get(BATCH, "10000") == "10000":
-        spark.conf.set(BATCH, "2000")
+        spark.conf.set(BATCH, "500")
     if getattr(sc, "_filigree_shipped", False):
         return
     root = Path(__file__).resolve().parent
