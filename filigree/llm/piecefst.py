@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import re
 import struct
 from array import array
 
@@ -47,11 +48,33 @@ def _fields(b: bytes):
             i += n
 
 
+def character_map(blob: bytes) -> dict[str, str]:
+    """Rules (what is read, what is written) of a normaliser's compiled map: its length, a double-array trie of what is read, and texts that the trie's values point into."""
+    size = int.from_bytes(blob[:4], "little")
+    trie, texts = np.frombuffer(blob[4 : 4 + size], "<u4").astype(np.int64), blob[4 + size :]
+    labels = np.arange(1, 256)
+    out: dict[str, str] = {}
+    todo = [(0, b"")]
+    while todo:
+        at, read = todo.pop()
+        unit = int(trie[at])
+        base = at ^ (unit >> 10 << ((unit & 0x200) >> 6))
+        if read and unit >> 8 & 1:
+            value = int(trie[base]) & 0x7FFFFFFF
+            out[read.decode()] = texts[value : texts.index(b"\0", value)].decode()
+        child = base ^ labels
+        some = child < len(trie)
+        good = labels[some][trie[child[some]] & 0x800000FF == labels[some]]
+        todo += [(base ^ c, read + bytes([c])) for c in good.tolist()]
+    return out
+
+
 class PieceTransducer:
     """The composed machine of a model file: normaliser, pieces and byte fallback.
 
-    The normaliser arcs turn a space into the space mark and put one mark before a text
-    (model files whose normaliser has a character map of its own are refused). Piece arcs
+    The normaliser's arcs read the longest stretch that its character map knows and write what
+    it stands for, any other character as it is; they turn a space into the space mark and put one
+    mark before a text. Piece arcs
     read the characters of one piece and write its id. A character that no piece holds has
     a chain of byte arcs instead, or the unknown id where the model has no byte pieces.
 
@@ -78,8 +101,11 @@ class PieceTransducer:
             elif f == 3:
                 spec = dict(_fields(v))
                 charsmap, self.dummy, self.trim = spec.get(2, b""), bool(spec.get(3, 1)), bool(spec.get(4, 1))
-        if charsmap:
-            raise ValueError("a normaliser with a character map is not supported")
+        by_first: dict[str, list[tuple[str, str]]] = {}
+        for read, write in character_map(charsmap).items() if charsmap else ():
+            by_first.setdefault(read[0], []).append((read, write))
+        self._rules = {c: sorted(x, key=lambda r: -len(r[0])) for c, x in by_first.items()}
+        self._mapped = re.compile("[" + "".join(map(re.escape, by_first)) + "]") if by_first else None
         if self.kind not in (1, 2):
             raise ValueError("only unigram and merge models are supported")
         self.pieces, self.kinds = pieces, kinds
@@ -141,7 +167,9 @@ class PieceTransducer:
                 raw = s[j].encode("utf-8", "surrogatepass")
                 out += [self.byte[b] for b in raw] if len(self.byte) == 256 else [self.unknown]
             i = j + 1
-        return tuple(out)
+        if len(self.byte) == 256:
+            return tuple(out)
+        return tuple(x for x, before in zip(out, [None, *out]) if x != self.unknown or x != before)  # a run of unknown characters is one
 
     def _run(self, s: str, last: list[int] | None = None, from_: list[int] | None = None, done: int = 0) -> list[int]:
         """Path over letters that pieces hold; last and from_ may bring the states of its first `done` letters."""
@@ -199,11 +227,23 @@ class PieceTransducer:
             n = back[n]
         return out[::-1]
 
+    def normal(self, text: str) -> str:
+        """What the normaliser's character map makes of a text."""
+        if self._mapped is None:
+            return text
+        out, at = [], 0
+        while (m := self._mapped.search(text, at)) is not None:
+            out.append(text[at : m.start()])
+            read, write = next((r for r in self._rules[m[0]] if text.startswith(r[0], m.start())), (m[0], m[0]))
+            out.append(write)
+            at = m.start() + len(read)
+        return "".join(out) + text[at:]
+
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; none for a null or empty one."""
         if not text:
             return []
-        text = text.replace(SPACE, " ")
+        text = self.normal(text).replace(SPACE, " ")
         if self.trim:
             text = " ".join(x for x in text.split(" ") if x)
             if not text:
@@ -217,14 +257,14 @@ class PieceTransducer:
         once; words are taken in order, so that a word shares the states of the letters it
         has in common with the one before.
         """
-        if not (self.by_word and self.dummy and not self.trim and "\n" not in self.letters):
+        if not (self.by_word and self.dummy and not self.trim and "\n" not in self.letters and len(self.byte) == 256):
             rows = [self.encode(t) for t in texts]
             return np.array([i for r in rows for i in r], np.int32), np.cumsum([0] + [len(r) for r in rows])
         if len(self._words) > REMEMBERED:
             self._words.clear()
         if len(self._starts) > REMEMBERED:
             self._starts.clear()
-        rows = [[line.split(" ") for line in t.replace(SPACE, " ").split("\n")] if t else [] for t in texts]
+        rows = [[line.split(" ") for line in self.normal(t).replace(SPACE, " ").split("\n")] if t else [] for t in texts]
         inner: set[str] = set()
         first: set[str] = set()
         for lines in rows:
@@ -348,7 +388,8 @@ def codec(spark, model: str):
 
     Null and empty texts have no ids and an empty text. Texts of any length are encoded whole, equal
     ones alike. A text comes back as it was but for what the normaliser changes: the space
-    mark (U+2581) in a text is read as a space, and models that trim spaces do so.
+    mark (U+2581) in a text is read as a space, models that trim spaces do so, and a
+    character map writes what it stands for.
 
     Two functions one on the other would be planned as one node that encodes twice."""
     name = _sent(spark, model)
