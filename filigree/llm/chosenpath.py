@@ -21,6 +21,8 @@ SKETCH, AGREE = TREES * DEPTH, 37
 BLOCK, HUBS = 256, 8
 #: Most bits, as a power of two, of the filters that spare rows without a partner the shuffle.
 FILTER, SHIFTS = 26, (0, 32)
+#: A node with more than one in HOT of all rows is dealt to SALTS places.
+HOT, SALTS = 1024, 64
 #: Places, as a power of two, among which occurrences of shingles are counted to put the rare ones first.
 TALLY = 20
 
@@ -91,6 +93,19 @@ def _rooted(reps: DataFrame, trees: int, shared=None) -> DataFrame:
     return reps.select("fp", "sig").mapInArrow(run, "key bigint, fp binary, path binary, sk binary")
 
 
+def _matched(rows: DataFrame, table: DataFrame, n: str) -> DataFrame:
+    """rows (key, fp, ...) with the columns of table (one row per key; n says how many rows have the key), by key.
+
+    A key with more than one in HOT of all rows is dealt to SALTS places, so that no task gets
+    a large node whole; fewer than HOT keys are that large, and only they are broadcast."""
+    total = table.agg(F.sum(n)).first()[0] or 0
+    large = F.col(n) * HOT > total
+    hot = table.where(large).select("key", F.lit(True).alias("_hot"))
+    dealt = rows.join(F.broadcast(hot), "key", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(SALTS))).otherwise(F.lit(0).cast("bigint"))).drop("_hot")
+    places = F.explode(F.when(large, F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))).alias("_salt")
+    return dealt.join(table.select("*", places).hint("merge"), ["key", "_salt"]).drop("_salt")
+
+
 def _deeper(rows: DataFrame, level: int) -> DataFrame:
     """Branch on the next chosen token."""
     token = F.substring("path", 4 * (level - 1) + 1, 4)
@@ -315,12 +330,12 @@ def _second(large: DataFrame, rest: DataFrame, hundredths: int, scratch: Scratch
     loose = large.join(rest.select("component").distinct(), "component", "left_semi")
     marked = scratch.keep(loose.join(rest.select(F.col("fp").alias("f"), F.lit(True).alias("rest")), F.col("fp") == F.col("f"), "left").select("fp", "set", "component", F.coalesce("rest", F.lit(False)).alias("rest")), "loose")
     shingle = scratch.keep(_first_shingles(marked, hundredths), "prefixes")
-    shared = shingle.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max(F.col("n") - F.col("at")).alias("left"), F.max("rest").alias("r")).where("c > 1 and r").drop("c", "r")
+    shared = scratch.keep(shingle.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max(F.col("n") - F.col("at")).alias("left"), F.max("rest").alias("r")).where("c > 1 and r").drop("r"), "shared")
     # the smallest partner of n shingles has h n of them; both must have the overlap left from the shared one on
     enough = F.least(F.col("n") - F.col("at"), F.col("left")) * (100 + hundredths) >= hundredths * (F.col("n") + F.greatest(F.col("lo"), F.ceil(hundredths * F.col("n") / 100)))
-    tied = scratch.keep(shingle.join(shared.hint("merge"), "key").where(enough).select("key", "fp", "rest"), "tied")
-    low = tied.groupBy("key").agg(F.min("fp").alias("b"), F.count("*").alias("c"), F.max("rest").alias("r")).where("c > 1 and r").drop("c", "r")
-    tight = scratch.keep(connected_components(tied.join(low.hint("merge"), "key").where("fp <> b").select(F.col("fp").alias("a"), "b"), scratch), "tight").select(F.col("node").alias("fp"), F.col("component").alias("group"))
+    tied = scratch.keep(_matched(shingle, shared, "c").where(enough).select("key", "fp", "rest"), "tied")
+    low = scratch.keep(tied.groupBy("key").agg(F.min("fp").alias("b"), F.count("*").alias("c"), F.max("rest").alias("r")).where("c > 1 and r").drop("r"), "lowest")
+    tight = scratch.keep(connected_components(_matched(tied, low, "c").where("fp <> b").select(F.col("fp").alias("a"), "b"), scratch), "tight").select(F.col("node").alias("fp"), F.col("component").alias("group"))
     sets = marked.join(tight, "fp")
     size = tight.join(marked.select("fp", "rest"), "fp").groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.sum(F.col("rest").cast("int")) / BLOCK).alias("chunks")).where("chunks > 0")
     placed = scratch.keep(
@@ -394,7 +409,7 @@ def _linked(docs: DataFrame, id_col: str, text: str, width: int, hundredths: int
         sizes = scratch.keep(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), f"sizes{level}")
         if level == 1:
             rows = _rooted(reps, trees, spark.sparkContext.broadcast(_filter(sizes, F.col("key"))))
-        rows = scratch.keep(rows.join(sizes.hint("merge"), "key"), f"level{level}")
+        rows = scratch.keep(_matched(rows, sizes, "size"), f"level{level}")
         leaves.append(rows.where(F.col("size") <= LEAF).select("key", "fp", "sk"))
         rows = rows.where(F.col("size") > LEAF).drop("size")
         if level < levels:
@@ -402,8 +417,8 @@ def _linked(docs: DataFrame, id_col: str, text: str, width: int, hundredths: int
                 break
             rows = _deeper(rows, level)
         else:
-            low = rows.groupBy("key").agg(F.min("fp").alias("b"))
-            near = rows.join(low, "key").where("fp <> b").select(F.col("fp").alias("a"), "b")
+            low = scratch.keep(rows.groupBy("key").agg(F.min("fp").alias("b"), F.count("*").alias("c")), "lowest")
+            near = _matched(rows, low, "c").where("fp <> b").select(F.col("fp").alias("a"), "b")
     every = reduce(DataFrame.union, leaves).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_leaf, "a binary, b binary")
     near = every if near is None else every.union(near)
     cand = scratch.keep(connected_components(near, scratch), "candidates")
