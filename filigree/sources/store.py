@@ -8,6 +8,7 @@ from collections import defaultdict
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from filigree.operators import index
 
@@ -52,8 +53,14 @@ class IndexStore:
         by: dict[str, list[str]] = defaultdict(list)
         for ticker, version in now["live"].items():
             by[version].append(ticker)
-        parts = [self.spark.read.parquet(f"{self.folder}/{v}/{table}").where(F.col("ticker").cast("string").isin(tickers)).withColumn("ticker", F.col("ticker").cast("string")) for v, tickers in sorted(by.items())]
-        return reduce(DataFrame.unionByName, parts) if parts else self.spark.read.parquet(f"{self.folder}/{now['version']}/{table}").where("false")
+        parts = [self._table(f"{self.folder}/{v}/{table}").where(F.col("ticker").isin(tickers)) for v, tickers in sorted(by.items())]
+        return reduce(DataFrame.unionByName, parts) if parts else self._table(f"{self.folder}/{now['version']}/{table}").where("false")
+
+    def _table(self, path: str) -> DataFrame:
+        """A table by ticker, which is a string whatever it looks like."""
+        found = self.spark.read.parquet(path).schema
+        kinds = StructType([StructField(f.name, StringType() if f.name == "ticker" else f.dataType) for f in found])
+        return self.spark.read.schema(kinds).parquet(path)
 
     def get(self, ids: list[str]) -> DataFrame:
         """Chunks by id."""

@@ -248,3 +248,12 @@ def test_hosted_vectors():
 def test_judges_name_what_is_not_supported():
     score, bad = models.OverlapJudge().verdict("- red foxes run [A-1]\n- green cars fly [A-2]", ["red foxes run fast"])
     assert score == 0.5 and bad == ["- green cars fly [A-2]"]
+
+
+def test_tickers_that_look_like_numbers(spark, tmp_path):
+    rows = chunk_rows(spark, {0: "red", 1: "blue"}).withColumn("ticker", F.when(F.col("text") == "red", "007").otherwise("TRUE"))
+    s = store.IndexStore(spark, (tmp_path / "index").as_uri())
+    s.update(rows)
+    s.update(rows.where("text = 'red'").union(rows.where("text = 'blue'").withColumn("hash", F.lit("new"))))
+    assert {(r.ticker, r.hash) for r in s.read("chunks").collect()} == {("007", "hred"), ("TRUE", "new")}
+    assert {r.ticker for r in s.read("postings").collect()} == {"007", "TRUE"}
