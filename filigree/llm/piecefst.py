@@ -19,7 +19,7 @@ SPACE = "▁"
 #: Words, and pairs of pieces, that a worker remembers; the memory starts anew beyond it.
 REMEMBERED = 250_000
 #: Bytes of text whose words are composed together.
-TOGETHER = 1 << 18
+TOGETHER = 4 << 20
 
 
 def _fields(b: bytes):
