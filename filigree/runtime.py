@@ -20,7 +20,7 @@ def ship(spark: SparkSession) -> None:
     """
     sc = spark.sparkContext
     if spark.conf.get(BATCH, "10000") == "10000":
-        spark.conf.set(BATCH, "500")
+        spark.conf.set(BATCH, "1000")
     if getattr(sc, "_filigree_shipped", False):
         return
     root = Path(__file__).resolve().parent
