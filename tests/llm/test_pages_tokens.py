@@ -148,14 +148,14 @@ def similar(text, items, width=5):
 
     split = lambda t: WORD.findall((t or "").translate(LOWER))
     cut = lambda w: {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
-    words = {i: split(t) for i, t in items if split(t)}
+    words = [(i, split(t)) for i, t in dict.fromkeys(items) if split(t)]  # an id may have several texts
     df, n = {}, len(words)
-    for w in words.values():
+    for _, w in words:
         for s in cut(w):
             df[s] = df.get(s, 0) + 1
     weigh = lambda ss: sum(1 + log((n + 1) / df[s]) if s in df else 1 + log(n + 1) for s in ss)
     doc, out = split(text), {}
-    for i, w in words.items():
+    for i, w in words:
         own = cut(w)
         for s in range(max(1, len(doc) - len(w) + 1)) if doc else ():
             win = cut(doc[s : s + len(w)])
@@ -179,11 +179,11 @@ def test_contamination_as_brute_force(spark):
     for row in simwindows.contamination(df, bench).collect():
         want = similar(row.text, items)
         got = {x["item"]: x["similarity"] for x in row["items"]}
-        assert all(v == pytest.approx(want.get(i, -1)) for i, v in got.items() if i != 3), (row.doc_id, got, want)
+        assert all(v == pytest.approx(want.get(i, -1)) for i, v in got.items()), (row.doc_id, got, want)
         missed += len(set(want) - set(got))
         if 100 <= row.doc_id < 300:
             assert row.doc_id % 100 in got  # copies are always found
-    assert missed <= 1
+    assert missed == 0
     none = simwindows.contamination(df, bench.limit(0))
     assert none.where(F.size("items") > 0).count() == 0
 
