@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from filigree.functions import cleaning
 from filigree.functions.models import ExtractiveGenerator
@@ -192,11 +192,11 @@ def selected_filings(spark, sf_dir):
 
 @query(_COVERED + " select file, row_number() over (order by ticker, period_end, form, file) as place from cov_")
 def coverage_order(spark, sf_dir):
-    """Places in the coverage report's order, numbered from the sorted partitions without one big window."""
+    """Places in the coverage report's order, numbered from the sorted partitions: the only window has a row per partition."""
     d = cov_ops.ordered(_covered(spark, sf_dir)).select("file", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))
     d = Scratch(spark, "order").keep(d, "ordered")
     sizes = d.groupBy("p").agg(F.count("*").alias("n"), F.min("i").alias("first"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.p") < F.col("a.p"), "left").groupBy(F.col("a.p").alias("p"), F.col("a.first").alias("first")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    before = sizes.select("p", "first", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return d.join(before, "p").select("file", (F.col("before") + F.col("i") - F.col("first") + 1).alias("place"))
 
 
