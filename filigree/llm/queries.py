@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import oracles
+from . import importance, oracles, prefixtrie
 from .scratch import Scratch
 
 #: Rules of op1 (fixed values).
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 #: Share of label-1 votes from which op7 predicts 1 (fixed value).
 GOOD = 0.3
+#: Least cosine of linked vectors in op11 (fixed value).
+COSINE = 0.9
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,6 +119,24 @@ def op10_piece_fst(spark: SparkSession, sf_dir: str, model: str | None = None) -
     return out.select("doc_id", F.size("p.ids").cast("bigint").alias("n_pieces"), F.col("p.ids").alias("ids"), (F.col("p.text") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
+def op11_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rpforest import cosine_components
+
+    return cosine_components(_table(spark, sf_dir, "embeddings"), cosine=COSINE).withColumnRenamed("id", "vec_id")
+
+
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefixtrie import prefix_trie
+
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_url_alias": op1_url_alias,
     "op2_separator_scan": op2_separator_scan,
@@ -128,9 +148,15 @@ QUERIES = {
     "op8_simhash_windows": op8_simhash_windows,
     "op9_language_kernel": op9_language_kernel,
     "op10_piece_fst": op10_piece_fst,
+    "op11_projection_forest": op11_projection_forest,
+    "op12_importance_resample": op12_importance_resample,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
     "op1_url_alias": oracles.url_alias(URL_RULES),
     "op4_chosen_path": oracles.shingle_components(3, 85),
+    "op11_projection_forest": oracles.cosine_components(COSINE),
+    "op12_importance_resample": oracles.resampling(importance.PERCENT, importance.LEAST_WORDS, importance.SEED, importance.BUCKETS),
+    "op13_prefix_trie": oracles.prefix_trie(prefixtrie.FAMILY, prefixtrie.HEADS),
 }
