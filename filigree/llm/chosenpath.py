@@ -17,8 +17,8 @@ TREES, ROOT, DEPTH, LEAF = 16, 2, 4, 64
 #: Minwise values of a set, and how many of them two sets of a leaf must share to be candidates.
 #: At similarity 0.85 the count is binomial(64, 0.85); fewer than 37 agree with chance 1e-7.
 SKETCH, AGREE = TREES * DEPTH, 37
-#: Most documents whose full sets one task compares as a whole, and documents shared by all blocks of a larger group.
-BLOCK, HUBS = 256, 8
+#: Most documents whose full sets one task compares as a whole, most shingles that these have together (but for the hubs and a single set), and documents shared by all blocks of a larger group.
+BLOCK, LOAD, HUBS = 256, 1 << 22, 8
 #: Most bits, as a power of two, of the filters that spare rows without a partner the shuffle.
 FILTER, SHIFTS = 26, (0, 32)
 #: A node with more than one in HOT of all rows is dealt to SALTS places.
@@ -224,12 +224,13 @@ def _with_sets(docs: DataFrame, members: DataFrame, text: str, id_col: str, widt
 
     def run(batches):
         for b in batches:
-            keep, sets = [], []
-            fp = b.column(1).to_pylist()
+            keep, sets, had = [], [], set()
+            fp, task = b.column(1).to_pylist(), b.column(2).to_pylist()
             for r, u in enumerate(_sets(b.column(0), width)):
-                if len(u) and _print(u) == fp[r]:  # another row may bear the same id
+                if len(u) and _print(u) == fp[r] and (fp[r], task[r]) not in had:  # another row may bear the same id, or the same text too
                     keep.append(r)
                     sets.append(u.tobytes())
+                    had.add((fp[r], task[r]))
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([*[b.column(k).take(at) for k in range(1, 6)], pa.array(sets, pa.binary())], names=["fp", "task", "component", "blocks", "block", "set"])
             relax()
@@ -243,6 +244,8 @@ def _with_sets(docs: DataFrame, members: DataFrame, text: str, id_col: str, widt
     there = docs.select(F.col(id_col).alias("rep"), F.col(text).alias("text"))
     named_by_id = there.where("rep is not null").where(_maybe(members, "rep"))
     found = named_by_id.join(members.hint("shuffle_hash"), "rep").select("text", "fp", "task", "component", "blocks", "block").mapInArrow(run, "fp binary, task bigint, component binary, blocks bigint, block bigint, set binary")
+    # rows that repeat an id and a text bring one set, whatever their number: a task drops its own repeats before the shuffle
+    found = found.dropDuplicates(["fp", "task"])
     nameless = members.where("rep is null")
     if nameless.isEmpty():
         return found
@@ -337,7 +340,7 @@ def _second(large: DataFrame, rest: DataFrame, hundredths: int, scratch: Scratch
     low = scratch.keep(tied.groupBy("key").agg(F.min("fp").alias("b"), F.count("*").alias("c"), F.max("rest").alias("r")).where("c > 1 and r").drop("r"), "lowest")
     tight = scratch.keep(connected_components(_matched(tied, low, "c").where("fp <> b").select(F.col("fp").alias("a"), "b"), scratch), "tight").select(F.col("node").alias("fp"), F.col("component").alias("group"))
     sets = marked.join(tight, "fp")
-    size = tight.join(marked.select("fp", "rest"), "fp").groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.sum(F.col("rest").cast("int")) / BLOCK).alias("chunks")).where("chunks > 0")
+    size = tight.join(marked.select("fp", "rest", F.ceil(F.octet_length("set") / 8).alias("n")), "fp").groupBy("group").agg(_n_blocks(F.count("*"), F.sum("n")).alias("blocks"), _n_blocks(F.sum(F.col("rest").cast("int")), F.sum(F.when(F.col("rest"), F.col("n")))).alias("chunks")).where("chunks > 0")
     placed = scratch.keep(
         sets.join(size, "group")
         .withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
@@ -353,6 +356,11 @@ def _second(large: DataFrame, rest: DataFrame, hundredths: int, scratch: Scratch
     return here.unionByName(there).select(task, "fp", "set", F.lit(True).alias("big"))
 
 
+def _n_blocks(sets, shingles):
+    """How many blocks a group is dealt to, by its sets and by all their shingles."""
+    return F.greatest(F.ceil(sets / BLOCK), F.ceil(shingles / LOAD))
+
+
 def _compared(rows: DataFrame, hundredths: int, parts: int) -> DataFrame:
     return rows.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_exact(hundredths), "a binary, b binary, task bigint, big boolean")
 
@@ -373,7 +381,7 @@ def similarity_components(
     fewer words the whole sequence is one shingle; a null, empty or blank text has none and
     is linked with nothing. Returns one row per input row: id, n_shingles, component_id
     (smallest id of a row it reaches, its own id if none is smaller) and `kept`
-    (id = component_id). Rows that repeat an id share its component. Other columns of docs
+    (id = component_id). Rows that repeat an id share its component; those that repeat a text too bring one set to be compared, whatever their number. Other columns of docs
     are ignored, so clashing names do no harm. A null id counts as larger than every other:
     such a row is kept only where its component has null ids alone.
 
@@ -384,7 +392,7 @@ def similarity_components(
     as near; full sets then decide inside the groups. A pair at similarity 0.85 is in one
     leaf of a tree with chance 0.72 (two tokens) to 0.52 (four), so sixteen trees miss it
     with chance 1e-9 to 8e-6; at 0.80 with 8e-8 to 2e-4. A node still too large at the deepest level is a group as it is. A group
-    of more than BLOCK sets is dealt into blocks that share HUBS sets. Sets that no block
+    of more than BLOCK sets, or of more than LOAD shingles, is dealt into blocks that share HUBS sets. Sets that no block
     joins to the largest part are tied in a second step to the sets of the group that share
     one of their rarest shingles at a place that leaves room for the overlap, which every
     linked pair does; full sets are compared inside what is tied, so no link is lost, and a
@@ -400,7 +408,7 @@ def _linked(docs: DataFrame, id_col: str, text: str, width: int, hundredths: int
     scratch = scratch or Scratch(spark, "chosenpath")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     all_rows = scratch.keep(sketches(docs, text, id_col, width), "sketches")
-    reps = scratch.keep(all_rows.where("fp is not null").groupBy("fp").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "sets")
+    reps = scratch.keep(all_rows.where("fp is not null").groupBy("fp").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.max("n_shingles").alias("n")), "sets")
 
     rows, leaves, near = _rooted(reps, trees), [], None
     levels = DEPTH - ROOT + 1
@@ -422,11 +430,12 @@ def _linked(docs: DataFrame, id_col: str, text: str, width: int, hundredths: int
     every = reduce(DataFrame.union, leaves).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_leaf, "a binary, b binary")
     near = every if near is None else every.union(near)
     cand = scratch.keep(connected_components(near, scratch), "candidates")
-    size = cand.groupBy("component").agg(F.count("*").alias("size"))
+    named = cand.join(reps.select("fp", "rep", "n"), F.col("node") == F.col("fp"))
+    size = named.groupBy("component").agg(_n_blocks(F.count("*"), F.sum("n")).alias("blocks"))
     members = scratch.keep(
-        cand.join(size, "component")
-        .join(reps.select("fp", "rep"), F.col("node") == F.col("fp"))
-        .select("rep", "fp", "component", "size", (F.ceil(F.col("size") / BLOCK)).alias("blocks"))
+        named.select("rep", "fp", "component")
+        .join(size, "component")
+        .select("rep", "fp", "component", "blocks")
         .withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("fp"), F.col("blocks"))).otherwise(F.lit(0)))
         .withColumn("task", F.xxhash64("component", "block")),
         "members",

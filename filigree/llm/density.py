@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html import unescape
 from math import e, log
 
@@ -41,12 +42,19 @@ FURNITURE = frozenset(
 #: Those of them that mark what readers wrote (fixed values).
 COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
 #: First, last and wrapping parts of a name that tells what a node has or is set to, not what it is (fixed values).
-FIRST, LAST, WRAPS = frozenset("has no with without".split()), frozenset("open opened closed enabled disabled".split()), frozenset("wrap wrapper container".split())
+FIRST, LAST, WRAPS = frozenset("has no with without".split()), frozenset("open opened closed enabled disabled layout".split()), frozenset("wrap wrapper container".split())
+#: Last parts of a name that say how much or where of a thing a node is, and not what thing (fixed values).
+PLAIN = WRAPS | frozenset("area bar block bottom box button buttons center col column form group holder icons inner item items left link links list main module outer panel posts primary right row secondary section slot stories top unit widget widgets zone".split())
+#: What a header with a first part of its own belongs to if it is the page's (fixed values).
+PAGE = frozenset("app blog global main nav page site top web".split())
 #: Words of a class or id that mark an article (fixed values).
 CONTENT = frozenset("article content entry main post story text".split())
 #: Roles that mark page furniture (fixed values).
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 
+#: How many times the text beside it a node that is named furniture must hold to be the page's text all the same.
+REST = 12
+
 _TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|!\[CDATA\[(.*?)(?:\]\]>|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z)))", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
 _SPLIT = re.compile(r"[^a-z]+")
@@ -54,25 +62,33 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 def furniture(name: str) -> set[str]:
-    """The words of one class or id, in lower case, that call its node furniture: has-sidebar, comments-open or content-sidebar-wrap do not."""
+    """The word by which one class or id, in lower case, calls its node furniture: the whole name, or the last part that says what the node is (site-nav, sidebar-left, cookie-banner, but not search-for-truth, card-header, has-sidebar, comments-open or content-sidebar-wrap)."""
     parts = [x for x in _SPLIT.split(name) if x]
-    said = FURNITURE.intersection(parts)
-    if not said or (len(parts) > 1 and (parts[0] in FIRST or parts[-1] in LAST or (parts[-1] in WRAPS and not CONTENT.isdisjoint(parts)))):
+    if not parts or (len(parts) > 1 and (parts[0] in FIRST or parts[-1] in LAST or (parts[-1] in WRAPS and not CONTENT.isdisjoint(parts)))):
+        return set()
+    whole = "".join(parts)
+    if whole in FURNITURE:
+        return {whole}
+    while len(parts) > 1 and parts[-1] in PLAIN:
+        parts.pop()
+    said = parts[-1]
+    if said not in FURNITURE or (said == "header" and len(parts) > 1 and parts[0] not in PAGE) or (said in ("widget", "widgets") and parts[0] == "elementor"):
         return set()
-    return said - {"widget", "widgets"} if parts[0] == "elementor" else said
+    return {said}
 
 
 class Tree:
     """A document as parallel lists: tag, parent, dropped, furniture by its words (or a form); and text pieces (node, text) in page order, None for a block border."""
 
-    __slots__ = ("tag", "parent", "gone", "said", "home", "article", "pieces")
+    __slots__ = ("tag", "parent", "gone", "said", "home", "named", "kind", "article", "pieces")
 
     def __init__(self):
         self.tag, self.parent, self.gone, self.said, self.home, self.article, self.pieces = ["#root"], [-1], [False], [None], [False], [False], []
+        self.named, self.kind = [False], [""]  # whether a class or id names the node the content; its class
 
     def child(self, tag: str, parent: int, attributes: str) -> int:
         gone, marks = self.gone[parent] or tag in DROPPED, {"form"} if tag == "form" else None
-        article = tag in ("article", "main")
+        article, named, kind = tag in ("article", "main"), False, ""
         if len(attributes) > 1:
             words, said, role, label = set(), set(), "", ""
             for m in _ATTR.finditer(attributes):
@@ -80,8 +96,12 @@ class Tree:
                 value = m[2] or m[3] or m[4] or ""
                 if name in ("class", "id"):
                     for x in value.lower().split():
-                        words.update(_SPLIT.split(x))
+                        parts = _SPLIT.split(x)
+                        words.update(parts)
+                        named = named or (contains(tag) and [y for y in parts if y and y not in PLAIN][-1:] == [y for y in parts if y in CONTENT][-1:] != [])
                         said |= furniture(x)
+                    if name == "class":
+                        kind = value
                 elif name == "role":
                     role = value.lower().strip()
                 elif name == "itemprop":
@@ -103,66 +123,78 @@ class Tree:
         self.gone.append(gone)
         self.said.append(marks)
         self.home.append(article)
+        self.named.append(named)
+        self.kind.append(kind)
         self.article.append(article or self.article[parent])
         return len(self.tag) - 1
 
 
+#: Elements that an open paragraph outside of them does not see ended (fixed values).
+_HOLDS_P = ("button", "td", "th", "table", "caption", "object", "template")
+
+
 def parse(html: str) -> Tree:
-    """A tolerant reading of HTML: unclosed and misnested tags never lose text."""
+    """A tolerant reading of HTML: unclosed and misnested tags never lose text.
+
+    For each name the depths of its open elements are at hand, so a tag looks at a few of them
+    and never walks the open elements, but to end them: time is in proportion to the tags."""
     t = Tree()
     tags, pieces = t.tag, t.pieces
-    now, at, n = 0, 0, len(html)
-    parent = t.parent
+    stack, depths = [0], {"#root": [0]}  # open nodes; for each name the places of its nodes on the stack
+    at, n = 0, len(html)
+
+    def last(names) -> int:
+        return max((d[-1] for x in names if (d := depths.get(x))), default=0)
+
+    def end(depth: int) -> None:
+        """End the node at a depth of the stack, and all inside it."""
+        while len(stack) > depth:
+            depths[tags[stack.pop()]].pop()
+
     while at < n:
         m = _TAG.search(html, at)
         if m is None:
-            pieces.append((now, html[at:]))
+            pieces.append((stack[-1], html[at:]))
             break
         if m.start() > at:
-            pieces.append((now, html[at : m.start()]))
+            pieces.append((stack[-1], html[at : m.start()]))
         at = m.end()
         name = m[3]
         if name is None:
             if m[1]:
-                pieces.append((now, m[1].replace("&", "&amp;")))
+                pieces.append((stack[-1], m[1].replace("&", "&amp;")))
             continue
         tag = name.lower()
         if m[2]:
-            k = now
-            while k and tags[k] != tag:
-                k = parent[k]
-            if k and tag not in ("html", "body"):  # what follows the end of body still belongs to it
-                now = parent[k]
+            if tag not in ("html", "body") and (d := depths.get(tag)):  # what follows the end of body still belongs to it
+                end(d[-1])
             if tag in BLOCK:
-                pieces.append((now, None))
+                pieces.append((stack[-1], None))
             elif tag in ("td", "th"):
-                pieces.append((now, " "))
+                pieces.append((stack[-1], " "))
             continue
-        if tag in ENDS_P:
-            k = now
-            while k and tags[k] != "p" and tags[k] not in ("button", "td", "th", "table", "caption", "object", "template"):
-                k = parent[k]
-            if k and tags[k] == "p":
-                now = parent[k]
+        if tag in ENDS_P and (p := last("p")) and p > last(_HOLDS_P):
+            end(p)
         if tag in IMPLIED:
             closes, stop = IMPLIED[tag]
-            k = now
-            while k and tags[k] not in stop:
-                if tags[k] in closes:
-                    now = parent[k]
-                k = parent[k]
+            bar = last(stop)
+            # the outermost of those to be closed inside the nearest container
+            inner = [d[i] for x in closes if (d := depths.get(x)) and (i := bisect_right(d, bar)) < len(d)]
+            if inner:
+                end(min(inner))
         if tag in BLOCK:
-            pieces.append((now, None))
+            pieces.append((stack[-1], None))
         elif tag == "br" or tag in ("td", "th"):
-            pieces.append((now, " "))
-        k = t.child(tag, now, m[4])
+            pieces.append((stack[-1], " "))
+        k = t.child(tag, stack[-1], m[4])
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?|</{tag}\Z", re.I).search(html, at)
-            stop = end.start() if end else n
+            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?|</{tag}\Z", re.I).search(html, at)
+            stop = close.start() if close else n
             pieces.append((k, html[at:stop]))
-            at = end.end() if end else n
+            at = close.end() if close else n
         elif tag not in VOID:
-            now = k
+            depths.setdefault(tag, []).append(len(stack))
+            stack.append(k)
     return t
 
 
@@ -187,9 +219,9 @@ def dropped(t: Tree) -> list[bool]:
     for k in range(n - 1, 0, -1):
         plain[parent[k]] += plain[k]
         clean[parent[k]] += clean[k]
-    # the article: the one that says most; one that is furniture, or lies in what readers wrote, is none
-    homes = [k for k in range(n) if t.home[k] and not t.gone[k] and not t.said[k] and plain[k]]
-    lead = max(homes, key=lambda k: (plain[k], -k), default=None)
+    # the article: the one that says most, or else what is named the content; one that is furniture, or lies in what readers wrote, is none
+    able = [k for k in range(n) if (t.home[k] or t.named[k]) and not t.gone[k] and not t.said[k] and plain[k]]
+    lead = max([k for k in able if t.home[k]] or able, key=lambda k: (plain[k], -k), default=None)
     holds, k = set(), lead
     while k is not None and k >= 0:
         holds.add(k)
@@ -204,8 +236,10 @@ def dropped(t: Tree) -> list[bool]:
                 keep = t.tag[lead] == "main" or 4 * plain[lead] >= left
             elif t.said[k] & COMMENTS:
                 keep = not left and lead is None
-            else:
+            elif t.said[k] == {"form"}:
                 keep = (lead is None or inside[k]) and plain[k] > left
+            else:  # whatever its length, unless next to nothing stands beside it
+                keep = (lead is None or inside[k]) and plain[k] > REST * left
             if keep:
                 stays.add(k)
     gone = t.gone[:]
@@ -299,6 +333,10 @@ def main_text(html: str | None) -> str:
             heads[k], first[k] = chars[k], t.tag[k] == "h1"
         heads[parent[k]] += heads[k]
         first[parent[k]] |= first[k]
+    # what holds the whole article: the innermost article or main on the path, or else the outermost node named the content
+    steps = sorted(path)
+    homes = [k for k in steps if t.home[k]][-1:] or [k for k in steps if t.named[k] and k > body][:1]
+    whole = homes[0] if homes else n
     # of what stands beside the winner and the nodes it lies in, from the last to the first
     kept, after = set(), {}
     for k in range(n - 1, 0, -1):
@@ -309,8 +347,12 @@ def main_text(html: str | None) -> str:
             plain = 2 * linked[k] <= chars[k]
             if p == best:  # paragraphs stand in the body itself: all but lists of links between them
                 ok = plain or links[k] < 3 or dense[k] >= threshold or not (contains(tag) or tag in LISTS)
+            elif p >= whole and not (contains(tag) and not plain):  # all of the article but lists of links
+                ok = plain
             elif dense[k] >= threshold and tag in BLOCK:
                 ok = True
+            elif p == parent[best] and p != body and contains(tag) and tag == t.tag[best] and (tag == "section" or (t.kind[k] and t.kind[k] == t.kind[best])):
+                ok = plain  # parts of one kind
             elif 2 * heads[k] >= chars[k]:  # a heading needs what it is the heading of
                 ok = plain and (first[k] or after.get(p, False))
             else:
@@ -342,20 +384,23 @@ def extract(spark, html: Column) -> Column:
     """Main text of a page's html, a string (empty for null, empty or textless pages).
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-    comments go first, by element, role, class and id. Names that tell what a node has or
-    wraps (has-sidebar, comments-open) do not count, and no class, id or form drops the node
-    that holds most of the text outside links: the density decides there.
+    comments go first, by element, role, class and id. A name counts by what it calls the node:
+    the whole of it or its last part, not by any word in it, nor by what the node has or
+    wraps (has-sidebar, comments-open). What is named so goes whatever its length, unless the
+    article lies in it or the rest of the page has next to no text; a form stays if it holds most of the text outside links.
 
     Every node gets its composite density: characters per tag, lowered by the share of
     linked characters and tags. The container (not a lone paragraph) with the largest sum
     of child densities is the main subtree, whatever its element; of equal sums the first
     in page order. The least density on the path from it to body is the threshold for the
-    blocks beside that path. Paragraphs inside the nodes above the winner, and headings of
-    what is kept, stay too if at most half of their characters are links. Where the
+    blocks beside that path. Paragraphs inside the nodes above the winner, headings of
+    what is kept, and, inside the article or main element (or the node named the content) that
+    the winner lies in, all parts whatever their length stay too if at most half of their characters are links; so do sections
+    and nodes of the winner's class beside it. Where the
     body itself wins, its lists of links go unless they reach the threshold.
 
     Character references are decoded, white space in a block becomes one space, blocks are
-    joined by a line feed. Pages are read whole whatever their length; unclosed tags and
+    joined by a line feed. Pages are read whole whatever their length and depth, in time in proportion to both; unclosed tags and
     truncated pages lose no text. A row depends on its own html alone: repeated rows give
     equal texts, an empty table gives none, and other columns are not looked at.
     """

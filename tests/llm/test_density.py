@@ -138,3 +138,83 @@ def test_the_column(spark, tmp_path):
     spark.createDataFrame([], "page_id bigint, url string, html string, text string").write.parquet(str(tmp_path / "pages.parquet"))
     found = queries.op3_text_density(spark, str(tmp_path))
     assert found.columns == ["page_id", "url", "text", "n_chars"] and found.collect() == []
+
+
+def sentences(n, word):
+    return "".join(f"<p>{word} {k} is a sentence of this part, long enough to be read as prose, with its comma and its end.</p>" for k in range(n)), [f"{word} {k} is a sentence of this part, long enough to be read as prose, with its comma and its end." for k in range(n)]
+
+
+@pytest.mark.parametrize("home", ["main", "article", "div class='content'", "div class=post-content", "div role=main"])
+@pytest.mark.parametrize("part", ["section", "div", "div class=part"])
+@pytest.mark.parametrize("outer", [1, 2, 3, 5, 9])
+def test_sections_of_unequal_size(home, part, outer):
+    """Every section of an article stays, headings included, however large another one is."""
+    want, body = [], ""
+    for name, n in (("First", outer), ("Middle", 18), ("Last", outer)):
+        html, lines = sentences(n, name)
+        body += f"<{part}><h2>{name} part</h2>{html}</{part.split()[0]}>"
+        want += [f"{name} part", *lines]
+    page = f"<body><nav>{LINKS}</nav><{home}>{body}</{home.split()[0]}><footer>Foot</footer></body>"
+    assert density.main_text(page).split("\n") == want
+
+
+def test_sections_without_an_article():
+    want, body = [], ""
+    for name, n in (("First", 2), ("Middle", 18), ("Last", 1)):
+        html, lines = sentences(n, name)
+        body += f"<section><h2>{name} part</h2>{html}</section>"
+        want += [f"{name} part", *lines]
+    assert density.main_text(f"<body><div>{LINKS}</div><div id=x>{body}</div></body>").split("\n") == want
+
+
+@pytest.mark.parametrize("name", ["related-work", "social-history", "share-price", "search-for-truth", "ad-hoc", "skip-intro", "promotion-history", "sub-header", "card-header", "section-header", "menu-of-the-day", "widgetry", "notice-period"])
+@pytest.mark.parametrize("tag", ["p", "div", "h2"])
+def test_compound_names_of_content(name, tag):
+    html, lines = sentences(6, "Line")
+    page = f"<body><article>{html}<{tag} class='{name}'>What this part says.</{tag}>{html}</article></body>"
+    assert density.main_text(page).split("\n") == [*lines, "What this part says.", *lines]
+
+
+@pytest.mark.parametrize("name", ["sidebar", "side-bar", "sidebar-left", "right-sidebar", "ad", "ads-box", "cookie-banner", "newsletter-signup", "site-header", "top-nav", "nav-bar", "share-buttons", "related-posts", "comments", "comment-list", "footer-links", "social-links", "promo_box", "search-form"])
+@pytest.mark.parametrize("size", [1, 6, 40])
+def test_furniture_goes_whatever_its_length(name, size):
+    html, lines = sentences(5, "Line")
+    other, _ = sentences(size, "Aside")
+    for home in ("div class=content", "article"):
+        tag = home.split()[0]
+        assert density.main_text(f"<body><{home}>{html}</{tag}><div class='{name}'>{other}</div></body>").split("\n") == lines
+        assert density.main_text(f"<body><div class='{name}'>{other}</div><{home}>{html}</{tag}></body>").split("\n") == lines
+
+
+def test_time_in_proportion_to_depth():
+    import time
+
+    def took(html):
+        best = 9.0
+        for _ in range(3):
+            began = time.perf_counter()
+            density.main_text(html)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    for unit in ("<div>", "<div></b>", "<div><p>x", "<ul><li>a", "<table><tr><td>b", "<dl><dt>c"):
+        short, long = (took(unit * n + "text") for n in (8000, 16000))
+        assert short < 0.4 and long < 2.6 * short + 0.02, unit
+
+
+def test_implied_ends_as_before():
+    """Items and cells end their like inside the nearest container, and no further."""
+    t = density.parse("<ul><li>a<ul><li>b<li>c</ul><li>d</ul><table><tr><td>e<td>f<tr><td>g<table><tr><td>h</table>i</table><p>j<div>k</div>l<button><p>m<p>n</button>o")
+    at = [(s, [t.tag[k] for k in line(t, n)]) for n, s in t.pieces if s and s.strip()]
+    assert at == [
+        ("a", ["ul", "li"]), ("b", ["ul", "li", "ul", "li"]), ("c", ["ul", "li", "ul", "li"]), ("d", ["ul", "li"]), ("e", ["table", "tr", "td"]), ("f", ["table", "tr", "td"]), ("g", ["table", "tr", "td"]),
+        ("h", ["table", "tr", "td", "table", "tr", "td"]), ("i", ["table", "tr", "td"]), ("j", ["p"]), ("k", ["div"]), ("l", []), ("m", ["button", "p"]), ("n", ["button", "p"]), ("o", []),
+    ]
+
+
+def line(t, k):
+    out = []
+    while k > 0:
+        out.append(k)
+        k = t.parent[k]
+    return out[::-1]

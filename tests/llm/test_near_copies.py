@@ -97,3 +97,43 @@ def test_loose_groups_stay_in_proportion(spark, monkeypatch):
         check(run(spark, part, width=3, hundredths=85), part, 3, 85)
         took.append(sum(compared))
     assert took[1] < 2.6 * took[0] and took[1] < 4 * 240, took
+
+
+def compared(spark, rows, monkeypatch):
+    """Sets and shingles of each task that the operator compares, and its rows."""
+    tasks = []
+    whole = chosenpath._compared
+
+    def seen(sets, hundredths, parts):
+        from pyspark.sql import functions as F
+
+        tasks.extend((r.n, r.load) for r in sets.groupBy("task").agg(F.count("*").alias("n"), F.sum(F.octet_length("set") / 8).alias("load")).collect())
+        return whole(sets, hundredths, parts)
+
+    monkeypatch.setattr(chosenpath, "_compared", seen)
+    return run(spark, rows, width=3, hundredths=85), tasks
+
+
+def test_repeated_rows_bring_one_set(spark, monkeypatch):
+    """2,000 rows of one id and text and a near copy are two sets to compare."""
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(7, text)] * 2000 + [(8, text + " w60")]
+    got, tasks = compared(spark, rows, monkeypatch)
+    assert tasks == [(2, 58 + 59)]
+    assert {(r.id, r.component_id, r.kept) for r in got} == {(7, 7, True), (8, 7, False)} and len(got) == 2001
+
+
+def test_tasks_are_bounded_by_shingles(spark, monkeypatch):
+    """Long near copies are dealt to blocks by what they hold; the links are the same."""
+    monkeypatch.setattr(chosenpath, "LOAD", 3000)
+    monkeypatch.setattr(chosenpath, "HUBS", 2)
+    r = random.Random(4)
+    base = [f"w{k}" for k in range(500)]
+    rows = []
+    for k in range(40):
+        w = list(base)
+        w[r.randrange(500)] = f"x{k}"
+        rows.append((k, " ".join(w)))
+    got, tasks = compared(spark, rows, monkeypatch)
+    check(got, rows, 3, 85)
+    assert max(load for _, load in tasks) < 3 * 3000 + 2 * 500
