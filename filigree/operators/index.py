@@ -59,9 +59,10 @@ def corpus_stats(chunks: DataFrame, text: Column | None = None) -> DataFrame:
 
 
 def idf(post: DataFrame, stats: DataFrame) -> DataFrame:
-    """(term, idf) of the Okapi weighting, from postings or bags; where a term is in more than half of the chunks its weight is negative and becomes a quarter of the mean of all terms' weights."""
+    """(term, idf) of the Okapi weighting, from postings, bags, blocks of postings or frequencies (term, df); where a term is in more than half of the chunks its weight is negative and becomes a quarter of the mean of all terms' weights."""
     seen = post.select(F.explode(F.array_distinct("terms")).alias("term")) if "terms" in post.columns else post
-    df = seen.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n_docs")))
+    n = F.sum(F.size("ids")) if "ids" in post.columns else F.count("*")
+    df = (seen if "df" in post.columns else seen.groupBy("term").agg(n.alias("df"))).crossJoin(F.broadcast(stats.select("n_docs")))
     raw = df.select("term", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg((0.25 * F.avg("raw")).alias("floor"))
     return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))

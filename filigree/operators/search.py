@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from filigree.operators import impact
 from filigree.operators.blocks import K1, B, dense_best, sparse_best, term_weights
 
 
@@ -33,8 +34,17 @@ def dense_scores(cand: DataFrame) -> DataFrame:
 
 
 def sparse_scores(queries: DataFrame, post: DataFrame, idf: DataFrame, stats: DataFrame) -> DataFrame:
-    """Okapi BM25 (qid, id, score) over the whole corpus; a term counts as often as the query has it. Filters come after, for weights are global."""
-    hits = term_weights(queries, idf).join(post, "term").crossJoin(F.broadcast(stats.select("avgdl")))
+    """Okapi BM25 (qid, id, score); a term counts as often as the query has it. Weights are those of the whole corpus.
+
+    Where queries and postings have a ticker, a query meets its own ticker's postings alone: sums are made chunk by
+    chunk, so the scores are the same, and postings that lie by ticker are read for the tickers asked for."""
+    weights = term_weights(queries, idf)
+    on = ["term"]
+    if "ticker" in queries.columns and "ticker" in post.columns:
+        tickers = queries.select("qid", "ticker").distinct()
+        weights, on = weights.join(F.broadcast(tickers), "qid"), ["term", "ticker"]
+        post = post.join(F.broadcast(tickers.select("ticker").distinct()), "ticker", "left_semi")
+    hits = weights.join(post, on).crossJoin(F.broadcast(stats.select("avgdl")))
     w = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("qid", "id").agg(F.sum(w).alias("score"))
 
@@ -63,20 +73,23 @@ def dense_topk(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     return ranked(dense_best(queries, rows, k), ["qid"], k, "dense_rank")
 
 
-def sparse_topk(queries: DataFrame, bags: DataFrame, idf: DataFrame, stats: DataFrame, k: int) -> DataFrame:
-    """The k best chunks (id, terms) of each question (qid, query) by BM25 above 0: (qid, id, score, bm25_rank)."""
-    return ranked(sparse_best(queries, bags, idf, stats, k), ["qid"], k, "bm25_rank")
+def sparse_topk(queries: DataFrame, bags: DataFrame, idf: DataFrame, stats: DataFrame, k: int, blocks: DataFrame | None = None) -> DataFrame:
+    """The k best chunks (id, terms) of each question (qid, query) by BM25 above 0: (qid, id, score, bm25_rank).
 
+    With the blocks of an impact-ordered index over all bags only those that matter are read; without, as for a few chunks that a filter leaves, all texts are."""
+    found = sparse_best(queries, bags, idf, stats, k) if blocks is None else impact.sparse_best(queries, bags, blocks, idf, stats, k)
+    return ranked(found, ["qid"], k, "bm25_rank")
 
-def hybrid(queries: DataFrame, chunks: DataFrame, bags: DataFrame, idf: DataFrame, stats: DataFrame, keep: Column | None = None, *, top: int = 20, rrf_k: int = 60) -> DataFrame:
-    """Hybrid search of queries (qid, query, vector) under one filter: (qid, id, rrf, dense_rank, bm25_rank, place).
+
+def hybrid(queries: DataFrame, chunks: DataFrame, bags: DataFrame, idf: DataFrame, stats: DataFrame, keep: Column | None = None, *, top: int = 20, rrf_k: int = 60, blocks: DataFrame | None = None) -> DataFrame:
+    """Hybrid search of queries (qid, query, vector) under one filter: (qid, id, rrf, dense_rank, bm25_rank, place). blocks, an impact-ordered index of all bags, serves searches without a filter.
 
     bags hold the terms of all chunks. The filter comes before both rankings; weights are
     those of the whole corpus. Ranks are made of ids alone; texts are joined by the caller.
     """
     allowed = chunks.where(keep) if keep is not None else chunks
     seen = bags if keep is None else bags.join(allowed.select("id"), "id", "left_semi")
-    fused = fuse(dense_topk(queries, allowed, top), sparse_topk(queries, seen, idf, stats, top), ["qid"], rrf_k)
+    fused = fuse(dense_topk(queries, allowed, top), sparse_topk(queries, seen, idf, stats, top, blocks if keep is None else None), ["qid"], rrf_k)
     return fused.withColumn("place", F.row_number().over(fusion_order("qid")).cast("bigint"))
 
 
@@ -85,6 +98,8 @@ def relevant(subq: DataFrame, chunks: DataFrame) -> DataFrame:
 
     subq: (sq, ticker, sections, periods, fiscal_year or null for any)."""
     on = (F.col("c.ticker") == F.col("q.ticker")) & (F.col("q.fiscal_year").isNull() | (F.col("c.fiscal_year") == F.col("q.fiscal_year")))
+    # sub-queries are few and made of questions: their tickers prune what lies by ticker
+    chunks = chunks.join(F.broadcast(subq.select("ticker").distinct()), "ticker", "left_semi")
     both = subq.alias("q").join(chunks.alias("c"), on)
     fits = lambda values, c: (F.size(values) == 0) | F.array_contains(values, c)
     periods, sections = fits("q.periods", F.col("c.fiscal_quarter")), fits("q.sections", F.col("c.section"))
@@ -105,7 +120,7 @@ def relaxed(subq: DataFrame, chunks: DataFrame, post: DataFrame, idf: DataFrame,
     tiers = F.explode(F.sequence("own_tier", F.lit(2))).alias("tier")
     each = lambda d: d.select("sq", "fiscal_year", tiers, "id", "score")
     dense = ranked(each(dense_scores(seen)), by, top, "dense_rank")
-    texts = subq.select(F.col("sq").alias("qid"), "query").distinct()
+    texts = subq.select(F.col("sq").alias("qid"), "query", "ticker").distinct()
     scores = sparse_scores(texts, post, idf, stats).where("score > 0").withColumnRenamed("qid", "sq")
     sparse = ranked(each(seen.select("sq", "fiscal_year", "own_tier", "id").join(scores, ["sq", "id"])), by, top, "bm25_rank")
     # a year may be null, which an equality join would lose

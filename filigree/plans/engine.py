@@ -14,6 +14,7 @@ from filigree.plans import planning
 from filigree.runtime import ship
 from filigree.settings import Settings
 from filigree.sources import files
+from filigree.sources.cache import TableCache
 from filigree.sources.scratch import Scratch
 from filigree.sources.store import IndexStore
 
@@ -32,13 +33,13 @@ class Retrieval:
 class Engine:
     """Tables under one folder: coverage, companies and the index. The company dimension is small and is read by planners on the driver."""
 
-    def __init__(self, spark: SparkSession, folder: str, settings: Settings = Settings(), embedder=None, generator=None, judge=None, planner=None, counter=None, reranker=None):
+    def __init__(self, spark: SparkSession, folder: str, settings: Settings = Settings(), embedder=None, generator=None, judge=None, planner=None, counter=None, reranker=None, replies: TableCache | None = None):
         ship(spark)
         self.spark, self.folder, self.settings = spark, folder.rstrip("/"), settings
         self.embedder = embedder or models.embedder(settings)
         self.generator = generator or models.generator(settings)
         self.judge = judge or models.judge(settings)
-        self.planner, self.counter = planner, counter
+        self.planner, self.counter, self.replies = planner, counter, replies
         self.reranker = (reranker or models.OverlapReranker()) if settings.rerank else None
         self.store = IndexStore(spark, f"{self.folder}/index")
 
@@ -62,11 +63,12 @@ class Engine:
         parts = sections.split_sections(texts)
         return chunks.filing_chunks(parts, cov.drop("sector", "industry"), self.companies(), self.settings, self.counter)
 
-    def ingest(self, raw: DataFrame, only: list[str] | None = None) -> tuple[int, int]:
-        """Bring the index to the filings of raw; returns how many chunks were embedded and deleted."""
+    def ingest(self, raw: DataFrame, only: list[str] | None = None, partial: bool = False) -> tuple[int, int]:
+        """Bring the index to the filings of raw; returns how many chunks were embedded and deleted. If partial, filings that raw does not have keep their chunks."""
         with Scratch(self.spark, "ingest") as scratch:
             new = scratch.keep(self.chunked(raw, only), "chunks")
-            return self.store.update(new, self.embedder.column("document", self.settings.embed_batch))
+            held = scratch.keep(raw.select("file").distinct(), "files") if partial else None
+            return self.store.update(new, self.embedder.column("document", self.settings.embed_batch), held)
 
     def plan(self, question: str) -> planning.Plan:
         """A plan by the planner model, or by rules without one."""
@@ -107,9 +109,13 @@ class Engine:
         subq = planning.plan_rows(self.spark, plans).join(asked, "plan").join(names, "ticker", "left")
         subq = subq.withColumn("query", search.query_text(F.col("query"), F.col("name"), F.col("question"))).drop("question", "name")
         subq = planning.resolve_years(subq, cov)
-        years = planning.search_years(subq, cov).withColumn("vector", self.embedder.column("query")(F.col("query")))
+        # written once: a query is embedded once, and all that follows rests on the same hits
+        scratch = Scratch(self.spark, "retrieve")
+        subq = scratch.keep(subq, "subqueries")
+        years = scratch.keep(planning.search_years(subq, cov).withColumn("vector", self.embedder.column("query")(F.col("query"))), "asked")
         rows = self.store.read("chunks")
         hits = search.relaxed(years, rows, self.store.read("postings"), self.store.read("idf"), self.store.read("stats"), top=s.top_k, rrf_k=s.rrf_k, quota=s.per_ticker, reranker=self.reranker and self.reranker.column())
+        hits = scratch.keep(hits, "hits")
         found = hits.drop("fiscal_year").join(rows.drop("embedding", "embed_text", "hash"), "id").join(subq.select("sq", F.col("plan").alias("aid")), "sq")
         by_sq = subq.select("sq", F.col("plan").alias("aid"))
         gaps = planning.coverage_gaps(subq, cov).select("sq", "gap").union(planning.empty_gaps(subq, hits).select("sq", "gap")).join(by_sq, "sq").select("aid", "gap")
@@ -130,7 +136,7 @@ class Engine:
         found = self.retrieve(questions, plans)
         rows = [(k, q, p.needs_comparison) for k, (q, p) in enumerate(zip(questions, found.plans))]
         q = self.spark.createDataFrame(rows, "aid int, question string, needs_comparison boolean")
-        return answering.answers(q, self.labelled(found), found.gaps, self.generator, self.settings.answer_mode), found
+        return answering.answers(q, self.labelled(found), found.gaps, self.generator, self.settings.answer_mode, self.replies), found
 
     def eval_set(self, n: int = 10) -> DataFrame:
         """Evaluation items of all four types over the index; the generator writes the n synthetic questions."""
@@ -189,6 +195,17 @@ class Engine:
             "answer",
         )
 
+    def evaluate_into(self, items: DataFrame, path: str, judged: bool = True, batch: int = 20) -> int:
+        """Append the results of items to path, batch by batch, and return how many were made.
+
+        Items whose result lies there without an error are done and not asked again, so a run that was stopped goes on where it
+        ended, and a finished one asks nothing; a batch is appended as a whole or not at all."""
+        left = items.select("id").join(files.done_results(self.spark, path), "id", "left_anti")
+        todo = sorted(r.id for r in left.collect())
+        for k in range(0, len(todo), batch):
+            files.write_results(self.evaluate(items.where(F.col("id").isin(todo[k : k + batch])), judged), path)
+        return len(todo)
+
     @staticmethod
     def summary(rows: DataFrame) -> DataFrame:
         return evaluation.summary(rows, ["recall_at_5", "company_coverage", "planner_accuracy", "faithfulness", "abstained", "latency_s"])

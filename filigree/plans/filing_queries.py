@@ -8,7 +8,7 @@ from filigree.functions import cleaning
 from filigree.functions.models import ExtractiveGenerator
 from filigree.operators import answering, chunks as chunk_ops, citations, coverage as cov_ops, evaluation, search, sections
 from filigree.plans import standin
-from filigree.plans.queries import _FILINGS, _OLD, _RETRIEVED, _SEARCH, WITH, _filed, _retrieved, _versions, long, query
+from filigree.plans.queries import _FILINGS, _OLD, _RETRIEVED, _SEARCH, WITH, _filed, _retrieved, _suppliers, _versions, long, query
 from filigree.plans.standin import tables
 from filigree.settings import Settings
 from filigree.sources import files
@@ -200,11 +200,12 @@ def coverage_order(spark, sf_dir):
     return d.join(before, "p").select("file", (F.col("before") + F.col("i") - F.col("first") + 1).alias("place"))
 
 
-@query(WITH + " select ticker, name, cik, sector, industry, array_to_string(aliases, ',') as aliases, fiscal_year_end from companies")
+@query("""select s_name as ticker, 'Company ' || s_suppkey as name, lpad(s_suppkey::varchar, 10, '0') as cik, 'Sector ' || s_nationkey as sector, 'Industry ' || (s_suppkey % 7) as industry,
+ 'Co "''' || s_suppkey || ',é' || s_nationkey as aliases, case s_suppkey % 3 when 0 then '06-30' when 1 then '12-31' end as fiscal_year_end from supplier""")
 def company_json(spark, sf_dir):
-    """The company dimension, written as one JSON object and read back."""
+    """A company dimension made of the suppliers, written as one JSON object and read back."""
     path = Scratch(spark, "companies").path("json")
-    files.write_companies(standin.companies(spark), path)
+    files.write_companies(_suppliers(spark, sf_dir), path)
     return files.read_companies(spark, path).withColumn("aliases", F.array_join("aliases", ","))
 
 

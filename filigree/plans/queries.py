@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from filigree.functions import cleaning, parsing
 from filigree.functions.models import ExtractiveGenerator
-from filigree.operators import chunks as chunk_ops, citations, coverage as cov_ops, evaluation, index, search, sections
+from filigree.operators import chunks as chunk_ops, citations, coverage as cov_ops, evaluation, impact, index, search, sections
 from filigree.plans import planning, standin
 from filigree.plans.standin import tables
 from filigree.sources.scratch import Scratch
@@ -65,6 +65,26 @@ def _bags(spark: SparkSession, sf_dir: str):
     return c, bags, index.idf(bags, stats), stats
 
 
+def _impacts(spark: SparkSession, sf_dir: str):
+    """Chunks, bags, an impact-ordered index of them, weights and statistics."""
+    c = standin.chunks(spark, sf_dir, vectors=True)
+    scratch = Scratch(spark, "impacts")
+    bags = scratch.keep(index.bags(c, _text()), "bags")
+    stats = scratch.keep(index.corpus_stats(bags), "stats", rows=1)
+    blocks = scratch.keep(impact.build(impact.counts(bags), stats), "blocks")
+    return c, bags, blocks, scratch.keep(index.idf(blocks, stats), "idf"), stats
+
+
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as a company dimension."""
+    (s,) = tables(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey")
+    return s.select(
+        F.col("s_name").alias("ticker"), F.concat(F.lit("Company "), key).alias("name"), F.lpad(key.cast("string"), 10, "0").alias("cik"), F.concat(F.lit("Sector "), "s_nationkey").alias("sector"), F.concat(F.lit("Industry "), key % 7).alias("industry"),
+        F.array(F.concat(F.lit("Co \"'"), key), F.concat(F.lit("é"), "s_nationkey")).alias("aliases"), F.when(key % 3 == 0, "06-30").when(key % 3 == 1, "12-31").alias("fiscal_year_end"),
+    )
+
+
 def _index(spark: SparkSession, sf_dir: str, only: DataFrame | None = None):
     """Chunks, their postings (of the terms of `only` alone where given), weights and statistics."""
     c, bags, idf, stats = _bags(spark, sf_dir)
@@ -86,8 +106,8 @@ def bm25_stats(spark, sf_dir):
 
 @query(_SEARCH + " select qid, id, bm25_rank from s")
 def bm25_topk(spark, sf_dir):
-    _, bags, idf, stats = _bags(spark, sf_dir)
-    return search.sparse_topk(_questions(spark, sf_dir), bags, idf, stats, 20).select("qid", "id", "bm25_rank")
+    _, bags, blocks, idf, stats = _impacts(spark, sf_dir)
+    return search.sparse_topk(_questions(spark, sf_dir), bags, idf, stats, 20, blocks).select("qid", "id", "bm25_rank")
 
 
 @query("""select q.vec_id as qid, v.vec_id as id, row_number() over (partition by q.vec_id order by round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: cast(p[1] as double) * cast(p[2] as double))), 6) desc, v.vec_id) as dense_rank
@@ -100,16 +120,16 @@ def dense_topk(spark, sf_dir):
 
 @query(_SEARCH + " select qid, id, round(rrf, 5) as rrf, dense_rank, bm25_rank, place from placed")
 def hybrid_search(spark, sf_dir):
-    c, bags, idf, stats = _bags(spark, sf_dir)
-    hits = search.hybrid(_questions(spark, sf_dir), c, bags, idf, stats)
+    c, bags, blocks, idf, stats = _impacts(spark, sf_dir)
+    hits = search.hybrid(_questions(spark, sf_dir), c, bags, idf, stats, blocks=blocks)
     return hits.select("qid", "id", F.round("rrf", 5).alias("rrf"), "dense_rank", "bm25_rank", "place")
 
 
 @query(_SEARCH + """ select qid, ticker, fiscal_year, id, quota from (
   select qid, c.ticker, c.fiscal_year, id, row_number() over (partition by qid, c.ticker, c.fiscal_year order by place) as quota from placed join chunks c using (id)) where quota <= 2""")
 def hybrid_quota(spark, sf_dir):
-    c, bags, idf, stats = _bags(spark, sf_dir)
-    hits = search.hybrid(_questions(spark, sf_dir), c, bags, idf, stats).join(c.select("id", "ticker", "fiscal_year"), "id")
+    c, bags, blocks, idf, stats = _impacts(spark, sf_dir)
+    hits = search.hybrid(_questions(spark, sf_dir), c, bags, idf, stats, blocks=blocks).join(c.select("id", "ticker", "fiscal_year"), "id")
     w = Window.partitionBy("qid", "ticker", "fiscal_year").orderBy("place")
     return hits.withColumn("quota", long(F.row_number().over(w))).where("quota <= 2").select("qid", "ticker", "fiscal_year", "id", "quota")
 
@@ -200,11 +220,12 @@ def header_parse(spark, sf_dir):
     return cov_ops.filings(raw).select("file", "ticker", "form", "filing_date", "period_end", "period_end_src", "header_quarter", "xbrl_period")
 
 
-@query(WITH + """ select ticker, coalesce(string_agg(q, '' order by q) filter (y = 2022), '') as fy2022, coalesce(string_agg(q, '' order by q) filter (y = 2023), '') as fy2023 from (
+@query(WITH + """ select ticker, """ + ", ".join(f"coalesce(string_agg(q, '' order by q) filter (y = {y}), '') as fy{y}" for y in range(2022, 2026)) + """ from (
  select ticker, fiscal_year as y, substr(fiscal_quarter, 2, 1) as q from cov where form = '10-Q' union select ticker, null, null from cov) group by ticker""")
 def coverage_grid(spark, sf_dir):
-    grid = cov_ops.grid(standin.coverage(standin.chunks(spark, sf_dir)), [2022, 2023])
-    return grid.select("ticker", *[F.translate(c, ".", "").alias(c) for c in ("fy2022", "fy2023")])
+    """Quarters reported in each of the stand-in's four fiscal years, a column a year."""
+    grid = cov_ops.grid(standin.coverage(standin.chunks(spark, sf_dir)), [2022, 2023, 2024, 2025])
+    return grid.select("ticker", *[F.translate(c, ".", "").alias(c) for c in grid.columns[1:]])
 
 
 @query(WITH + """ select ticker, string_agg(cell, ' ' order by y) as grid from (select ticker, y, string_agg(case when n is null then '.' else substr(q, 2, 1) end, '' order by q) as cell from
@@ -221,9 +242,10 @@ def fully_covered(spark, sf_dir):
     return cov_ops.fully_covered(standin.coverage(standin.chunks(spark, sf_dir)))
 
 
-@query(WITH + " select sector, industry, string_agg(ticker, ' ' order by ticker) as tickers from companies group by all")
+@query("select 'Sector ' || s_nationkey as sector, 'Industry ' || (s_suppkey % 7) as industry, string_agg(s_name, ' ' order by s_name) as tickers from supplier group by all")
 def group_lists(spark, sf_dir):
-    return cov_ops.companies_by_industry(standin.companies(spark))
+    """Suppliers as companies, listed by nation and industry."""
+    return cov_ops.companies_by_industry(_suppliers(spark, sf_dir))
 
 
 @query(WITH + """ select ticker, concat_ws(' | ', ticker, name, array_to_string(aliases, ', '), sector || ' / ' || industry, 'FYE ' || fiscal_year_end, fs) as line from companies join (

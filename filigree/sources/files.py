@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from filigree.operators.coverage import COLUMNS
@@ -17,9 +19,23 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def whole_texts(spark: SparkSession, folder: str, names: DataFrame) -> DataFrame:
-    """(file, seq, text) of the listed files; bytes that are no UTF-8 become replacement characters."""
-    raw = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-    return names.join(raw, "file")
+    """(file, seq, text) of the listed files, relative to folder; bytes that are no UTF-8 become replacement characters. Files that are absent are left out.
+
+    Only listed files are opened: the names are those of one manifest, which the driver reads, so their paths are handed to the reader."""
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = fs.makeQualified(Path(folder))
+    wanted = {r.file for r in names.select("file").distinct().collect() if r.file}
+    there = []
+    for parent in sorted({n.rpartition("/")[0] for n in wanted}):
+        at = Path(base, parent) if parent else base
+        if fs.exists(at):
+            there += [s.getPath().toString() for s in fs.listStatus(at) if f"{parent}/{s.getPath().getName()}".lstrip("/") in wanted and not s.isDirectory()]
+    if not there:
+        return names.withColumn("text", F.lit(None).cast("string")).where("false")
+    raw = spark.read.format("binaryFile").load([re.sub(r"([*?{}\[\]\\])", r"\\\1", p) for p in there])
+    file = F.substring("path", len(base.toString().rstrip("/")) + 2, 1 << 20)
+    return names.join(raw.select(file.alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")), "file")
 
 
 def read_coverage(spark: SparkSession, path: str) -> DataFrame:
@@ -71,6 +87,21 @@ def read_results(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(flat).csv(path, header=True, escape='"', multiLine=True)
 
 
+def done_results(spark: SparkSession, path: str) -> DataFrame:
+    """(id) of the items whose results lie at path without an error, each once; none where nothing was written yet."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at) or not any(s.getPath().getName().startswith("part-") for s in fs.listStatus(at)):
+        return spark.createDataFrame([], "id string")
+    return spark.read.csv(path, header=True, escape='"', multiLine=True).where("error is null or error = ''").select("id").distinct()
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """Results with one row for each item: of one that was tried again, the row without an error."""
+    w = Window.partitionBy("id").orderBy(F.coalesce("error", F.lit("")) != "", F.desc("latency_s"))
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
 def select_filings(cov: DataFrame, files: list[str] | None = None) -> DataFrame:
     """Filings to ingest: status ok, of a list of files if given."""
     ok = cov.where("status = 'ok'")

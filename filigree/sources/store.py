@@ -14,6 +14,8 @@ from filigree.operators import index
 
 #: Versions that a reader may have to bring together; beyond it an update writes all anew.
 VERSIONS = 16
+#: Tables that lie by ticker, each ticker's part in the version that wrote it last.
+BY_TICKER = ("chunks", "postings", "counts", "sizes")
 
 
 class IndexStore:
@@ -43,12 +45,12 @@ class IndexStore:
         return next((h["version"] for h in self._history(1)), None)
 
     def read(self, table: str) -> DataFrame:
-        """chunks, postings, idf or stats of the current version."""
+        """chunks, postings, df, idf or stats of the current version."""
         (now,) = self._history(1)
         return self._read(table, now)
 
     def _read(self, table: str, now: dict) -> DataFrame:
-        if table not in ("chunks", "postings"):
+        if table not in BY_TICKER:
             return self.spark.read.parquet(f"{self.folder}/{now['version']}/{table}")
         by: dict[str, list[str]] = defaultdict(list)
         for ticker, version in now["live"].items():
@@ -67,19 +69,30 @@ class IndexStore:
         return self.read("chunks").where(F.col("id").isin(ids))
 
     def write(self, chunks: DataFrame, kept: dict[str, str] | None = None) -> None:
-        """A version of chunks (vectors included) beside the tickers that earlier versions keep, and all that sparse search needs of them."""
+        """A version of chunks (vectors included) beside the tickers that earlier versions keep, and all that sparse search needs of them.
+
+        Document frequencies are kept per ticker (counts: term, df; sizes: chunks with terms and their length), so those of the
+        corpus are the last ones, less what the tickers written now had, plus what they have: no postings but their own are read."""
         v = uuid.uuid4().hex[:12]
         base = f"{self.folder}/{v}"
+        before = self._history(1)
         chunks.write.partitionBy("ticker").parquet(f"{base}/chunks")
         c = self.spark.read.schema(chunks.schema).parquet(f"{base}/chunks")
         post = index.postings(c).join(c.select("id", "ticker"), "id")
         post.repartitionByRange("ticker", "term").write.partitionBy("ticker").parquet(f"{base}/postings")
         live = (kept or {}) | {r.ticker: v for r in c.select("ticker").distinct().collect()}
         now = {"version": v, "live": live}
-        every = self._read("postings", now)
-        every.select("id", "dl").distinct().agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).write.parquet(f"{base}/stats")
-        index.idf(every, self.spark.read.parquet(f"{base}/stats")).write.parquet(f"{base}/idf")
-        before = self._history(1)
+        own = self._table(f"{base}/postings")
+        own.groupBy("ticker", "term").agg(F.count("*").alias("df")).write.partitionBy("ticker").parquet(f"{base}/counts")
+        own.groupBy("ticker", "id").agg(F.max("dl").alias("dl")).groupBy("ticker").agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total")).write.partitionBy("ticker").parquet(f"{base}/sizes")
+        signed = self._table(f"{base}/counts").select("term", "df")
+        if kept and before:
+            left = {"version": before[0]["version"], "live": {t: x for t, x in before[0]["live"].items() if t not in kept}}
+            signed = signed.unionByName(self._read("df", before[0])).unionByName(self._read("counts", left).select("term", (-F.col("df")).alias("df")))
+        signed.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0").write.parquet(f"{base}/df")
+        sizes = self._read("sizes", now).agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), (F.sum("total").cast("double") / F.sum("n_docs")).alias("avgdl"))
+        sizes.write.parquet(f"{base}/stats")
+        index.idf(self.spark.read.parquet(f"{base}/df"), self.spark.read.parquet(f"{base}/stats")).write.parquet(f"{base}/idf")
         line = self.spark.range(1).select(F.lit(v).alias("version"), F.current_timestamp().alias("at"), F.lit(json.dumps(live)).alias("live"))
         line.coalesce(1).write.mode("append").json(f"{self.folder}/current")
         self._clear([now, *before])
@@ -91,15 +104,20 @@ class IndexStore:
             if s.getPath().getName() not in used:
                 fs.delete(s.getPath(), True)
 
-    def update(self, new: DataFrame, embed=None) -> tuple[int, int]:
+    def update(self, new: DataFrame, embed=None, files: DataFrame | None = None) -> tuple[int, int]:
         """Bring the index to `new`, the chunks of all selected files; returns how many were embedded and deleted.
 
-        What is unchanged keeps its vector, what is gone is purged. Tickers without a change are not written again, and without any nothing is."""
+        What is unchanged keeps its vector, what is gone is purged. Tickers without a change are not written again, and without any nothing is.
+        With files (file), as a batch of a stream has them, new holds the chunks of these files alone, and those of all other files stay."""
         (*now,) = self._history(1)
         if not now:
             self.write(index.merged(new.limit(0).withColumn("embedding", F.lit(None).cast("array<float>")), new, embed))
             return self.read("chunks").count(), 0
-        old = self._read("chunks", now[0])
+        old = whole = self._read("chunks", now[0])
+        if files is not None:
+            # ids of other files that the batch takes over count as its own
+            mine = old.join(files.select("file").distinct(), "file", "left_semi").select("id").union(new.select("id")).distinct()
+            old, rest = whole.join(mine, "id", "left_semi"), whole.join(mine, "id", "left_anti")
         up, gone = index.changed_ids(old, new).join(new.select("id", "ticker"), "id"), index.stale_ids(old, new).join(old.select("id", "ticker"), "id")
         each = up.select("ticker", F.lit(1).alias("up"), F.lit(0).alias("gone")).union(gone.select("ticker", F.lit(0), F.lit(1)))
         by = {r.ticker: (r.up, r.gone) for r in each.groupBy("ticker").agg(F.sum("up").alias("up"), F.sum("gone").alias("gone")).collect()}
@@ -108,5 +126,6 @@ class IndexStore:
             if len(set(kept.values())) >= VERSIONS:
                 kept = {}
             some = F.lit(True) if not kept else ~F.col("ticker").isin(list(kept))
-            self.write(index.merged(old.where(some), new.where(some), embed), kept)
+            rows = index.merged(old.where(some), new.where(some), embed)
+            self.write(rows if files is None else rows.unionByName(rest.where(some)), kept)
         return sum(u for u, _ in by.values()), sum(g for _, g in by.values())

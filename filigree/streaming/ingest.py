@@ -16,3 +16,13 @@ def stream_texts(spark: SparkSession, folder: str, files_per_batch: int = 100) -
 def into(stream: DataFrame, checkpoint: str, merge: Callable[[DataFrame], None]):
     """Start a query that hands every micro-batch to merge once the last is done; a batch that fails is handed over again, so merge must be idempotent, as an index update by content hash is."""
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: merge(df)).trigger(availableNow=True).start()
+
+
+def into_index(stream: DataFrame, checkpoint: str, engine):
+    """Start a query that brings every micro-batch of filings (file, text) into an engine's index; the filings of earlier batches stay, and a batch that is handed over again changes nothing. Coverage (Engine.build) says which filings are known."""
+
+    def merge(batch: DataFrame) -> None:
+        if not batch.isEmpty():
+            engine.ingest(batch, partial=True)
+
+    return into(stream, checkpoint, merge)

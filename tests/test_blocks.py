@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filigree.functions import parsing
-from filigree.operators import blocks, index, search
+from filigree.operators import blocks, impact, index, search
 from filigree.sources.scratch import Scratch, shared_dir
 
 
@@ -69,6 +69,48 @@ def test_sparse_blocks_as_a_loop(spark, monkeypatch, sizes):
     assert {r.term for r in index.postings(bags, only=only).collect()} == {w for t in asked.values() for w in t if w in df}
 
 
+@pytest.mark.parametrize("block,shard,first", [(128, 65_536, 8), (4, 50, 2), (1, 7, 1)])
+def test_impact_index_as_a_loop(spark, monkeypatch, block, shard, first):
+    """The impact-ordered index finds what reading everything finds, terms of negative weight included."""
+    for name, size in zip(("BLOCK", "SHARD", "FIRST"), (block, shard, first)):
+        monkeypatch.setattr(impact, name, size)
+    r = random.Random(block)
+    words = [f"w{k}" for k in range(60)]
+    texts = {f"c{k:03d}": r.choices(words, weights=[1 / (1 + j) for j in range(60)], k=r.randrange(0, 50)) for k in range(150)} | {f"d{k}": ["w1", "w2"] for k in range(30)}
+    asked = {k: r.choices([*words, "unknown"], k=r.randrange(1, 12)) for k in range(9)} | {50: ["unknown"], 51: ["w1"], 52: ["w0"]}
+    bags = spark.createDataFrame([*texts.items(), ("null", None)], "id string, terms array<string>").repartition(3)
+    queries = spark.createDataFrame([(q, " ".join(t)) for q, t in asked.items()], "qid bigint, query string")
+    stats = index.corpus_stats(bags.where("terms is not null"))
+    blocks_ = Scratch(spark, "b").keep(impact.build(impact.counts(bags), stats), "blocks")
+    assert {(x.term, i): round(g, 9) for x in blocks_.collect() for i, g in zip(x.ids, x.gains)} == {
+        (w, i): round(n * 2.5 / (n + 1.5 * (0.25 + 0.75 * len(t) * len(texts) / sum(map(len, texts.values())))), 9) for i, t in texts.items() for w, n in Counter(t).items()
+    }
+    assert all(x.gains == sorted(x.gains, reverse=True) and x.top == x.gains[0] and len(x.ids) <= block for x in blocks_.collect())
+    idf = index.idf(blocks_, stats)
+    assert {x.term: round(x.idf, 9) for x in idf.collect()} == {x.term: round(x.idf, 9) for x in index.idf(bags, stats).collect()}
+    for weights in (idf, idf.withColumn("idf", F.when(F.col("term").isin("w3", "w1"), -0.4).otherwise(F.col("idf")))):
+        for k in (1, 6):
+            want = [tuple(x) for x in search.sparse_topk(queries, bags, weights, stats, k).select("qid", "id", F.round("score", 6), "bm25_rank").collect()]
+            got = [tuple(x) for x in search.sparse_topk(queries, bags, weights, stats, k, blocks_).select("qid", "id", F.round("score", 6), "bm25_rank").collect()]
+            assert sorted(got) == sorted(want)
+
+
+def test_impact_index_reads_few_blocks(spark):
+    """Under a third of the blocks of the questions' terms are read where common words are many."""
+    r = random.Random(5)
+    common, rare = [f"c{k}" for k in range(250)], [f"r{k}" for k in range(3000)]
+    bags = spark.createDataFrame([(f"t{k:05d}", r.choices(common, k=60) + r.choices(rare, k=8)) for k in range(6000)], "id string, terms array<string>").repartition(4)
+    queries = spark.createDataFrame([(q, " ".join(r.choices(common, k=8) + r.choices(rare, k=4))) for q in range(12)], "qid bigint, query string")
+    scratch = Scratch(spark, "b")
+    stats = scratch.keep(index.corpus_stats(bags), "stats")
+    blocks_ = scratch.keep(impact.build(impact.counts(bags), stats), "blocks")
+    counted = {}
+    found = search.ranked(impact.sparse_best(queries, bags, blocks_, index.idf(blocks_, stats), stats, 10, counted=counted), ["qid"], 10, "rank")
+    want = search.sparse_topk(queries, bags, index.idf(bags, stats), stats, 10)
+    assert sorted((x.qid, x.id, x.rank) for x in found.collect()) == sorted((x.qid, x.id, x.bm25_rank) for x in want.collect())
+    assert counted["read"] * 3 < counted["all"]
+
+
 def test_headers_of_many_lines(spark):
     """A text without a rule is all header; twice the lines must not take four times as long."""
     took = []

@@ -1,9 +1,12 @@
 """Jobs that a review found cut short."""
 
 import json
+import random
+import sys
 import zlib
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from filigree.functions import models
@@ -33,20 +36,37 @@ class Scripted:
         return self.replies.pop(0)
 
 
+class ByChunk:
+    """Replies by the chunk that a prompt holds, in the tasks that ask."""
+
+    def __init__(self, replies):
+        self.replies = replies
+
+    def complete(self, prompt, system=None, json_mode=False):
+        assert json_mode and "FY2024" in prompt and "10-K" in prompt
+        return self.replies[prompt.split(" word ")[0].split()[-1]]
+
+
 def test_synthetic_items_replace_bad_replies(spark):
-    rows = [(f"{t}-{k}", t, f"{t} Inc", "10-K", "FY2024", "mdna", f"{t}{k} word " * 200) for t in ("A", "B", "C") for k in range(3)]
+    """Asked in rounds, the items are those of a walk through all chunks in order, one after the other."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    rows = [(f"{t}-{k}", t, f"{t} Inc", "10-K", "FY2024", "mdna", f"{t}{k} word " * 200) for t in ("A", "B", "C", "F") for k in range(3)]
     rows += [("D-0", "D", "D Inc", "10-K", "FY2024", "controls", "word " * 400), ("E-0", "E", "E Inc", "10-K", "FY2024", "mdna", "too short")]
     c = spark.createDataFrame(rows, "id string, ticker string, company string, form string, fiscal_label string, section string, text string")
     tokens = chunks.count_tokens(F.col("text"))
-    model = Scripted("no json", '{"q": 1}', '["x"]', 'So: {"question": "One?"} there', '{"question": " "}', '{"question": "Two?"}')
-    got = evaluation.synthetic_items(c, tokens, model, n=2).collect()
-    assert [r.question for r in got] == ["One?", "Two?"] and len(model.asked) == 6
-    assert all(r.type == "synthetic" and r.gold_chunk.split("-")[0] == r.expected_tickers[0] and r.expected_sections == ["mdna"] for r in got)
-    assert len({r.expected_tickers[0] for r in got}) == 2 and "FY2024 10-K" in model.asked[0]
-    for r, prompt in zip(got, (model.asked[3], model.asked[5])):
-        assert r.gold_chunk.replace("-", "") + " word" in prompt  # the gold chunk is the one that was read
-    assert evaluation.synthetic_items(c, tokens, Scripted(*["bad"] * 9), n=10).count() == 0
-    assert evaluation.synthetic_items(c, tokens, Scripted(*['{"question": "Q?"}'] * 3), n=10).count() == 3
+    order = [r.id for r in c.where("section = 'mdna' and ticker <> 'E'").orderBy(evaluation.shuffled(7, "id"), "id").collect()]
+    bad = ["no json", '{"q": 1}', '["x"]', '{"question": " "}']
+    r = random.Random(3)
+    for n, share in ((2, 0.5), (3, 0.7), (10, 0.3), (4, 1.0)):
+        replies = {i.replace("-", ""): r.choice(bad) if r.random() < share else f'So: {{"question": "About {i}?"}} there' for i in order}
+        want, seen = [], set()
+        for i in order:
+            if i[0] not in seen and len(want) < n and evaluation.asked(replies[i.replace("-", "")]):
+                seen.add(i[0])
+                want.append((f"About {i}?", [i[0]], ["mdna"], i, "synthetic"))
+        got = evaluation.synthetic_items(c, tokens, ByChunk(replies), n=n).collect()
+        assert [(x.question, x.expected_tickers, x.expected_sections, x.gold_chunk, x.type) for x in got] == want
+    assert evaluation.synthetic_items(c, tokens, ByChunk({}), n=0).count() == 0
 
 
 def test_item_set_has_all_types(spark, small):
