@@ -55,7 +55,7 @@ def weight(b: Column, gain: list[int]) -> Column:
     table = F.split(F.lit(",".join(map(str, gain))), ",").cast("array<bigint>")
     total = F.aggregate(b, F.lit(0).cast("bigint"), lambda acc, x: acc + F.element_at(table, (x + 1).cast("int")))
     n = F.size(b).cast("bigint")
-    return F.when(n > 0, _floored(total, n)).otherwise(F.lit(0)).cast("bigint")
+    return F.when(n > 0, F.transform(F.array(total), lambda s: _floored(s, n))[0]).otherwise(F.lit(0)).cast("bigint")
 
 
 def _floored(total: Column, n: Column) -> Column:

@@ -29,9 +29,9 @@ def numbered(df: DataFrame, order: list[Column], scratch: Scratch, name: str) ->
     """df with `rank`, 1 for the first of all rows in the order. Only the sizes of partitions, one number for each, meet on the driver."""
     placed = in_order(df, order, scratch, name)
     sizes = sorted((r.part, r.n) for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect())
-    before, total = [], 0
+    before, total = [0] * (sizes[-1][0] + 1 if sizes else 1), 0
     for part, n in sizes:
-        before += [F.lit(part), F.lit(total)]
+        before[part] = total
         total += n
-    offset = F.element_at(F.create_map(*before), F.col("part")) if before else F.lit(0)
+    offset = F.element_at(F.split(F.lit(",".join(map(str, before))), ",").cast("array<bigint>"), (F.col("part") + 1).cast("int"))  # one literal
     return placed.withColumn("rank", (offset + F.col("at") + 1).cast("bigint")).drop("part", "at")
