@@ -16,6 +16,8 @@ WEAK = (
     ("weak_secret", r"""(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])|(?<![A-Za-z0-9_])(?:[pP]wd|PWD|[aA]uth|[cC]redentials?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}"""),
     ("weak_endpoint", r"""(?:https?|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:/?#@!&=+%-]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?(?![0-9.])"""),
 )
+#: What every match of a kind contains, where that spares most texts a search.
+LITERAL = {"access": "AKIA"}
 #: Parts belong together if at most this many characters lie between their starts.
 SCOPE = 200
 ROLE = {"access": "id", "assign": "secret", "hex": "secret", "weak_id": "id", "weak_secret": "secret", "weak_endpoint": "endpoint"}
@@ -52,18 +54,21 @@ def _found(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0
     sums of their lengths are the positions. Texts without a match cost one search."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
-    parts = F.filter(F.arrays_zip(matches.alias("m"), gaps.alias("g"), values.alias("v")), lambda p: p["m"].isNotNull())
+    # a pattern with a group looks at nothing outside its match, so the group is found in the match again
+    value = (lambda m: F.regexp_extract(m, pattern, group)) if group else (lambda m: m)
+    parts = F.filter(F.arrays_zip(matches.alias("m"), gaps.alias("g")), lambda p: p["m"].isNotNull())
     sizes = F.transform(
         parts,
         lambda p: F.struct(
-            (F.length(p["g"]) + F.length(p["m"])).alias("end"), (F.octet_length(p["g"]) + F.octet_length(p["m"])).alias("to"), F.length(p["m"]).alias("n"), F.octet_length(p["m"]).alias("b"), F.length(p["v"]).alias("size")
+            (F.length(p["g"]) + F.length(p["m"])).alias("end"), (F.octet_length(p["g"]) + F.octet_length(p["m"])).alias("to"), F.length(p["m"]).alias("n"), F.octet_length(p["m"]).alias("b"), F.length(value(p["m"])).alias("size")
         ),
     )
     later = lambda x, y: F.struct((x["end"] + y["end"]).alias("end"), (x["to"] + y["to"]).alias("to"), y["n"].alias("n"), y["b"].alias("b"), y["size"].alias("size"))
     kept = F.filter(_scanned(sizes, later), lambda s: s["size"] >= least)
     named = F.transform(kept, lambda s: F.struct((s["end"] - s["n"]).alias("start"), F.lit(KINDS_AT[kind]).alias("k"), s["end"].alias("end"), (s["to"] - s["b"]).alias("at"), s["to"].alias("to")))
-    return F.when(text.rlike(pattern), named).otherwise(F.array().cast(SPANS))
+    mark = LITERAL.get(kind)
+    there = text.rlike(pattern) if mark is None else F.contains(text, F.lit(mark)) & text.rlike(pattern)
+    return F.when(there, named).otherwise(F.array().cast(SPANS))
 
 
 def _is(s: Column, role: str) -> Column:
@@ -109,12 +114,18 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     t = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(*[_found(t, *b) for b in BASE])
-    weak = F.concat(*[_found(t, *w) for w in WEAK])
-    own = [c for c in docs.columns if c not in ("spans", "_base", "_weak", "_all", "_more")]
-    d = docs.select(*own, base.alias("_base"), weak.alias("_weak"))
-    d = d.select(*own, "_base", F.when(F.size("_weak") > 0, F.sort_array(F.concat("_base", "_weak"))).alias("_all"))
-    d = d.select(*own, "_base", F.when(F.exists("_all", lambda s: _is(s, "secret")), _linked(F.col("_all"))).alias("_more"))
-    return d.select(*own, F.sort_array(F.concat("_base", F.coalesce("_more", F.array().cast(SPANS)))).alias("spans"))
+    own = [c for c in docs.columns if c != "spans"]
+    mark = "_"
+    while any(c.startswith(mark) for c in own):  # columns of the scan have names that no other has
+        mark += "_"
+    x, b, w, a, m = (mark + c for c in ("text", "base", "weak", "all", "more"))
+    d = docs.select(*own, t.alias(x), base.alias(b), _found(t, *WEAK[1]).alias(w))
+    # without a secret, strong or weak, no weak part counts: most texts are not searched for the others
+    secret = (F.size(w) > 0) | F.exists(b, lambda s: _is(s, "secret"))
+    d = d.select(*own, b, F.when(secret, F.concat(F.col(w), *[_found(F.col(x), *k) for k in (WEAK[0], WEAK[2])])).alias(w))
+    d = d.select(*own, b, F.when(F.size(w) > 0, F.sort_array(F.concat(b, w))).alias(a))
+    d = d.select(*own, b, F.when(F.exists(a, lambda s: _is(s, "secret")), _linked(F.col(a))).alias(m))
+    return d.select(*own, F.sort_array(F.concat(F.col(b), F.coalesce(m, F.array().cast(SPANS)))).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
