@@ -137,15 +137,19 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_col: str
     languages = sorted(set(names))
     order = np.lexsort((np.array(found.column("h").to_pylist()), np.array(names)))
     raw = found.column("bits").to_pylist()
-    x = np.unpackbits(np.frombuffer(b"".join(raw[k] for k in order), np.uint8).reshape(len(raw), -1), axis=1)
+    bits = np.frombuffer(b"".join(raw[k] for k in order), np.uint8).reshape(len(raw), -1)
+    del found, raw
     y = np.array(names)[order]
     landmarks = np.concatenate([np.flatnonzero(y == n)[: max(1, min(LANDMARKS, ALL_LANDMARKS // len(languages)))] for n in languages])
-    size = np.maximum(x.sum(1, dtype=np.int64), 1).astype(np.float32)
-    z = (x[landmarks].astype(np.float32) / np.sqrt(size[landmarks])[:, None]).T
+    # presence vectors stay packed, 2 KB each; a few hundred are unpacked at a time
+    some = lambda rows: np.unpackbits(bits[rows], axis=1).astype(np.float32)
+    blocks = [slice(k, k + 256) for k in range(0, len(bits), 256)]
+    size = np.maximum(np.bitwise_count(bits).sum(1, dtype=np.int64), 1).astype(np.float32)
+    z = (some(landmarks) / np.sqrt(size[landmarks])[:, None]).T
     values, vectors = np.linalg.eigh((z.T @ z).astype(np.float64))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    phi = np.concatenate([(x[k : k + 512].astype(np.float32) @ z) / np.sqrt(size[k : k + 512])[:, None] for k in range(0, len(x), 512)]) @ root
+    phi = np.concatenate([(some(k) @ z) / np.sqrt(size[k])[:, None] for k in blocks]) @ root
     phi = np.hstack([phi, np.ones((len(phi), 1))])
     counts = {n: int((y == n).sum()) for n in languages}
     weight = np.array([len(y) / (len(languages) * counts[n]) for n in y])
