@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import connected_components
@@ -161,6 +162,21 @@ def _leaf(batches):
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["a", "b"])
 
 
+def _once(batches):
+    """Sorted batches without the rows that repeat the (task, fp) of the one before."""
+    last = None
+    for b in batches:
+        n = b.num_rows
+        if not n:
+            continue
+        task, fp = b.column(b.schema.get_field_index("task")), b.column(b.schema.get_field_index("fp"))
+        new = np.ones(n, bool)
+        new[1:] = ~pc.and_(pc.equal(task.slice(1), task.slice(0, n - 1)), pc.equal(fp.slice(1), fp.slice(0, n - 1))).to_numpy(zero_copy_only=False)
+        new[0] = (task[0].as_py(), fp[0].as_py()) != last
+        last = (task[n - 1].as_py(), fp[n - 1].as_py())
+        yield b if new.all() else b.filter(pa.array(new))
+
+
 def _whole(batches, most: int = 20000):
     """Regroup sorted batches so that no run of one key is cut."""
     held, n = [], 0
@@ -183,7 +199,7 @@ def _exact(hundredths: int):
     """
 
     def run(batches):
-        for g in _grouped(batches, "task"):
+        for g in _grouped(_once(batches), "task"):
             t = pa.Table.from_batches(g)
             fp = t.column("fp").to_pylist()
             sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
@@ -223,8 +239,10 @@ def _with_sets(docs: DataFrame, members: DataFrame, text: str, id_col: str, widt
     """members (rep, fp, task, component, blocks, block) with the full set of each representative text."""
 
     def run(batches):
+        # rows that repeat an id and a text lie in one task, or in as many as a hot id is split to: one of each task goes on
+        had: set = set()
         for b in batches:
-            keep, sets, had = [], [], set()
+            keep, sets = [], []
             fp, task = b.column(1).to_pylist(), b.column(2).to_pylist()
             for r, u in enumerate(_sets(b.column(0), width)):
                 if len(u) and _print(u) == fp[r] and (fp[r], task[r]) not in had:  # another row may bear the same id, or the same text too
@@ -244,8 +262,6 @@ def _with_sets(docs: DataFrame, members: DataFrame, text: str, id_col: str, widt
     there = docs.select(F.col(id_col).alias("rep"), F.col(text).alias("text"))
     named_by_id = there.where("rep is not null").where(_maybe(members, "rep"))
     found = named_by_id.join(members.hint("shuffle_hash"), "rep").select("text", "fp", "task", "component", "blocks", "block").mapInArrow(run, "fp binary, task bigint, component binary, blocks bigint, block bigint, set binary")
-    # rows that repeat an id and a text bring one set, whatever their number: a task drops its own repeats before the shuffle
-    found = found.dropDuplicates(["fp", "task"])
     nameless = members.where("rep is null")
     if nameless.isEmpty():
         return found
@@ -362,7 +378,7 @@ def _n_blocks(sets, shingles):
 
 
 def _compared(rows: DataFrame, hundredths: int, parts: int) -> DataFrame:
-    return rows.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_exact(hundredths), "a binary, b binary, task bigint, big boolean")
+    return rows.repartition(parts, "task").sortWithinPartitions("task", "fp").mapInArrow(_exact(hundredths), "a binary, b binary, task bigint, big boolean")
 
 
 def similarity_components(
