@@ -106,6 +106,13 @@ def bm25_stats(spark, sf_dir):
 
 @query(_SEARCH + " select qid, id, bm25_rank from s")
 def bm25_topk(spark, sf_dir):
+    _, bags, idf, stats = _bags(spark, sf_dir)
+    return search.sparse_topk(_questions(spark, sf_dir), bags, idf, stats, 20).select("qid", "id", "bm25_rank")
+
+
+@query(_SEARCH + " select qid, id, bm25_rank from s")
+def bm25_impact(spark, sf_dir):
+    """The same ranks from the impact-ordered index, which suits few questions over many chunks."""
     _, bags, blocks, idf, stats = _impacts(spark, sf_dir)
     return search.sparse_topk(_questions(spark, sf_dir), bags, idf, stats, 20, blocks).select("qid", "id", "bm25_rank")
 
@@ -120,16 +127,16 @@ def dense_topk(spark, sf_dir):
 
 @query(_SEARCH + " select qid, id, round(rrf, 5) as rrf, dense_rank, bm25_rank, place from placed")
 def hybrid_search(spark, sf_dir):
-    c, bags, blocks, idf, stats = _impacts(spark, sf_dir)
-    hits = search.hybrid(_questions(spark, sf_dir), c, bags, idf, stats, blocks=blocks)
+    c, bags, idf, stats = _bags(spark, sf_dir)
+    hits = search.hybrid(_questions(spark, sf_dir), c, bags, idf, stats)
     return hits.select("qid", "id", F.round("rrf", 5).alias("rrf"), "dense_rank", "bm25_rank", "place")
 
 
 @query(_SEARCH + """ select qid, ticker, fiscal_year, id, quota from (
   select qid, c.ticker, c.fiscal_year, id, row_number() over (partition by qid, c.ticker, c.fiscal_year order by place) as quota from placed join chunks c using (id)) where quota <= 2""")
 def hybrid_quota(spark, sf_dir):
-    c, bags, blocks, idf, stats = _impacts(spark, sf_dir)
-    hits = search.hybrid(_questions(spark, sf_dir), c, bags, idf, stats, blocks=blocks).join(c.select("id", "ticker", "fiscal_year"), "id")
+    c, bags, idf, stats = _bags(spark, sf_dir)
+    hits = search.hybrid(_questions(spark, sf_dir), c, bags, idf, stats).join(c.select("id", "ticker", "fiscal_year"), "id")
     w = Window.partitionBy("qid", "ticker", "fiscal_year").orderBy("place")
     return hits.withColumn("quota", long(F.row_number().over(w))).where("quota <= 2").select("qid", "ticker", "fiscal_year", "id", "quota")
 
