@@ -142,9 +142,11 @@ def test_sections(spark):
     assert "see the" in next(r.text for r in got if r.file == "a" and r.label == "business")
 
 
-def test_neighbours_of_one_label_are_joined():
+def test_neighbours_of_one_label_are_joined(spark):
     text = "Front.\nItem 9B. Other\nx\nItem 5. Market\ny"
-    assert [v for _, v in sections.Outline(text, "10-K").headings()] == ["other", "other"]
+    docs = spark.createDataFrame([("a", text, "10-K")], "file string, text string, form string")
+    assert [h.label for h in sections.find_headings(docs).first().heads] == ["other", "other"]
+    assert [r.label for r in sections.split_sections(docs).collect()] == ["other"]
 
 
 def test_units():
