@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from filigree.operators.blocks import K1, NEAR, B, term_weights
+from filigree.operators.index import counts
 from filigree.runtime import ship
 from filigree.sources.scratch import Scratch
 
@@ -28,24 +29,6 @@ def gain(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def counts(bags: DataFrame) -> DataFrame:
-    """(id, dl, term, tf) of bags (id, terms): a bag is counted where it lies, without a shuffle."""
-    ship(bags.sparkSession)
-    kind = bags.schema["id"].dataType.simpleString()
-
-    def run(batches):
-        for b in batches:
-            lists = b.column(1)
-            n = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
-            terms = pc.dictionary_encode(lists.flatten())
-            size = max(len(terms.dictionary), 1)
-            key, tf = np.unique(np.repeat(np.arange(len(n)), n) * size + terms.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
-            row = pa.array(key // size)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(row), pa.array(n[key // size], pa.int64()), terms.dictionary.take(pa.array(key % size)), pa.array(tf, pa.int64())], names=["id", "dl", "term", "tf"])
-
-    return bags.select("id", "terms").mapInArrow(run, f"id {kind}, dl bigint, term string, tf bigint")
-
-
 def build(postings: DataFrame, stats: DataFrame) -> DataFrame:
     """(term, shard, block, top, ids, gains): blocks of postings (id, dl, term, tf) by falling gain.
 

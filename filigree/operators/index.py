@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from filigree.functions.parsing import tokenize
+from filigree.runtime import ship
 
 
 def stale_ids(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -52,6 +56,27 @@ def postings(chunks: DataFrame, text: Column | None = None, only: DataFrame | No
     return rows.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
 
 
+def counts(bags: DataFrame) -> DataFrame:
+    """(id, dl, term, tf) of bags (id, terms), and what else a bag's row holds behind them: a bag is counted where it lies, without a shuffle."""
+    ship(bags.sparkSession)
+    more = [c for c in bags.columns if c not in ("id", "terms")]
+    kinds = {c: bags.schema[c].dataType.simpleString() for c in ("id", *more)}
+    names = ["id", "dl", "term", "tf", *more]
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(1)
+            n = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+            terms = pc.dictionary_encode(lists.flatten())
+            size = max(len(terms.dictionary), 1)
+            key, tf = np.unique(np.repeat(np.arange(len(n)), n) * size + terms.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+            row = pa.array(key // size)
+            own = [b.column(k).take(row) for k in range(2, b.num_columns)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), pa.array(n[key // size], pa.int64()), terms.dictionary.take(pa.array(key % size)), pa.array(tf, pa.int64()), *own], names=names)
+
+    return bags.select("id", "terms", *more).mapInArrow(run, ", ".join([f"id {kinds['id']}, dl bigint, term string, tf bigint", *(f"`{c}` {kinds[c]}" for c in more)]))
+
+
 def corpus_stats(chunks: DataFrame, text: Column | None = None) -> DataFrame:
     """One row (n_docs, avgdl) of chunks or bags."""
     terms = chunks if "terms" in chunks.columns else bags(chunks, text)

@@ -5,15 +5,19 @@ from __future__ import annotations
 import json
 import uuid
 from collections import defaultdict
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from filigree.functions.parsing import tokenize
 from filigree.operators import index
 
 #: Versions that a reader may have to bring together; beyond it an update writes all anew.
 VERSIONS = 16
+#: Bytes of chunks whose postings one task makes.
+PIECE, SPLIT = "spark.sql.files.maxPartitionBytes", "16m"
 #: Tables that lie by ticker, each ticker's part in the version that wrote it last.
 BY_TICKER = ("chunks", "postings", "counts", "sizes")
 
@@ -72,19 +76,22 @@ class IndexStore:
         """A version of chunks (vectors included) beside the tickers that earlier versions keep, and all that sparse search needs of them.
 
         Document frequencies are kept per ticker (counts: term, df; sizes: chunks with terms and their length), so those of the
-        corpus are the last ones, less what the tickers written now had, plus what they have: no postings but their own are read."""
+        corpus are the last ones, less what the tickers written now had, plus what they have: no postings but their own are read.
+        Postings are counted and sorted by term in the task that reads their chunks, so none is shuffled, and a reader of few terms skips row groups."""
         v = uuid.uuid4().hex[:12]
         base = f"{self.folder}/{v}"
         before = self._history(1)
-        chunks.write.partitionBy("ticker").parquet(f"{base}/chunks")
-        c = self.spark.read.schema(chunks.schema).parquet(f"{base}/chunks")
-        post = index.postings(c).join(c.select("id", "ticker"), "id")
-        post.repartitionByRange("ticker", "term").write.partitionBy("ticker").parquet(f"{base}/postings")
+        chunks.write.partitionBy("ticker").option("compression", "zstd").parquet(f"{base}/chunks")
+        with self._splits():
+            c = self.spark.read.schema(chunks.schema).parquet(f"{base}/chunks")
+            post = index.counts(c.select("id", tokenize(index.search_text()).alias("terms"), "ticker"))
+            post.sortWithinPartitions("ticker", "term").write.partitionBy("ticker").parquet(f"{base}/postings")
         live = (kept or {}) | {r.ticker: v for r in c.select("ticker").distinct().collect()}
         now = {"version": v, "live": live}
         own = self._table(f"{base}/postings")
         own.groupBy("ticker", "term").agg(F.count("*").alias("df")).write.partitionBy("ticker").parquet(f"{base}/counts")
-        own.groupBy("ticker", "id").agg(F.max("dl").alias("dl")).groupBy("ticker").agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total")).write.partitionBy("ticker").parquet(f"{base}/sizes")
+        # a chunk's tf add up to its dl, so sums over postings are those over chunks; the sum of shares lies far nearer to a whole number than a half
+        own.groupBy("ticker").agg(F.round(F.sum(F.col("tf") / F.col("dl"))).cast("bigint").alias("n_docs"), F.sum("tf").alias("total")).write.partitionBy("ticker").parquet(f"{base}/sizes")
         signed = self._table(f"{base}/counts").select("term", "df")
         if kept and before:
             left = {"version": before[0]["version"], "live": {t: x for t, x in before[0]["live"].items() if t not in kept}}
@@ -97,6 +104,16 @@ class IndexStore:
         line.coalesce(1).write.mode("append").json(f"{self.folder}/current")
         self._clear([now, *before])
 
+    @contextmanager
+    def _splits(self):
+        """Tables are read in pieces of SPLIT, whose postings a task can sort in memory."""
+        had = self.spark.conf.get(PIECE)
+        self.spark.conf.set(PIECE, SPLIT)
+        try:
+            yield
+        finally:
+            self.spark.conf.set(PIECE, had)
+
     def _clear(self, named: list[dict]) -> None:
         used = {"current"} | {v for h in named for v in (h["version"], *h["live"].values())}
         fs, p = self._fs(self.folder)

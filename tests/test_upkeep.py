@@ -191,3 +191,21 @@ def test_searches_are_pruned_by_ticker(spark, built):
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert plan.count("dynamicpruning") >= 2
     assert {r.id.split("-")[0] for r in hits.collect()} == {"AA"}
+
+
+def test_postings_are_made_where_chunks_lie(spark, tmp_path):
+    """Postings of an update are counted without a shuffle, lie by term in every file, and sizes of tickers follow from them."""
+    texts = {f"{t}-{k}": " ".join(f"w{(k * j) % 23}" for j in range(k % 9)) for t in "ABC" for k in range(40)}
+    store = IndexStore(spark, str(tmp_path / "p"))
+    store.update(rows(spark, texts))
+    c = store.read("chunks")
+    post = index.counts(c.select("id", F.split("text", " ").alias("terms"), "ticker"))
+    assert post.columns == ["id", "dl", "term", "tf", "ticker"] and "Exchange" not in post._jdf.queryExecution().executedPlan().toString()
+    cols = ("term", "id", "tf", "dl")
+    assert sorted(map(tuple, store.read("postings").select(*cols).collect())) == sorted(map(tuple, index.postings(c).select(*cols).collect()))
+    for f in (tmp_path / "p").glob("*/postings/ticker=*/*.parquet"):
+        terms = [r.term for r in spark.read.parquet(str(f)).collect()]
+        assert terms == sorted(terms)
+    dl = {r.id: (r.ticker, r.dl) for r in store.read("postings").collect()}
+    want = {t: (sum(x == t for x, _ in dl.values()), sum(n for x, n in dl.values() if x == t)) for t in "ABC"}
+    assert {r.ticker: (r.n_docs, r.total) for r in store.read("sizes").collect()} == want
