@@ -26,16 +26,16 @@ def running_sums(xs: Column) -> Column:
 BEFORE, BEHIND, LEAST = 30, 300, 5
 
 
-def places(text: Column, pattern: str, group: int = 0) -> Column:
+def places(text: Column, pattern: str, group: int = 0, part: str = "", clue: Column | None = None) -> Column:
     """The leftmost non-overlapping matches of a pattern as array<struct<pos, end, said, before, after>>; empty where there is none, null for a null text.
 
-    pos counts characters from 0 and end is behind the match; said is the match or one of its
-    groups; before and after are the BEFORE characters in front of it and the BEHIND ones behind it. The pattern takes at
+    pos counts characters from 0 and end is behind the match; said is the match, one of its
+    groups, or what the pattern `part` finds in the match alone, which spares a reading of the text; before and after are the BEFORE characters in front of it and the BEHIND ones behind it. The pattern takes at
     least LEAST characters. Gaps (a split by the pattern) and matches take turns, so running sums of their
     lengths are the places, and the surroundings are put together from the pieces nearby:
-    a text is read a fixed number of times, however many matches it has."""
+    a text is read a fixed number of times, however many matches it has, and not at all where a clue, true for all texts with a match, is false."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    said = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
+    said = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else F.transform(matches, lambda m: F.regexp_extract(m, part, 0)) if part else matches
     ahead, back = 2 * -(-BEHIND // LEAST) + 1, 2 * -(-BEFORE // LEAST) + 1
 
     def near(p):
@@ -64,4 +64,5 @@ def places(text: Column, pattern: str, group: int = 0) -> Column:
 
     none = F.array().cast("array<struct<pos:int,end:int,said:string,before:string,after:string>>")
     pieces = F.struct(F.split(text, pattern, -1).alias("g"), matches.alias("m"), said.alias("v"))
-    return F.when(text.rlike(pattern), bind(bind(pieces, near), placed)).when(text.isNotNull(), none)
+    some = text.rlike(pattern) if clue is None else clue & text.rlike(pattern)
+    return F.when(some, bind(bind(pieces, near), placed)).when(text.isNotNull(), none)
