@@ -127,11 +127,10 @@ def term_weights(queries: DataFrame, idf: DataFrame) -> DataFrame:
     return terms.join(idf, "term").select("qid", "term", (F.col("qf") * F.col("idf")).alias("w"))
 
 
-def sparse_best(queries: DataFrame, bags: DataFrame, idf: DataFrame, stats: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score): for each of queries (qid, query) the chunks (id, terms) that may be among its k best by Okapi BM25 above 0; a few more than k. idf and stats are those of the whole corpus."""
-    ship(bags.sparkSession)
-    by = term_weights(queries, idf).groupBy("qid").agg(F.collect_list(F.struct("term", "w")).alias("t"))
-    id_kind, q_kind = bags.schema["id"].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
+def packed_questions(weights: DataFrame) -> DataFrame:
+    """(qids, owner, qterms, w): blocks of questions, made of (qid, term, w), with the terms of each."""
+    kind = weights.schema["qid"].dataType.simpleString()
+    by = weights.groupBy("qid").agg(F.collect_list(F.struct("term", "w")).alias("t"))
 
     def ask(batches):
         for t in _blocks(batches, ASKED_TEXTS):
@@ -141,15 +140,50 @@ def sparse_best(queries: DataFrame, bags: DataFrame, idf: DataFrame, stats: Data
             flat = lists.flatten()
             yield _row(qids=_one(t.column(0)), owner=owner, qterms=flat.field("term"), w=flat.field("w"))
 
+    return by.select("qid", "t").mapInArrow(ask, f"qids array<{kind}>, owner array<int>, qterms array<string>, w array<double>")
+
+
+def scored_pairs(pairs: DataFrame, bags: DataFrame, weights: DataFrame, stats: DataFrame) -> DataFrame:
+    """(qid, id, score): Okapi scores of distinct pairs (qid, id) of questions that have weights (qid, term, w), from the bags of the chunks named. A block of texts meets a block of questions at a time, so no term of a text is a row."""
+    ship(bags.sparkSession)
+    id_kind, q_kind = bags.schema["id"].dataType.simpleString(), pairs.schema["qid"].dataType.simpleString()
+    wanted = bags.join(pairs.groupBy("id").agg(F.collect_list("qid").alias("want")), "id").select("id", "terms", "want").where("terms is not null")
+
+    def pack(batches):
+        length = lambda b: pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+        for t in _blocks(batches, TEXTS, length, TERMS):
+            lists, want = _one(t.column(1)), _one(t.column(2))
+            yield _row(ids=_one(t.column(0)), dl=pc.list_value_length(lists).cast(pa.int32()), terms=lists.flatten(), n=pc.list_value_length(want).cast(pa.int32()), want=want.flatten())
+
+    texts = wanted.mapInArrow(pack, f"ids array<{id_kind}>, dl array<int>, terms array<string>, n array<int>, want array<{q_kind}>")
+    both = texts.crossJoin(packed_questions(weights)).crossJoin(F.broadcast(stats.select("avgdl")))  # one row
+
+    def score(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                ids, dl, terms, n, want, qids, owner, qterms, w = (b.column(c)[r].values for c in range(9))
+                scores = okapi(dl.to_numpy(), terms, owner.to_numpy(), qterms, w.to_numpy(), len(qids), b.column(9)[r].as_py())
+                at = pc.index_in(want, qids)
+                here = at.is_valid().to_numpy(zero_copy_only=False)
+                row, q = np.repeat(np.arange(len(ids)), n.to_numpy())[here], at.drop_null().to_numpy()
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), ids.take(pa.array(row)), pa.array(scores[row, q])], names=["qid", "id", "score"])
+
+    return both.mapInArrow(score, f"qid {q_kind}, id {id_kind}, score double")
+
+
+def sparse_best(queries: DataFrame, bags: DataFrame, idf: DataFrame, stats: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score): for each of queries (qid, query) the chunks (id, terms) that may be among its k best by Okapi BM25 above 0; a few more than k. idf and stats are those of the whole corpus."""
+    ship(bags.sparkSession)
+    id_kind = bags.schema["id"].dataType.simpleString()
+
     def pack(batches):
         length = lambda b: pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
         for t in _blocks(batches, TEXTS, length, TERMS):
             lists = _one(t.column(1))
             yield _row(ids=_one(t.column(0)), dl=pc.list_value_length(lists).cast(pa.int32()), terms=lists.flatten())
 
-    asked = by.select("qid", "t").mapInArrow(ask, f"qids array<{q_kind}>, owner array<int>, qterms array<string>, w array<double>")
     texts = bags.select("id", "terms").where("terms is not null").mapInArrow(pack, f"ids array<{id_kind}>, dl array<int>, terms array<string>")
-    both = texts.crossJoin(asked).crossJoin(F.broadcast(stats.select("avgdl")))  # one row
+    both = texts.crossJoin(packed_questions(term_weights(queries, idf))).crossJoin(F.broadcast(stats.select("avgdl")))  # one row
 
     def search(batches):
         floors: dict = {}

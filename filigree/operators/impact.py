@@ -12,8 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from filigree.operators.blocks import K1, NEAR, B, term_weights
-from filigree.operators.index import counts
+from filigree.operators.blocks import K1, NEAR, B, scored_pairs, term_weights
+from filigree.operators.index import counts  # noqa: F401
 from filigree.runtime import ship
 from filigree.sources.scratch import Scratch
 
@@ -85,12 +85,6 @@ def _partial(asked: DataFrame, blocks: DataFrame) -> DataFrame:
     return each.groupBy("qid", F.col("p.ids").alias("id")).agg(F.sum(F.col("w") * F.col("p.gains")).alias("score"), F.sum("unread").alias("seen"))
 
 
-def _exact(pairs: DataFrame, bags: DataFrame, weights: DataFrame, stats: DataFrame) -> DataFrame:
-    """(qid, id, score): exact scores of pairs (qid, id), from the bags of the chunks named."""
-    own = counts(bags.join(pairs.select("id").distinct(), "id", "left_semi")).crossJoin(F.broadcast(stats.select("avgdl"))).select("id", "term", gain(F.col("tf"), F.col("dl"), F.col("avgdl")).alias("gain"))
-    return pairs.join(own, "id").join(weights, ["qid", "term"]).groupBy("qid", "id").agg(F.sum(F.col("w") * F.col("gain")).alias("score"))
-
-
 def sparse_best(queries: DataFrame, bags: DataFrame, blocks: DataFrame, idf: DataFrame, stats: DataFrame, k: int, scratch: Scratch | None = None, counted: dict | None = None) -> DataFrame:
     """(qid, id, score): for each of queries (qid, query) the chunks that may be among its k best by Okapi BM25 above 0, scored exactly; a few more than k.
 
@@ -120,7 +114,7 @@ def sparse_best(queries: DataFrame, bags: DataFrame, blocks: DataFrame, idf: Dat
     first = _partial(plus.where(F.col("place") <= FIRST), blocks.where("block = 0"))
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     likely = scratch.keep(_few(first, k).withColumn("_p", F.row_number().over(best)).where(F.col("_p") <= 2 * k).select("qid", "id"), "likely")
-    low = scratch.keep(_kth(_exact(likely, bags, weights, stats), k, "low"), "low")
+    low = scratch.keep(_kth(scored_pairs(likely, bags, weights, stats), k, "low"), "low")
     plus = plus.join(low, "qid", "left").withColumn("low", F.greatest(F.coalesce("low", F.lit(0.0)) - NEAR, F.lit(0.0)))
     # per question and term, the least gain that matters, and the greatest one that stays unread
     need = plus.select("qid", "term", "w", ((F.col("low") - F.col("behind")) / F.col("w")).alias("least"))
@@ -131,7 +125,9 @@ def sparse_best(queries: DataFrame, bags: DataFrame, blocks: DataFrame, idf: Dat
         counted |= all_heads.agg(F.count("*").alias("all"), F.sum((F.col("top") >= F.col("least")).cast("int")).alias("read")).first().asDict()
     wanted = read.join(blocks, "term").where("top >= least").select("qid", "w", "unread", F.explode(F.arrays_zip("ids", "gains")).alias("p"))
     got = scratch.keep(wanted.groupBy("qid", F.col("p.ids").alias("id")).agg(F.sum(F.col("w") * F.col("p.gains")).alias("score"), F.sum("unread").alias("seen")), "read")
-    limits = read.groupBy("qid").agg(F.sum("unread").alias("hidden")).join(asked.select("qid", "taken").distinct(), "qid").join(_kth(got, k, "low"), "qid", "left")
+    limits = read.groupBy("qid").agg(F.sum("unread").alias("hidden")).join(asked.select("qid", "taken").distinct(), "qid").join(_kth(got, k, "low"), "qid", "left").join(low.withColumnRenamed("low", "sure"), "qid", "left")
     reach = F.col("score") + F.col("hidden") - F.col("seen")
-    able = scratch.keep(got.join(limits, "qid").where((reach > 0) & (F.col("low").isNull() | (reach >= F.col("low") + F.col("taken") - NEAR))).select("qid", "id"), "able")
-    return _exact(able, bags, weights, stats).where("score > 0")
+    # of the two scores that k chunks reach for certain the greater one; null where neither is known
+    bar = F.greatest(F.col("low") + F.col("taken"), F.col("sure"))
+    able = scratch.keep(got.join(limits, "qid").where((reach > 0) & (bar.isNull() | (reach >= bar - NEAR))).select("qid", "id"), "able")
+    return scored_pairs(able, bags, weights, stats).where("score > 0")

@@ -145,3 +145,19 @@ def test_no_local_scratch_on_a_cluster(spark):
 
     with pytest.raises(ValueError, match="checkpoint"):
         shared_dir(Session())
+
+
+def test_scored_pairs_without_a_row_for_each_term(spark):
+    """Exact scores of chosen pairs, a block of texts at a time, are those of postings joined by term; the plan explodes no terms of texts."""
+    r = random.Random(3)
+    bags = spark.createDataFrame([(f"t{k}", r.choices([f"w{j}" for j in range(12)], k=k % 20)) for k in range(90)] + [("none", None)], "id string, terms array<string>").repartition(3)
+    queries = spark.createDataFrame([(q, " ".join(f"w{r.randrange(14)}" for _ in range(5))) for q in range(7)], "qid bigint, query string")
+    pairs = spark.createDataFrame([(q, f"t{k}") for q in range(7) for k in range(90) if (q + k) % 4 == 0] + [(1, "none")], "qid bigint, id string")
+    stats = index.corpus_stats(bags.where("terms is not null"))
+    post = index.postings(bags)
+    idf = index.idf(post, stats)
+    got = blocks.scored_pairs(pairs, bags, blocks.term_weights(queries, idf), stats)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString().split("Join Cross")[0]
+    want = {(x.qid, x.id): round(x.score, 9) for x in search.sparse_scores(queries, post, idf, stats).join(pairs, ["qid", "id"]).collect()}
+    have = {(x.qid, x.id): round(x.score, 9) for x in got.collect()}
+    assert {k: v for k, v in have.items() if v} == {k: v for k, v in want.items() if v} and all(k not in want or have[k] == v for k, v in want.items())
