@@ -11,16 +11,20 @@ from pyspark.sql import SparkSession
 
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of a batch, which bound it where a row is a whole block of texts or vectors: Spark's default and the library's.
+BYTES, SPARKS, OURS = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so their Python workers can import it.
 
-    Texts can be long, and the buffers of two batches stay with each task, so a batch of rows for Python is made smaller where its size is still the default.
+    Texts can be long, and the buffers of two batches stay with each task, so a batch for Python is made smaller, in rows and in bytes, where its size is still the default.
     """
     sc = spark.sparkContext
     if spark.conf.get(BATCH, "10000") == "10000":
         spark.conf.set(BATCH, "1000")
+    if spark.conf.get(BYTES, SPARKS) == SPARKS:
+        spark.conf.set(BYTES, OURS)
     if getattr(sc, "_filigree_shipped", False):
         return
     root = Path(__file__).resolve().parent

@@ -161,3 +161,16 @@ def test_scored_pairs_without_a_row_for_each_term(spark):
     want = {(x.qid, x.id): round(x.score, 9) for x in search.sparse_scores(queries, post, idf, stats).join(pairs, ["qid", "id"]).collect()}
     have = {(x.qid, x.id): round(x.score, 9) for x in got.collect()}
     assert {k: v for k, v in have.items() if v} == {k: v for k, v in want.items() if v} and all(k not in want or have[k] == v for k, v in want.items())
+
+
+def test_batches_for_python_are_bounded_in_bytes(spark):
+    """Rows that are whole blocks come a few at a time where the session leaves Spark's default; a caller's own bound stays."""
+    from filigree import runtime
+
+    own = spark.newSession()
+    assert own.conf.get(runtime.BYTES) == runtime.SPARKS
+    runtime.ship(own)
+    assert own.conf.get(runtime.BYTES) == runtime.OURS
+    own.conf.set(runtime.BYTES, "1m")
+    runtime.ship(own)
+    assert own.conf.get(runtime.BYTES) == "1m"
