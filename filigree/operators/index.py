@@ -49,10 +49,10 @@ def bags(chunks: DataFrame, text: Column | None = None) -> DataFrame:
 
 
 def postings(chunks: DataFrame, text: Column | None = None, only: DataFrame | None = None) -> DataFrame:
-    """(term, id, tf, dl): term counts of each chunk (or bag) with its length; of the terms of `only` alone where given."""
+    """(term, id, tf, dl): term counts of each chunk (or bag) with its length; of the terms of `only` alone where given, which are those of questions and are sent to the texts."""
     terms = chunks if "terms" in chunks.columns else bags(chunks, text)
     rows = terms.select("id", F.size("terms").cast("bigint").alias("dl"), F.explode("terms").alias("term"))
-    rows = rows if only is None else rows.join(only.select("term").distinct(), "term", "left_semi")
+    rows = rows if only is None else rows.join(F.broadcast(only.select("term").distinct()), "term", "left_semi")
     return rows.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
 
 
@@ -77,17 +77,21 @@ def counts(bags: DataFrame) -> DataFrame:
     return bags.select("id", "terms", *more).mapInArrow(run, ", ".join([f"id {kinds['id']}, dl bigint, term string, tf bigint", *(f"`{c}` {kinds[c]}" for c in more)]))
 
 
+def frequencies(bags: DataFrame) -> DataFrame:
+    """(term, df): in how many bags (id, terms) a term is. This reads every text, so write it where it is used twice, as by idf."""
+    return bags.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def corpus_stats(chunks: DataFrame, text: Column | None = None) -> DataFrame:
-    """One row (n_docs, avgdl) of chunks or bags."""
+    """One row (n_docs, avgdl) of chunks or bags; of bags with their length (dl) no term is read."""
     terms = chunks if "terms" in chunks.columns else bags(chunks, text)
-    return terms.select(F.size("terms").alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    return terms.select(F.col("dl") if "dl" in terms.columns else F.size("terms").alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
 def idf(post: DataFrame, stats: DataFrame) -> DataFrame:
     """(term, idf) of the Okapi weighting, from postings, bags, blocks of postings or frequencies (term, df); where a term is in more than half of the chunks its weight is negative and becomes a quarter of the mean of all terms' weights."""
-    seen = post.select(F.explode(F.array_distinct("terms")).alias("term")) if "terms" in post.columns else post
     n = F.sum(F.size("ids")) if "ids" in post.columns else F.count("*")
-    df = (seen if "df" in post.columns else seen.groupBy("term").agg(n.alias("df"))).crossJoin(F.broadcast(stats.select("n_docs")))
+    df = (post if "df" in post.columns else frequencies(post) if "terms" in post.columns else post.groupBy("term").agg(n.alias("df"))).crossJoin(F.broadcast(stats.select("n_docs")))
     raw = df.select("term", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg((0.25 * F.avg("raw")).alias("floor"))
     return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))

@@ -285,7 +285,9 @@ def answer_records(spark, sf_dir):
     """Answers of the offline writer to every sub-query: one call where something was found, every excerpt cited, nothing invented."""
     subq, c, hits = _retrieved(spark, sf_dir)
     rows = citations.labels(hits.join(subq.select("sq", "ticker"), "sq"), by=("sq",)).select("sq", "id", "label")
-    rows = rows.join(c.select("id", "ticker", "form", "fiscal_year", "section", F.translate("text", "\n[]", " ()").alias("text")), "id").select(F.col("sq").alias("aid"), "ticker", F.col("ticker").alias("company"), "id", "label", "form", F.concat(F.lit("FY"), "fiscal_year").alias("fiscal_label"), F.lit("2024-12-31").cast("date").alias("period_end"), "section", "text")
+    rows = standin.with_texts(spark, sf_dir, rows.join(c.select("id", "doc_id", "hash", "ticker", "form", "fiscal_year", "section"), "id"))
+    rows = rows.withColumn("text", F.translate("text", "\n[]", " ()")).select(F.col("sq").alias("aid"), "ticker", F.col("ticker").alias("company"), "id", "label", "form", F.concat(F.lit("FY"), "fiscal_year").alias("fiscal_label"), F.lit("2024-12-31").cast("date").alias("period_end"), "section", "text")
+    rows = Scratch(spark, "excerpts").keep(rows, "rows")
     asked = subq.select(F.col("sq").alias("aid"), F.lit("What changed?").alias("question"), F.lit(False).alias("needs_comparison"))
     gaps = spark.createDataFrame([], "aid int, gap string")
     out = answering.answers(asked, rows, gaps, ExtractiveGenerator())

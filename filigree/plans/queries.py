@@ -59,10 +59,10 @@ def _text():
 
 def _bags(spark: SparkSession, sf_dir: str):
     """Chunks, and the terms of each, written once, with the weights made of them."""
-    c = standin.chunks(spark, sf_dir, vectors=True)
-    bags = Scratch(spark, "bags").keep(index.bags(c, _text()), "bags")
+    scratch = Scratch(spark, "bags")
+    bags = scratch.keep(index.bags(standin.chunks(spark, sf_dir), _text()).withColumn("dl", F.size("terms")), "bags")
     stats = index.corpus_stats(bags)
-    return c, bags, index.idf(bags, stats), stats
+    return standin.chunks(spark, sf_dir, vectors=True), bags, index.idf(scratch.keep(index.frequencies(bags), "df"), stats), stats
 
 
 def _impacts(spark: SparkSession, sf_dir: str):
@@ -85,10 +85,22 @@ def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _index(spark: SparkSession, sf_dir: str, only: DataFrame | None = None):
-    """Chunks, their postings (of the terms of `only` alone where given), weights and statistics."""
+def _index(spark: SparkSession, sf_dir: str):
+    """Chunks with texts and vectors, all their postings, weights and statistics."""
     c, bags, idf, stats = _bags(spark, sf_dir)
-    return c, index.postings(bags, only=only), idf, stats
+    return c, index.postings(bags), idf, stats
+
+
+def _asked_index(spark: SparkSession, sf_dir: str, asked: DataFrame):
+    """Chunks without their texts, postings of the terms asked for, weights and statistics. Texts are read once, where they lie; what is numbered, joined and shuffled are narrow rows."""
+    scratch = Scratch(spark, "asked")
+    rows = standin.unnumbered(spark, sf_dir).withColumns({"row": F.monotonically_increasing_id(), "terms": parsing.tokenize(_text())}).drop("text")
+    bags = scratch.keep(rows.withColumn("dl", F.size("terms")), "bags")
+    stats = index.corpus_stats(bags)
+    idf = index.idf(scratch.keep(index.frequencies(bags), "df"), stats)
+    c = scratch.keep(standin.embedded(spark, sf_dir, standin.numbered(bags.drop("terms", "dl"))), "chunks")
+    post = index.postings(bags.select(F.col("row").alias("id"), "terms"), only=asked).withColumnRenamed("id", "row")
+    return c, post.join(c.select("row", "id", "ticker"), "row").drop("row"), idf, stats
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -481,12 +493,16 @@ _RETRIEVED = (
 
 
 def _retrieved(spark, sf_dir):
+    """Sub-queries, chunks without their texts, and hits. All three are written once: what follows reads them again and again."""
+    scratch = Scratch(spark, "retrieved")
     subq, cov = _subqueries(spark, sf_dir)
+    subq = scratch.keep(subq, "subqueries", rows=len(_PLANS))
     (e,) = tables(spark, sf_dir, "embeddings")
     years = planning.search_years(subq, cov).join(e.select(F.col("vec_id").cast("int").alias("sq"), F.col("embedding").alias("vector")), "sq", "left")
+    years = scratch.keep(years, "years")
     asked = subq.select(F.explode(parsing.tokenize(F.col("query"))).alias("term"))
-    c, post, idf, stats = _index(spark, sf_dir, asked)
-    return subq, c, search.relaxed(years, c, post, idf, stats)
+    c, post, idf, stats = _asked_index(spark, sf_dir, asked)
+    return subq, c, scratch.keep(search.relaxed(years, c, post, idf, stats), "hits")
 
 
 @query(_RETRIEVED + " select sq, fiscal_year, tier, id, place from kept")
@@ -523,7 +539,7 @@ def prompt_blocks(spark, sf_dir):
     subq, c, hits = _retrieved(spark, sf_dir)
     rows = citations.labels(hits.join(subq.select("sq", "ticker"), "sq"), by=("sq",)).select("sq", "id", "label")
     cov = standin.coverage(c)
-    rows = rows.join(c.select("id", "ticker", "form", "fiscal_year", "fiscal_quarter", "section", "text"), "id").join(cov, ["ticker", "form", "fiscal_year", "fiscal_quarter"])
+    rows = standin.with_texts(spark, sf_dir, rows.join(c.select("id", "doc_id", "hash", "ticker", "form", "fiscal_year", "fiscal_quarter", "section"), "id")).join(cov, ["ticker", "form", "fiscal_year", "fiscal_quarter"])
     rows = rows.join(standin.companies(spark).select("ticker", F.col("name").alias("company")), "ticker").withColumn("fiscal_label", F.concat(F.lit("FY"), "fiscal_year"))
     return citations.prompt_block(rows, by=("sq",)).select("sq", F.md5("block").alias("h"))
 

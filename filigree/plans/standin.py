@@ -31,8 +31,8 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
 
 
-def chunks(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:
-    """The stand-in chunks: doc_id, id, ticker, form, fiscal_year, fiscal_quarter, section, chunk, text, hash, and embedding (null without a vector) if asked for."""
+def unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stand-in chunks before they have numbers: doc_id, text, ticker, section, fiscal_year, fiscal_quarter, hash, form. Documents stay where they lie."""
     (docs,) = tables(spark, sf_dir, "documents")
     h = (F.col("doc_id") * F.lit(1103515245).cast("bigint") + 12345) % F.lit(2147483648).cast("bigint")
     bits = lambda shift, n: F.shiftright("h", shift) % n
@@ -46,14 +46,33 @@ def chunks(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame
         pick(["FY", "Q1", "Q2", "Q3"], bits(20, 4)).alias("fiscal_quarter"),
         F.substring(F.md5("text"), 1, 12).alias("hash"),
     )
-    d = d.withColumn("form", F.when(F.col("fiscal_quarter") == "FY", "10-K").otherwise("10-Q"))
+    return d.withColumn("form", F.when(F.col("fiscal_quarter") == "FY", "10-K").otherwise("10-Q"))
+
+
+def numbered(d: DataFrame) -> DataFrame:
+    """Stand-in chunks with `chunk` and `id`. Every column goes through a shuffle, so texts had better not be among them."""
     w = Window.partitionBy("ticker", "form", "fiscal_year", "fiscal_quarter", "section").orderBy("doc_id")
     d = d.withColumn("chunk", (F.row_number().over(w) - 1).cast("int"))
-    d = d.withColumn("id", F.concat_ws("-", "ticker", "form", "fiscal_year", "fiscal_quarter", "section", "chunk"))
-    if vectors:
-        (e,) = tables(spark, sf_dir, "embeddings")
-        d = d.join(e.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
-    return d
+    return d.withColumn("id", F.concat_ws("-", "ticker", "form", "fiscal_year", "fiscal_quarter", "section", "chunk"))
+
+
+def embedded(spark: SparkSession, sf_dir: str, d: DataFrame) -> DataFrame:
+    """Rows (doc_id) with `embedding`, null without a vector."""
+    (e,) = tables(spark, sf_dir, "embeddings")
+    return d.join(e.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+
+
+def chunks(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:
+    """The stand-in chunks: doc_id, id, ticker, form, fiscal_year, fiscal_quarter, section, chunk, text, hash, and embedding (null without a vector) if asked for."""
+    d = numbered(unnumbered(spark, sf_dir))
+    return embedded(spark, sf_dir, d) if vectors else d
+
+
+def with_texts(spark: SparkSession, sf_dir: str, hits: DataFrame) -> DataFrame:
+    """hits (doc_id, hash) with `text`. Hits are few and distinct: they are sent to the documents, which stay where they lie. Of documents with one number the hash tells which is meant; of equal ones one is."""
+    texts = unnumbered(spark, sf_dir).select(F.col("doc_id").alias("_doc"), F.col("hash").alias("_hash"), "text")
+    on = (F.col("_doc") == F.col("doc_id")) & F.col("_hash").eqNullSafe(F.col("hash"))
+    return texts.join(F.broadcast(hits), on).select(*hits.columns, "text").dropDuplicates(hits.columns)
 
 
 def coverage(chunks_: DataFrame) -> DataFrame:

@@ -112,3 +112,28 @@ def test_settings_reach_reranker_and_cache(spark, tmp_path):
     hosted.inner.call = lambda *a, **b: calls.append(a) or {"choices": [{"message": {"content": "said"}}]}
     assert [hosted.complete("x"), hosted.complete("x")] == ["said", "said"] and len(calls) == 1
     assert isinstance(models.generator(Settings(llm_provider="openai", llm_model="m", llm_cache=False)), models.HttpGenerator)
+
+
+def test_retrieval_without_texts_in_shuffles(spark, small, tmp_path):
+    """Hits over narrow rows are those of the wide form, with the texts of their own documents, also where numbers and whole documents repeat; their plan reads written tables alone."""
+    rows = [(1, "the thonen of one", "src0"), (1, "the other thonen", "src0"), (2, "of of the", "src0"), (2, "of of the", "src0"), (3, None, "src0"), (4, "the thonen", "src1"), (5, "nothing", "src3")]
+    d = spark.createDataFrame(rows + [(20 + k, f"the thonen {k} of", "src3") for k in range(9)], "doc_id bigint, text string, source string")
+    d.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, [1.0, float(k)]) for k in range(25)], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    asked = spark.createDataFrame([("the",), ("thonen",), ("thonen",), ("absent",)], "term string")
+    kept = lambda p: sorted(map(tuple, p.where("term in ('the', 'thonen', 'absent')").groupBy("term", "ticker", "dl", "tf").count().collect()))
+    for folder in (str(tmp_path), small):
+        wide, post, idf, stats = queries._index(spark, folder)
+        c, few, weights, sizes = queries._asked_index(spark, folder, asked)
+        assert "text" not in c.columns and {r.term for r in few.select("term").distinct().collect()} <= {"the", "thonen"}
+        cols = ["id", "doc_id", "ticker", "form", "fiscal_year", "fiscal_quarter", "section", "chunk", "embedding"]
+        assert sorted(map(repr, c.select(cols).collect())) == sorted(map(repr, wide.select(cols).collect()))
+        assert kept(few.select("term", "ticker", "dl", "tf")) == kept(post.join(wide.select("id", "ticker"), "id").select("term", "ticker", "dl", "tf"))
+        assert {r.term: round(r.idf, 9) for r in weights.collect()} == {r.term: round(r.idf, 9) for r in idf.collect()} and sizes.collect() == stats.collect()
+        texts = queries.standin.with_texts(spark, folder, c.select("id", "doc_id", "hash")).select("id", "doc_id", "text")
+        assert sorted(map(repr, texts.select("doc_id", "text").collect())) == sorted(map(repr, spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()))
+        assert texts.select("id").distinct().count() == c.count()
+    subq, _, hits = queries._retrieved(spark, small)
+    for d in (subq, hits):
+        plan = d._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan and "Window" not in plan
